@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import langid, orc_store, packing
+from lodestack.llm import langid, linededup, mixing, orc_store, packing, sharding, urlfilter
 from lodestack.llm.common import scratch
 from lodestack.runtime import ship, table
 
@@ -28,6 +28,111 @@ def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_store.digest_tokens(orc_store.read_tokens(spark, path))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return linededup.line_dedup(docs, min_sites=5).select("doc_id", "text", "n_lines", "n_removed")
+
+
+SQL["op5_line_dedup"] = """
+WITH lines AS (
+  SELECT d.doc_id, '=' || d.source AS site, u.pos, string_split(d.text, chr(10))[u.pos] AS line
+  FROM documents d, unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS u(pos)
+), keyed AS (
+  SELECT doc_id, coalesce(site, '') AS site, pos, line, trim(line, ' ') AS key FROM lines
+), around AS (
+  SELECT *, coalesce(lag('.' || key) OVER w, '') AS before, coalesce(lead('.' || key) OVER w, '') AS after
+  FROM keyed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), contexts AS (
+  SELECT key, before, after, min(site) AS site FROM around WHERE key <> '' GROUP BY ALL
+), boilerplate AS (
+  SELECT key FROM contexts GROUP BY key HAVING count(DISTINCT site) >= 5
+), marked AS (
+  SELECT k.*, b.key IS NOT NULL AS goes FROM keyed k LEFT JOIN boilerplate b USING (key)
+), cleaned AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes) AS text, count(*)::INT AS n_lines,
+         (count(*) FILTER (goes))::INT AS n_removed
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text,
+       coalesce(c.n_lines, 0)::INT AS n_lines, coalesce(c.n_removed, 0)::INT AS n_removed
+FROM documents d LEFT JOIN cleaned c USING (doc_id)
+"""
+
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, RULES, default="allow").select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op6_url_filter"] = """
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+), rules(h, p, v) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), best AS (
+  SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT parts.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
+"""
+
+
+def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = scratch(spark, "shards")
+    sharding.write_shards(docs, path)
+    rows = sharding.read_shards(spark, path, 8)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return rows.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "file"
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, temperature=0.5, epochs=1.0, seed="mix")
+
+
+SQL["op8_mixing"] = """
+WITH RECURSIVE sizes AS (
+  SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS size FROM documents GROUP BY source
+), means AS (
+  SELECT source, CASE WHEN size = 0 THEN 1.0::DOUBLE
+                      ELSE sum(size) OVER () * (pow(size, 0.5) / sum(pow(size, 0.5)) OVER ()) / size END AS mean FROM sizes
+), parts AS (
+  SELECT source, ceil(mean / 16.0)::INT AS draws, mean / ceil(mean / 16.0) AS mean FROM means WHERE mean > 0
+), steps AS (
+  SELECT source, draws, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM parts
+  UNION ALL
+  SELECT source, draws, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM steps
+  WHERE k < ceil(mean + 12 * sqrt(mean)) + 30
+), drawn AS (
+  SELECT d.doc_id, d.source,
+         ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || u.j), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents d JOIN parts ON d.source IS NOT DISTINCT FROM parts.source, unnest(range(1, draws + 1)) AS u(j)
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM drawn JOIN steps ON drawn.source IS NOT DISTINCT FROM steps.source AND c <= u GROUP BY doc_id
+)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
+       md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || copy || ':order') AS shuffle_key
+FROM (SELECT d.*, unnest(range(1, n + 1)) AS copy FROM documents d JOIN counts USING (doc_id))
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -38,5 +143,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_orc_tokens": op4_orc_tokens,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op7_hilbert_sharding": op7_hilbert_sharding,
+    "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
 }
