@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import langid, linededup, mixing, orc_store, packing, sharding, urlfilter
+from lodestack.llm import langid, linededup, mixing, mtree, nndescent, orc_store, packing, sharding, urlfilter
 from lodestack.llm.common import scratch
 from lodestack.runtime import ship, table
 
@@ -21,6 +21,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(ship(spark), sf_dir, "embeddings")
+    return mtree.top_k(rows, is_query=F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
+SQL["op2_mtree_topk"] = """
+WITH parts AS (
+  SELECT vec_id, u.i, floor(1024 * embedding[u.i]::DOUBLE)::BIGINT AS x
+  FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
     path = scratch(spark, "tokens")
@@ -133,6 +153,11 @@ FROM (SELECT d.*, unnest(range(1, n + 1)) AS copy FROM documents d JOIN counts U
 """
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(ship(spark), sf_dir, "embeddings")
+    return nndescent.near_duplicates(rows, threshold=0.93)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -142,10 +167,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_mtree_topk": op2_mtree_topk,
     "op4_orc_tokens": op4_orc_tokens,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_mixing": op8_mixing,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
 }
