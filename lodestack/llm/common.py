@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 2
     """Slices of the batches with about `limit` bytes of `column` each (one row at least), so memory stays bounded."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column))
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), dtype="float64"))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype="float64"))
         ends = np.cumsum(sizes)
         start, n = 0, batch.num_rows
         while start < n:
@@ -56,7 +57,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 2
 
 def flat_text(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts (null: none) and the offsets of each, without copies where Arrow allows."""
-    text = pa.compute.fill_null(text, "")
+    text = pc.fill_null(text, "")
     if not pa.types.is_large_string(text.type):
         text = text.cast(pa.large_string())
     _, offsets, data = text.buffers()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import langid, linededup, mixing, mtree, nndescent, orc_store, packing, sharding, urlfilter
+from lodestack.llm import jaccard, langid, linededup, mixing, mtree, nndescent, orc_store, packing, sharding, urlfilter
 from lodestack.llm.common import scratch
 from lodestack.runtime import ship, table
 
@@ -41,6 +41,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return jaccard.jaccard_classes(docs, words=5, threshold=0.75)
+
+
 def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
     path = scratch(spark, "tokens")
@@ -168,6 +173,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mtree_topk": op2_mtree_topk,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_orc_tokens": op4_orc_tokens,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,

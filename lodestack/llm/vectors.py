@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ def matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, n
     """(row numbers, matrix of doubles) for each number of dimensions in the batch."""
     lists = batch.column(column)
     values = lists.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype("int64")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("int64")
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     for dim in np.unique(sizes):
         rows = np.flatnonzero(sizes == dim)
