@@ -2,13 +2,16 @@
 
 1. Documents with equal shingle sets are one node, named by the set's 64-bit fingerprint.
 2. Shingles get a global order: by the count of their hash bucket over the whole corpus (a table of fixed size), rare
-   ones first. Two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of each (their prefixes).
-   Prefix shingles that more than one node has are kept as postings, in one exchange by shingle.
-3. Groups of similar documents: each node is compared with the leader (smallest node) that it shares most postings
-   with; components of the links found are groups, split into blocks of bounded size by hash.
+   ones first. Two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of each (their prefixes),
+   and the first one that they share leaves enough shingles behind it in both (its rest, itself included) for the overlap
+   they need. Prefix shingles that more than one node has are kept as postings, in one exchange by shingle.
+3. Groups of similar documents: the leaders of a posting are its few smallest nodes; each node is compared with the few
+   leaders that it shares most postings with. Components of the links found are groups, split into blocks of bounded size
+   by hash. A node that misses all its leaders stays a group of its own, and step 4 treats it exactly.
 4. The matrix (shingle, block) holds the prefix shingles of all members of a block. Blocks of different components that
-   share an entry and whose sizes are compatible are candidates. A candidate's union of shingles bounds the overlap of each
-   member of the other block; only members whose bound qualifies are compared, and one link settles the pair of blocks.
+   share an entry and whose sizes and rests are compatible are candidates. Each node has a bitmap of its shingles, each block the
+   union of its members' bitmaps: what a member has outside the other block's union bounds their overlap from above.
+   Only pairs of blocks with a qualifying member are opened; their sets are then compared, and one link settles a pair.
 5. Components of all links. Links within a component are never listed, so large groups of copies cost no pairs.
 
 No link is lost: similar sets share a posting, and then are in one component or in two blocks that are opened.
@@ -25,13 +28,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import by_bytes, components, cut_lineage, partitions
 from lodestack.llm.shingles import fingerprints, shingle_sets, sort_rows
 
-POSTING = "token long, node long, n int, leader long, leader_n int"
+POSTING = "token long, node long, n int, rest int"
 
 
 def ratio(threshold: float) -> tuple[int, int]:
@@ -55,6 +58,31 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+def bitmap(value: np.ndarray) -> bytes:
+    """The set's bitmap by the low bits of its shingles, of a power of two of at least four bits a shingle."""
+    bits = max(64, 1 << (4 * len(value) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(value & np.uint64(bits - 1)).astype("int64")] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def outside(a: np.ndarray, b: np.ndarray) -> int:
+    """At least so many elements of a's set are not in b's."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(fold(a, size) & ~fold(b, size)).sum())
+
+
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, num: int, den: int) -> bool:
+    both = min(n - outside(a, b), m - outside(b, a))
+    return den * both >= num * (n + m - both)
+
+
 def sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in by_bytes(batches, "text"):
         value, at = shingle_sets(batch.column("text"), words)
@@ -79,14 +107,16 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """A narrow row for each document: id, n (size of its set), node (fingerprint)."""
+    """A narrow row for each document: id, n (size of its set), node (fingerprint), and for the first of a node in its task the set's bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, at, node in sets_of(batches, words):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(node)], names=["id", "n", "node"])
+        seen: set[int] = set()  # as many numbers as the task has documents
+        for batch, value, at, node in sets_of(batches, words):
+            maps = [None if x in seen or seen.add(x) or a == b else bitmap(value[a:b]) for x, a, b in zip(node.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(node), pa.array(maps, pa.binary())], names=["id", "n", "node", "bits"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, node long")
+    return docs.mapInArrow(run, f"id {kind}, n long, node long, bits binary")
 
 
 def bucket_ranks(docs: DataFrame, words: int, bits: int) -> np.ndarray:
@@ -98,15 +128,19 @@ def bucket_ranks(docs: DataFrame, words: int, bits: int) -> np.ndarray:
         for _, value, _, _ in sets_of(batches, words):
             seen += np.bincount((value >> np.uint64(64 - bits)).astype("int64"), minlength=len(seen))
         for k in range(0, len(seen), chunk):
-            at = np.flatnonzero(seen[k : k + chunk])
-            if len(at):
-                n = seen[k : k + chunk][at]
+            n = seen[k : k + chunk]
+            at = np.flatnonzero(n)
+            if 2 * len(at) < chunk:
+                n = n[at]
+            else:
+                at = at[:0]  # all of them
+            if len(n):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype("int32").tobytes()]), pa.array([n.astype("int32").tobytes()])], names=["k", "at", "n"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(chunk, "int64")
         for at, n in zip(group.column("at").to_pylist(), group.column("n").to_pylist(), strict=True):
-            total[np.frombuffer(at, "int32")] += np.frombuffer(n, "int32")
+            total[np.frombuffer(at, "int32") if at else slice(None)] += np.frombuffer(n, "int32")
         return pa.table({"k": group.column("k").slice(0, 1), "n": [total.tobytes()]})
 
     parts = docs.select("text").mapInArrow(run, "k int, at binary, n binary")
@@ -127,7 +161,7 @@ def ordered(value: np.ndarray, at: np.ndarray, ranks: np.ndarray, bits: int) ->
 
 
 def postings(docs: DataFrame, words: int, num: int, den: int, ranks: np.ndarray, bits: int) -> DataFrame:
-    """POSTING rows of the prefix shingles that at least two nodes have; the leader is the smallest node of a shingle."""
+    """POSTING rows of the prefix shingles that at least two nodes have."""
     table = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,25 +175,52 @@ def postings(docs: DataFrame, words: int, num: int, den: int, ranks: np.ndarray,
                     take[i] = 0
                 seen.add(x)
             value = ordered(value, at, table.value, bits)
-            pick = np.repeat(at[:-1], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-            yield pa.RecordBatch.from_arrays([pa.array(value[pick].view("int64")), pa.array(np.repeat(node, take)), pa.array(np.repeat(n, take).astype("int32"))], names=["token", "node", "n"])
+            place = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+            token, size = value[np.repeat(at[:-1], take) + place].view("int64"), np.repeat(n, take)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(node, take)), pa.array(size.astype("int32")), pa.array((size - place).astype("int32"))], names=["token", "node", "n", "rest"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, node, n in runs(batches):
+        for token, node, n, rest in runs(batches):
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, n = token[fresh], node[fresh], n[fresh]
+            token, node, n, rest = token[fresh], node[fresh], n[fresh], rest[fresh]
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.append(start, len(token)))
             keep = np.repeat(length > 1, length)
-            lead = np.repeat(start, length)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, n, node[lead], n[lead])], names=["token", "node", "n", "leader", "leader_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, n, rest)], names=["token", "node", "n", "rest"])
 
-    found = docs.select("text").mapInArrow(prefixes, "token long, node long, n int")
+    found = docs.select("text").mapInArrow(prefixes, POSTING)
     dealt = found.repartition(partitions(docs.sparkSession), "token").sortWithinPartitions("token", "node")
     return dealt.mapInArrow(shared, POSTING)
 
 
+def enough(n: np.ndarray, rest: np.ndarray, m: np.ndarray, other_rest: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m shingles can still overlap enough, if this shingle is the first that they share."""
+    return np.minimum(rest, other_rest).astype("int64") * (num + den) >= num * (n + m)
+
+
+def meetings(shared: DataFrame, leaders: int, num: int, den: int) -> DataFrame:
+    """(node, leader, times): how often a node shares a posting whose `leaders` smallest nodes have that leader, for the leaders met most often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, node, n, rest in runs(batches):
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            length = np.diff(np.append(start, len(token)))
+            size = n.astype("int64")
+            for k in range(leaders):
+                lead = np.repeat(start + k, length)
+                at = np.flatnonzero(np.repeat(length > k, length))
+                lead = lead[at]
+                fits = (node[at] > node[lead]) & enough(size[at], rest[at], size[lead], rest[lead], num, den)
+                if fits.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at[fits]]), pa.array(node[lead[fits]])], names=["node", "leader"])
+
+    dealt = shared.repartition(partitions(shared.sparkSession), "token").sortWithinPartitions("token", "node")
+    times = dealt.mapInArrow(run, "node long, leader long").groupBy("node", "leader").agg(F.count("*").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), "leader"))
+    return times.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("node", "leader")
+
+
 def load_sets(docs: DataFrame, wanted: DataFrame, words: int, max_bits: int) -> DataFrame:
     """(node, size, shingles) of the wanted nodes. A Bloom filter of bounded size keeps other documents out of the exchange; what it lets through goes with the join."""
     spark = docs.sparkSession
@@ -194,6 +255,7 @@ def jaccard_classes(
     id_column: str = "doc_id",
     text_column: str = "text",
     bucket_bits: int = 20,
+    leaders: int = 8,
     block_shingles: int = 1 << 16,
     max_bloom_bits: int = 1 << 27,
 ) -> DataFrame:
@@ -204,64 +266,81 @@ def jaccard_classes(
     ranks = bucket_ranks(texts, words, bucket_bits)
     shared = cut_lineage(postings(texts, words, num, den, ranks, bucket_bits))
 
-    # Groups: each node with the leader that it meets most often.
-    fits = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-    met = shared.filter("node <> leader").filter(fits("n", "leader_n")).groupBy("node", "leader").agg(F.count("*").alias("times"))
-    stars = cut_lineage(met.groupBy("node").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader")))
-    wanted = shared.select("node").distinct()
-    sets = cut_lineage(load_sets(texts, cut_lineage(wanted), words, max_bloom_bits))
+    stars = meetings(shared, leaders, num, den)
+    maps = cut_lineage(nodes.filter("bits is not null").join(shared.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"]))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n, y, m = (batch.column(c).to_pylist() for c in ("x", "n", "y", "m"))
+            may = [may_link(np.frombuffer(a, "uint8"), i, np.frombuffer(b, "uint8"), j, num, den) for a, i, b, j in zip(x, n, y, m, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = [similar(np.frombuffer(a, "uint64"), np.frombuffer(b, "uint64"), num, den) for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bits = lambda node, n, blob: maps.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(blob))
+    pairs = stars.select(F.col("node").alias("a"), F.col("leader").alias("b")).join(bits("a", "n", "x"), "a").join(bits("b", "m", "y"), "b")
+    pairs = cut_lineage(pairs.select("a", "b", "x", "n", "y", "m").mapInArrow(bound, "a long, b long"))
+    sets = cut_lineage(load_sets(texts, cut_lineage(ends(pairs)), words, max_bloom_bits))
     side = lambda node, blob: sets.select(F.col("node").alias(node), F.col("shingles").alias(blob))
-    pairs = stars.select(F.col("node").alias("a"), F.col("leader").alias("b")).join(side("a", "x"), "a").join(side("b", "y"), "b")
-    first = cut_lineage(pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    first = cut_lineage(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
     near = components(first)
 
     # Blocks: parts of a component, with a bounded number of shingles.
-    member = sets.select("node", "size").join(near, "node", "left").select("node", "size", F.coalesce("comp", "node").alias("comp"))
-    parts = member.groupBy("comp").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("parts")).filter("parts > 1")
+    member = maps.join(near, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
+    parts = member.groupBy("comp").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("parts")).filter("parts > 1")
     member = member.join(parts, "comp", "left")
     block = F.struct("comp", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     member = cut_lineage(member.select("node", "comp", F.xxhash64(block).alias("block")))
 
-    matrix = shared.join(member, "node").groupBy("token", "block", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = shared.join(member, "node").groupBy("token", "block", "comp").agg(F.min("n").cast("long").alias("low"), F.max("rest").cast("long").alias("rest"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, block, comp, low, high in runs(batches):
+        for token, block, comp, low, rest in runs(batches):
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             end = np.append(start[1:], len(token))
-            for a, b in zip(start.tolist(), end.tolist(), strict=True):
-                if b - a < 2 or (comp[a:b] == comp[a]).all():
-                    continue
+            mixed = np.flatnonzero(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start))
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for a, b in zip(start[mixed].tolist(), end[mixed].tolist(), strict=True):
                 for i in range(a, b - 1):
-                    rest = slice(i + 1, b)
-                    may = (comp[rest] != comp[i]) & (high[rest].astype("int64") * den >= int(low[i]) * num) & (int(high[i]) * den >= low[rest].astype("int64") * num)
-                    if may.any():
-                        other = block[rest][may]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, block[i])), pa.array(np.maximum(other, block[i]))], names=["a", "b"])
-
-    dealt = matrix.select("token", "block", "comp", "low", "high").repartition(partitions(docs.sparkSession), "token").sortWithinPartitions("token")
-    opened = cut_lineage(dealt.mapInArrow(candidates, "a long, b long").distinct())
-
-    def gather(group: pa.Table) -> pa.Table:
-        return pa.table({"block": group.column("block").slice(0, 1), "nodes": [group.column("node").to_numpy().tobytes()], "sizes": [group.column("size").to_numpy().tobytes()], "shingles": [b"".join(group.column("shingles").to_pylist())]})
+                    later = slice(i + 1, b)
+                    may = (comp[later] != comp[i]) & enough(low[i], rest[i], low[later], rest[later], num, den)
+                    other = block[later][may]
+                    out.append((np.minimum(other, block[i]), np.maximum(other, block[i])))
+                    size += len(other)
+                    if size > 1 << 16:
+                        yield unique_pairs(out)
+                        out, size = [], 0
+            if size:
+                yield unique_pairs(out)
+
+    dealt = matrix.select("token", "block", "comp", "low", "rest").repartition(partitions(docs.sparkSession), "token").sortWithinPartitions("token")
+    opened = dealt.mapInArrow(candidates, "a long, b long").distinct()
+
+    def qualify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            yield batch.select(["a", "b"]).filter(pa.array([block_bound(p, q, num, den) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
-    used = opened.select(F.explode(F.array("a", "b")).alias("block")).distinct()
-    members = member.join(used, "block").select("block", "node").join(sets, "node")
-    blocks = cut_lineage(members.groupBy("block").applyInArrow(gather, "block long, nodes binary, sizes binary, shingles binary"))
+    unions = cut_lineage(member.join(maps, "node").groupBy("block").agg(F.collect_list(F.struct("n", "bits")).alias("members")))
+    held = lambda c, blob: unions.select(F.col("block").alias(c), F.col("members").alias(blob))
+    opened = cut_lineage(opened.join(held("a", "x"), "a").join(held("b", "y"), "b").mapInArrow(qualify, "a long, b long"))
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for row in batch.to_pylist() if (x := block_link(row, num, den))]
+            found = [x for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True) if (x := block_link(p, q, num, den))]
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    named = lambda c: blocks.select(F.col("block").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("nodes", "sizes", "shingles")))
-    second = opened.join(named("a"), "a").join(named("b"), "b").mapInArrow(open_pairs, "a long, b long")
+    used = cut_lineage(member.join(ends(opened).withColumnRenamed("node", "block"), "block", "left_semi").select("node", "block"))
+    found = load_sets(texts, used.select("node"), words, max_bloom_bits)
+    blocks = cut_lineage(used.join(found, "node").groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("members")))
+    held_sets = lambda c, blob: blocks.select(F.col("block").alias(c), F.col("members").alias(blob))
+    second = opened.join(held_sets("a", "x"), "a").join(held_sets("b", "y"), "b").select("x", "y").mapInArrow(open_pairs, "a long, b long")
 
     linked = components(first.unionByName(second))
     comp = nodes.join(linked, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
@@ -270,19 +349,32 @@ def jaccard_classes(
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def block_link(row: dict, num: int, den: int) -> tuple[int, int] | None:
-    """A link between two blocks, or None: the union of the first bounds the overlap of each member of the second."""
+def unique_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+
+
+def block_bound(members: list[dict], queries: list[dict], num: int, den: int) -> bool:
+    """Whether any query may link with a member: first by the union of the members' bitmaps, then by their own."""
+    maps = [(m["n"], np.frombuffer(m["bits"], "uint8")) for m in members]
+    size = min(len(b) for _, b in maps)
+    union = np.bitwise_or.reduce(np.stack([fold(b, size) for _, b in maps]))
+    for q in queries:
+        bits, n = np.frombuffer(q["bits"], "uint8"), q["n"]
+        if den * (n - outside(bits, union)) >= num * n and any(may_link(bits, n, b, m, num, den) for m, b in maps):
+            return True
+    return False
 
-    def read(c: str) -> tuple[list[int], list[np.ndarray]]:
-        sizes = np.frombuffer(row[f"{c}_sizes"], "int64")
-        return np.frombuffer(row[f"{c}_nodes"], "int64").tolist(), np.split(np.frombuffer(row[f"{c}_shingles"], "uint64"), np.cumsum(sizes)[:-1])
 
-    (nodes, sets), (others, queries) = read("a"), read("b")
+def block_link(members: list[dict], queries: list[dict], num: int, den: int) -> tuple[int, int] | None:
+    """A link between two opened blocks, or None; the union of the one's sets bounds the overlap of each of the other's."""
+    sets = [np.frombuffer(m["shingles"], "uint64") for m in members]
     union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
-    for other, query in zip(others, queries, strict=True):
+    for other in queries:
+        query = np.frombuffer(other["shingles"], "uint64")
         if den * overlap(query, union) < num * len(query):
             continue
-        for node, x in zip(nodes, sets, strict=True):
+        for member, x in zip(members, sets, strict=True):
             if similar(query, x, num, den):
-                return node, other
+                return member["node"], other["node"]
     return None
