@@ -59,8 +59,9 @@ def remove_lines(docs: DataFrame, lines: DataFrame, *, id_column: str = "doc_id"
     if n <= max_lookup:
         slots = max(1, n // 4)
         buckets = lines.groupBy(F.pmod("h", F.lit(slots)).alias("slot")).agg(F.collect_list("h").alias("hs"))
-        found = {r["slot"]: r["hs"] for r in buckets.collect()}  # max_lookup numbers at most
-        lookup = docs.sparkSession.createDataFrame([([found.get(i, []) for i in range(slots)],)], "hs array<array<bigint>>").scalar()
+        every = docs.sparkSession.range(slots).select(F.col("id").alias("slot")).join(buckets, "slot", "left")
+        ordered = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("hs", F.array().cast("array<bigint>")).alias("hs"))))
+        lookup = cut_lineage(every.agg(F.transform(ordered, lambda x: x["hs"]).alias("hs"))).scalar()  # one row of max_lookup numbers at most
         docs = docs.withColumn("dedup_lookup", lookup)  # a subquery can't stand in a lambda function
         goes = lambda h: F.array_contains(F.element_at("dedup_lookup", (F.pmod(h, F.lit(slots)) + 1).cast("int")), h)
         listed = "dedup_lookup"

@@ -19,7 +19,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lodestack.llm.common import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,10 +59,10 @@ class Bloom:
         self.level, self.hashes = level, hashes
         spots = keys.select(F.explode(F.array(*self._spots(F.col("key")))).alias("spot"))
         words = spots.groupBy(F.expr("spot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits"))
-        found = {r["w"]: r["bits"] for r in words.collect()}  # at most bits / 64 rows
-        row = [found.get(i, 0) for i in range(self.bits // 64)]
-        kind = T.StructType([T.StructField("words", T.ArrayType(T.LongType(), False), False)])
-        self.words = keys.sparkSession.createDataFrame([(row,)], kind).scalar()
+        # One row with bits / 64 words, written to the shared folder and read where a scalar subquery stands.
+        every = keys.sparkSession.range(self.bits // 64).select(F.col("id").alias("w")).join(words, "w", "left")
+        ordered = F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits"))))
+        self.words = cut_lineage(every.agg(F.transform(ordered, lambda x: x["bits"]).alias("words"))).scalar()
         self.column = f"bloom_words_{uuid.uuid4().hex}"
 
     def _spots(self, key: Column) -> list[Column]:
@@ -129,8 +130,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, url_column: st
     verdicts: dict[str, str] = {}
     for host, path, verdict in rules:
         verdicts[host + path] = "block" if verdicts.get(host + path) == "block" else verdict
-    kind = T.StructType([T.StructField("key", T.StringType()), T.StructField("verdict", T.StringType())])
-    listed = spark.createDataFrame(sorted(verdicts.items()), kind)
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("verdict")) for k, v in sorted(verdicts.items())])
+    listed = cut_lineage(spark.range(1).select(F.inline(entries)))
     member = Cascade(listed, universe, **cascade)
     blocked = Cascade(listed.filter("verdict = 'block'"), universe.unionByName(listed.select("key")), **cascade)
     levels = member.levels + blocked.levels
