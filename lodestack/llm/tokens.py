@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ SOLID_START = ~SPACE
 SOLID_START[0x80:0xC3] = False
 SOLID_START[[0xE1, 0xE2, 0xE3]] = False
 _LOADED: dict[str, UnitTokenizer] = {}
+#: Stands after each unit where several are encoded in one call; white space around it keeps it a pre-token of its own.
+MARK, TOGETHER = " \x01 ", 64
 
 
 class _Units:
@@ -43,26 +45,25 @@ class _Units:
         self.n = 0
 
     def find(self, units: list[str]) -> np.ndarray:
+        """Numbers of these units, which are distinct."""
         if len(self.at) > self.limit:
             self.clear()
-        at = self.at
-        found = [at.get(u, -1) for u in units]
-        missing = [i for i, x in enumerate(found) if x < 0]
-        if missing:
-            new = self.encode([units[i] for i in missing])
-            sizes = np.fromiter((len(x) for x in new), "int64", len(new))
+        found = np.fromiter(map(self.at.get, units, repeat(-1)), "int64", len(units))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            fresh = [units[i] for i in missing.tolist()]
+            ids, sizes = self.encode(fresh)
             size = int(self.ends[self.n - 1]) if self.n else 0
-            while size + sizes.sum() > len(self.flat):
+            while size + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.n + len(new) > len(self.ends):
+            while self.n + len(fresh) > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            if sizes.sum():
-                self.flat[size : size + sizes.sum()] = np.fromiter(chain.from_iterable(new), "uint32", int(sizes.sum()))
-            self.ends[self.n : self.n + len(new)] = size + np.cumsum(sizes)
-            for k, i in enumerate(missing):
-                found[i] = at[units[i]] = self.n + k
-            self.n += len(new)
-        return np.asarray(found, "int64")
+            self.flat[size : size + len(ids)] = ids
+            self.ends[self.n : self.n + len(fresh)] = size + np.cumsum(sizes)
+            found[missing] = np.arange(self.n, self.n + len(fresh))
+            self.at.update(zip(fresh, range(self.n, self.n + len(fresh)), strict=True))
+            self.n += len(fresh)
+        return found
 
 
 class UnitTokenizer:
@@ -73,11 +74,30 @@ class UnitTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cuts = self._cuts_are_safe()
-        self.units = _Units(self.whole, limit)
+        self.mark = self._mark() if self.cuts else None
+        self.units = _Units(self.several, limit)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def several(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units and how many each has. Many are encoded in one call, and parted again by the mark's id; where a
+        unit holds the mark itself there are more marks than units, and each is encoded alone."""
+        if self.mark is not None:
+            joined = [MARK.join([*units[i : i + TOGETHER], ""]) for i in range(0, len(units), TOGETHER)]
+            flat, _ = _flat(self.whole(joined), len(joined))
+            marks = flat == self.mark
+            at = np.flatnonzero(marks)
+            if len(at) == len(units):
+                return flat[~marks], np.diff(at, prepend=-1) - 1
+        flat, offsets = _flat(self.whole(units), len(units))
+        return flat, np.diff(offsets)
+
+    def _mark(self) -> int | None:
+        """The mark's id, where this tokenizer drops the white space around it and leaves its neighbours as they are."""
+        a, b, marked, both = self.whole(["a", "b", MARK, f"a{MARK}b"])
+        return marked[0] if len(marked) == 1 and both == a + marked + b else None
+
     def _cuts_are_safe(self) -> bool:
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
