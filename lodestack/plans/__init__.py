@@ -1 +1,3 @@
-"""See the README for the layout of the package."""
+"""The registry of queries and their SQL; importing it registers all of them."""
+
+from lodestack.plans import catalog, registry  # noqa: F401
