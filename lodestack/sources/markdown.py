@@ -26,7 +26,8 @@ NOTE = (
 
 
 def scan(spark: SparkSession, root: str, exclude: Sequence[str] = EXCLUDED) -> DataFrame:
-    """path (below root), mtime and text of each Markdown file, but those that a glob excludes."""
+    """path (below root), mtime and text of each Markdown file, but those that a glob excludes. Spark's file readers pass over
+    files without a byte, so an empty note has no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     base = F.lit(re.sub(r"^\w+:(//[^/]*)?", "", root).rstrip("/") + "/")
     path = F.substr(F.col("path"), F.instr("path", base) + F.length(base))

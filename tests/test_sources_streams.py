@@ -15,7 +15,8 @@ def test_scan_and_parse(spark, tmp_path):
     (tmp_path / ".trash").mkdir()
     (tmp_path / "a" / "n.md").write_text(DOC)
     (tmp_path / "a" / "n.txt").write_text("no")
-    (tmp_path / "e.md").write_text("")
+    (tmp_path / "e.md").write_text("\n")
+    (tmp_path / "none.md").write_text("")
     (tmp_path / ".trash" / "x.md").write_text("gone")
     rows = {r["path"]: r for r in markdown.parse(markdown.scan(spark, str(tmp_path))).collect()}
     assert set(rows) == {"a/n.md", "e.md"}
