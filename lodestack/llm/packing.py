@@ -178,7 +178,7 @@ def pack(
             blob = pa.array([x.tobytes() for x in ids], pa.binary())
             return pa.RecordBatch.from_arrays([*data, blob], names=[id_column, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        for batch in by_bytes(batches, text_column):
+        for batch in by_bytes(batches, text_column, 1 << 20):
             schema = batch.schema.field(id_column).type
             ids, offsets = encoder.encode(batch.column(text_column))
             ids = np.insert(ids, offsets[1:], end_id).astype("uint32")

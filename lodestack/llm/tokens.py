@@ -67,7 +67,7 @@ class _Units:
 
 
 class UnitTokenizer:
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
