@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators import fulltext, graph, predicates
+from lodestack.operators import briefs, fulltext, graph, links, predicates
 from lodestack.plans.registry import EDGES, bm25_sql, foreign_edges, query
 from lodestack.runtime import table
 from lodestack.sources import markdown
@@ -118,3 +118,50 @@ def verb_members(spark, sf):
 @query("SELECT lang, source, count(*) AS notes, sum(n_chars)::BIGINT AS chars, max(doc_id) AS newest FROM documents GROUP BY ALL")
 def collection_stats(spark, sf):
     return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("notes"), F.sum("n_chars").alias("chars"), F.max("doc_id").alias("newest"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+[^\p{L}\p{N}_-]*') AS ps FROM documents),
+w AS (SELECT doc_id, u.i AS i, ps[u.i] AS part, CASE WHEN u.i > 1 THEN ps[u.i - 1] END AS before FROM p, unnest(range(1, len(ps) + 1)) AS u(i)),
+k AS (SELECT doc_id, before, regexp_replace(part, '[^\p{L}\p{N}_-]+$', '') AS word FROM w)
+SELECT doc_id, CASE WHEN word = 'version' THEN 2 WHEN before = 'the ' THEN 3 ELSE 1 END::BIGINT AS target, count(*) AS n FROM k
+WHERE word IN ('license', 'version') GROUP BY ALL""")
+def mentions(spark, sf):
+    names = spark.createDataFrame([(1, "License"), (2, "version"), (3, "the license"), (4, "and")], "target long, name string")
+    return links.mentions(table(spark, sf, "documents"), names, "doc_id", "text")
+
+
+@query(r"""WITH l AS (SELECT page_id, string_split('See [the page](' || url || '), or ' || url || '.' || chr(10) || html, chr(10)) AS ls FROM pages), t AS (SELECT page_id, u.i AS line, ls[u.i] AS t FROM l, unnest(range(1, len(ls) + 1)) AS u(i))
+SELECT page_id, line::INT AS line, v.url AS url FROM t, unnest(list_distinct(list_transform(regexp_extract_all(t, 'https?://[^\s<>()\[\]"''`]+'), lambda x: rtrim(x, '.,;:!?')))) AS v(url)""")
+def hyperlinks(spark, sf):
+    text = F.concat(F.lit("See [the page]("), "url", F.lit("), or "), "url", F.lit(".\n"), "html")
+    return links.hyperlinks(table(spark, sf, "pages").select("page_id", text.alias("text")), "page_id", "text")
+
+
+@query("""SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'stale' WHEN o_orderdate < TIMESTAMP '1998-06-01' - INTERVAL 400 DAY THEN 'too_old' ELSE 'ok' END AS state
+FROM orders WHERE o_orderstatus <> 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1""")
+def brief_state(spark, sf):
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("compiled_at"), (F.col("o_orderstatus") == "F").alias("superseded"), (F.col("o_orderpriority") == "1-URGENT").alias("stale"))
+    return briefs.latest_briefs(rows, "o_custkey", "o_orderkey", F.expr("timestamp'1998-06-01'"), 400)
+
+
+@query("""WITH b AS (SELECT l_orderkey AS k, l_linenumber AS name, l_linenumber * 10 AS low, l_linenumber * 10 + l_suppkey % 40 AS high FROM lineitem),
+p AS (SELECT o_orderkey AS k, (o_custkey % 70)::INT AS point, o_totalprice AS score FROM orders),
+e AS (SELECT k, point, score, name FROM p JOIN b USING (k) WHERE point BETWEEN low AND high QUALIFY row_number() OVER (PARTITION BY k, point ORDER BY high - low, name) = 1)
+SELECT k, name, max(score) AS score, arg_max(point, score) AS point FROM e GROUP BY ALL ORDER BY score DESC, k, name LIMIT 20""")
+def section_search(spark, sf):
+    bands = table(spark, sf, "lineitem").selectExpr("l_orderkey as k", "l_linenumber as name", "l_linenumber * 10 as low", "l_linenumber * 10 + l_suppkey % 40 as high")
+    hits = table(spark, sf, "orders").selectExpr("o_orderkey as k", "cast(o_custkey % 70 as int) as point", "o_totalprice as score")
+    return briefs.section_hits(hits, bands, "k", "point", "low", "high", "name", 20)
+
+
+@query("""WITH c AS (SELECT p_partkey AS note, 'brand' AS key, p_brand AS value, CASE WHEN p_size % 3 = 0 THEN 'neighbor' ELSE 'folder' END AS origin, p_size / 50.0 AS confidence FROM part
+UNION ALL SELECT p_partkey, 'brand', 'other', 'content', 0.5 FROM part WHERE p_partkey % 6 = 0),
+t AS (SELECT note, key, value, max(CASE WHEN origin = 'neighbor' THEN confidence * 0.6 ELSE confidence END) AS s FROM c GROUP BY ALL HAVING s >= 0.2)
+SELECT note, key, value, round(s, 6)::DOUBLE AS confidence, CASE WHEN note % 4 = 0 AND value = 'other' THEN 'existing' WHEN note % 4 = 0 OR count(*) OVER (PARTITION BY note, key) > 1 THEN 'conflict' ELSE 'suggestion' END AS verdict FROM t""")
+def property_suggestions(spark, sf):
+    part = table(spark, sf, "part")
+    origin = F.when(F.col("p_size") % 3 == 0, "neighbor").otherwise("folder")
+    own = part.select(F.col("p_partkey").alias("note"), F.lit("brand").alias("key"), F.col("p_brand").alias("value"), origin.alias("origin"), (F.col("p_size") / 50.0).alias("confidence"))
+    told = own.unionByName(part.filter("p_partkey % 6 = 0").selectExpr("p_partkey as note", "'brand' as key", "'other' as value", "'content' as origin", "0.5D as confidence"))
+    present = part.filter("p_partkey % 4 = 0").selectExpr("p_partkey as note", "'brand' as key", "'other' as value")
+    return briefs.suggest(told, present).withColumn("confidence", F.round("confidence", 6))
