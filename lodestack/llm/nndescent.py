@@ -5,11 +5,14 @@ and are refined by joins of neighbours of neighbours: each node's list, forward
 vectors in it are compared. Crowded buckets and lists are split by hash into groups of bounded size, each round by another
 hash, so nothing is dropped and no task holds a hot node. Edges at or over the threshold are kept.
 
-A list whose last neighbour still reaches the threshold is saturated. Such lists are enlarged to the whole component that
-the kept edges reach: the component's vectors form blocks, pairs of blocks are multiplied, and links are counted per
-vector without writing pairs. Recall is audited each round: a hashed sample of `audit` vectors is compared with all vectors of its
-label in blocks, and rounds go on while the kept edges miss more than `1 - min_recall` of the sample's links to other
-components. Cosines are computed in double precision everywhere.
+Lists hold `k` neighbours at least and all links of a group up to `k`, so a list that may have lost a link lies in a component
+of more than `k` nodes, called dense. Dense components leave the refinement and are compared with all other nodes of their label
+exactly: their vectors form blocks, each with a centre and an angle around it; a node that no block's angle excludes is multiplied
+with that block. At the end links are counted per vector from the blocks of its component, without writing pairs.
+
+Recall of the rest is audited each round: sampled vectors are compared with all vectors of their label, and a vector counts as found
+if all its links lie in its component. The sample grows from `audit` vectors to 16 times as many until `audit // 4` of them have links
+outside dense components. Rounds go on while less than `min_recall` of those are found. Cosines are computed in double precision everywhere.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label, link with nothing and
 stand alone; vectors of different numbers of components have no cosine and don't link; repeated rows are vectors of their own that
@@ -43,15 +46,18 @@ def units(blobs: pa.Array) -> np.ndarray:
     return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
 
-def edge_batch(ids: np.ndarray, s: np.ndarray, keep: int) -> pa.Table:
-    """For each row its `keep` best partners."""
+def edge_batch(ids: np.ndarray, s: np.ndarray, keep: int, links: int, threshold: float) -> pa.Table:
+    """For each row its `keep` best partners, and more up to `links` while they reach the threshold."""
     np.fill_diagonal(s, -2.0)
-    n = min(keep, len(ids) - 1)
+    n = min(max(keep, links), len(ids) - 1)
     if n < 1:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
     best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(ids) - 1 else np.argsort(-s, axis=1)[:, :n]
-    a = np.repeat(np.arange(len(ids)), n)
+    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1), 1)
+    a, rank = np.repeat(np.arange(len(ids)), n), np.tile(np.arange(n), len(ids))
     b = best.ravel()
+    wanted = (rank < keep) | (s[a, b] >= threshold)
+    a, b = a[wanted], b[wanted]
     return pa.table({"a": ids[a], "b": ids[b], "s": s[a, b]})
 
 
@@ -62,6 +68,78 @@ def best_lists(edges: DataFrame, k: int) -> DataFrame:
     return distinct.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
 
 
+def ball(m: np.ndarray) -> tuple[np.ndarray, float]:
+    """Unit centre of unit rows, and the largest angle from it."""
+    centre = m.sum(axis=0)
+    length = np.sqrt(centre @ centre)
+    centre = centre / length if length > 1e-6 else m[0]
+    return centre, float(np.arccos(np.clip(m @ centre, -1.0, 1.0)).max())
+
+
+def in_parts(rows: DataFrame, keys: list[str], most: int, by: str) -> DataFrame:
+    """Column sub: the rows of a key in parts of about `most`, by hash of the column `by`."""
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    return rows.join(parts, keys).withColumn("sub", F.pmod(F.xxhash64(by, F.lit("block")), F.col("parts")).cast("int")).drop("parts")
+
+
+def packed(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """A row for each (keys, sub): the 64-bit columns as binary, and m, the unit vectors."""
+    kinds = dict(rows.dtypes)
+
+    def run(group: pa.Table) -> pa.Table:
+        whole_column = lambda c: [np.ascontiguousarray(group.column(c).to_numpy()).tobytes()]
+        out = {c: group.column(c).slice(0, 1) for c in [*keys, "sub"]} | {c: whole_column(c) for c in columns}
+        return pa.table(out | {"m": [units(group.column("v").combine_chunks()).tobytes()]})
+
+    fields = [*(f"{c} {kinds[c]}" for c in [*keys, "sub"]), *(f"{c} binary" for c in columns), "m binary"]
+    return rows.select(*keys, "sub", *columns, "v").groupBy(*keys, "sub").applyInArrow(run, ", ".join(fields))
+
+
+def dense_links(nodes: DataFrame, sized: DataFrame, *, dense: int, threshold: float, block_rows: int) -> DataFrame:
+    """(a, b): each node that links with a component of more than `dense` nodes, and that component's name. Exact."""
+    reach_of = np.arccos(threshold) + 1e-6
+    vectors = nodes.select("n", "label", F.length("v").alias("bytes"), "v")
+    members = sized.filter(F.col("size") > dense).select(F.col("node").alias("n"), "comp").join(vectors, "n")
+    blocks = cut_lineage(packed(in_parts(members, ["label", "bytes", "comp"], block_rows, "n"), ["label", "bytes", "comp"], ["n"]))
+
+    def centres(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row in batch.select(["n", "m"]).to_pylist():
+            n = np.frombuffer(row["n"], "int64")
+            centre, angle = ball(np.frombuffer(row["m"]).reshape(len(n), -1))
+            yield pa.RecordBatch.from_arrays([pa.array([centre.tobytes()], pa.binary()), pa.array([angle])], names=["v", "angle"])
+
+    def with_centre(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        balls = pa.Table.from_batches(list(centres(batch))).combine_chunks()
+        keys = [batch.column(c) for c in ("label", "bytes", "comp")] + [batch.column("sub").cast(pa.int64())]
+        yield pa.RecordBatch.from_arrays([*keys, balls.column("v").chunk(0), balls.column("angle").chunk(0)], names=["label", "bytes", "comp", "block", "v", "angle"])
+
+    balls = whole(blocks, with_centre, "label string, bytes int, comp long, block long, v binary, angle double")
+    balls = packed(in_parts(balls.withColumn("spot", F.xxhash64("comp", "block")), ["label", "bytes"], block_rows, "spot"), ["label", "bytes"], ["comp", "block", "angle"])
+    named = vectors.join(sized.select(F.col("node").alias("n"), "comp"), "n", "left").withColumn("comp", F.coalesce("comp", "n"))
+    every = packed(in_parts(named, ["label", "bytes"], block_rows, "n"), ["label", "bytes"], ["n", "comp"])
+
+    def close(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row in batch.to_pylist():
+            n, own, comp, block = (np.frombuffer(row[c], "int64") for c in ("n", "own", "comp", "block"))
+            angle = np.arccos(np.clip(cosines(np.frombuffer(row["m"]).reshape(len(n), -1), np.frombuffer(row["centres"]).reshape(len(comp), -1)), -1.0, 1.0))
+            i, j = np.nonzero((angle <= np.frombuffer(row["angle"]) + reach_of) & (own[:, None] != comp))
+            yield pa.RecordBatch.from_arrays([pa.array(n[i]), pa.array(comp[j]), pa.array(block[j].astype("int32"))], names=["n", "comp", "block"])
+
+    pairs = every.select("label", "bytes", "n", F.col("comp").alias("own"), "m").join(balls.select("label", "bytes", "comp", "block", "angle", F.col("m").alias("centres")), ["label", "bytes"])
+    near = whole(pairs, close, "n long, comp long, block int")
+    asked = packed(in_parts(near.join(vectors.select("n", "v"), "n"), ["comp", "block"], block_rows, "n"), ["comp", "block"], ["n"])
+
+    def linked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row in batch.to_pylist():
+            n, members = np.frombuffer(row["n"], "int64"), np.frombuffer(row["block_m"])
+            m = np.frombuffer(row["m"]).reshape(len(n), -1)
+            a = n[(cosines(m, members.reshape(-1, m.shape[1])) >= threshold).any(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.full(len(a), row["comp"], "int64"))], names=["a", "b"])
+
+    own = blocks.select("comp", F.col("sub").alias("block"), F.col("m").alias("block_m"))
+    return whole(asked.join(own, ["comp", "block"]), linked, "a long, b long").distinct()
+
+
 def near_duplicates(
     rows: DataFrame,
     *,
@@ -119,7 +197,7 @@ def near_duplicates(
     def compare(keep: int):
         def run(group: pa.Table) -> pa.Table:
             ids = group.column("n").to_numpy()
-            return edge_batch(ids, cosines(units(group.column("v").combine_chunks())), keep)
+            return edge_batch(ids, cosines(units(group.column("v").combine_chunks())), keep, k, threshold)
 
         return run
 
@@ -127,10 +205,14 @@ def near_duplicates(
     spread = coded.join(crowd, ["label", "t", "code"], "left").withColumn("sub", F.pmod(F.xxhash64("n", "t"), F.coalesce("parts", F.lit(1))))
     graph = cut_lineage(best_lists(spread.groupBy("label", "t", "code", "sub").applyInArrow(compare(k), EDGE), k))
 
-    sample = nodes.orderBy(F.xxhash64("n", F.lit("audit")), "n").limit(audit).select("n", "label", "v").collect()
-    probes = spark.sparkContext.broadcast([(r["n"], r["label"], r["v"]) for r in sample])  # `audit` vectors
+    def sampled(rest: DataFrame, most: int) -> tuple[DataFrame, bool]:
+        """Links of at most `most` nodes of the rest, and whether these are all nodes of the rest."""
+        sample = rest.orderBy(F.xxhash64("n", F.lit("audit")), "n").limit(most).select("n", "label", "v").collect()
+        probes = spark.sparkContext.broadcast([(r["n"], r["label"], r["v"]) for r in sample])  # `most` vectors
+        rows = whole(nodes.select("n", "label", "v"), lambda batch: probe(batch, probes), "a long, b long").filter("a <> b")
+        return cut_lineage(rows), len(sample) < most
 
-    def probe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def probe(batch: pa.RecordBatch, probes) -> Iterator[pa.RecordBatch]:
         labels, blobs, ids = batch.column("label").to_pylist(), batch.column("v").to_pylist(), batch.column("n").to_numpy()
         groups: dict[tuple, list[int]] = {}
         for i, key in enumerate(zip(labels, map(len, blobs), strict=True)):
@@ -143,15 +225,33 @@ def near_duplicates(
                 a, b = np.array([n for n, _ in own])[j], ids[np.array(at)[i]]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    truth = cut_lineage(whole(nodes.select("n", "label", "v"), probe, "a long, b long").filter("a <> b"))
-    for turn in range(max_rounds):
-        reach = components(graph.filter(F.col("s") >= threshold).select("a", "b"))
-        if turn >= min_rounds:
-            named = lambda c: reach.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-            checked = truth.join(named("a"), "a", "left").join(named("b"), "b", "left")
-            got = checked.agg(F.count("*").alias("all"), F.sum(F.coalesce(F.col("a_comp") == F.col("b_comp"), F.lit(False)).cast("int")).alias("found")).first()
-            if (got["found"] or 0) >= min_recall * got["all"]:
+    def judge(truth: DataFrame) -> tuple[int, int]:
+        """Sampled nodes with links outside dense components, and those of them whose links all lie in their component."""
+        named = lambda c: sized.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("size").alias(f"{c}_size"))
+        checked = truth.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("a_size", F.lit(1)) <= k).filter(F.coalesce("b_size", F.lit(1)) <= k)
+        right = checked.groupBy("a").agg(F.min(F.coalesce(F.col("a_comp") == F.col("b_comp"), F.lit(False)).cast("int")).alias("right"))
+        got = right.agg(F.count("*").alias("all"), F.sum("right").alias("found")).first()
+        return got["all"], got["found"] or 0
+
+    links, sound = graph.filter(F.col("s") >= threshold).select("a", "b"), False
+    for turn in range(max_rounds + 1):
+        reach = components(links)
+        sized = cut_lineage(reach.join(reach.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("node", "comp", "size"))
+        dense = sized.filter(F.col("size") > k)
+        rest = nodes.join(dense.select(F.col("node").alias("n")), "n", "left_anti")
+        if turn == min(min_rounds, max_rounds):
+            most, every, judged = audit, False, 0
+            while not every and judged < audit // 4 and most <= 16 * audit:
+                truth, every = sampled(rest, most)
+                judged, most = judge(truth)[0], 4 * most
+        if turn >= min(min_rounds, max_rounds):
+            judged, found = judge(truth)
+            enough = every or judged >= audit // 4
+            sound = enough and found >= min_recall * judged
+            if sound or not enough or turn == max_rounds:
                 break
+        for c in ("a", "b"):
+            graph = graph.join(dense.select(F.col("node").alias(c)), c, "left_anti")
         both = graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         both = both.unionByName(graph.select("a", F.col("a").alias("b")).distinct())  # a node meets its list, too
         crowd = both.groupBy("a").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts")).filter("parts > 1")
@@ -159,6 +259,10 @@ def near_duplicates(
         met = spread.withColumnRenamed("b", "n").join(nodes.select("n", "v"), "n").select("a", "sub", "n", "v")
         found = met.groupBy("a", "sub").applyInArrow(compare(3), EDGE)
         graph = cut_lineage(best_lists(graph.unionByName(found), k * (turn + 2)))
+        links = sized.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(graph.filter(F.col("s") >= threshold).select("a", "b"))
+
+    links = sized.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(dense_links(nodes, sized, dense=k, threshold=threshold, block_rows=block_rows))
+    reach = components(links)
 
     # Components as lists: blocks of vectors, multiplied pair by pair, give each vector's links without writing pairs.
     members = reach.select(F.col("node").alias("n"), "comp").join(nodes, "n")

@@ -252,6 +252,44 @@ def test_near_duplicate_embeddings(spark):
     assert nndescent.near_duplicates(rows.limit(0)).count() == 0
 
 
+def links_of(rows):
+    v = np.array([r[1] for r in rows], "float32").astype("float64")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (v @ v.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    return near
+
+
+def check_embeddings(spark, rows, **arguments):
+    """n_links and component_id against brute force, all rows."""
+    near = links_of(rows)
+    least = np.arange(len(rows))
+    while True:
+        new = np.minimum(least, np.where(near, least[None], len(rows)).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(spark.createDataFrame(rows, VEC), **arguments).collect()}
+    wrong = [i for i in range(len(rows)) if got[i] != (near[i].sum(), least[i])]
+    assert not wrong, (len(wrong), len(rows))
+
+
+def test_neighbouring_dense_groups_link(spark):
+    rng = np.random.default_rng(11)
+    one = rng.standard_normal(32)
+    one /= np.linalg.norm(one)
+    side = rng.standard_normal(32)
+    side -= (side @ one) * one
+    side /= np.linalg.norm(side)
+    other = np.cos(0.41) * one + np.sin(0.41) * side  # 23.5 degrees apart; 0.93 is 21.6
+    m = np.concatenate([c + 0.012 * rng.standard_normal((300, 32)) for c in (one, other)])
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(m.astype("float32"))]
+    near = links_of(rows)
+    assert 0 < near[:300, 300:].sum() < 9000
+    check_embeddings(spark, rows)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (5, 5)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
