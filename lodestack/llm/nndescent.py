@@ -12,7 +12,9 @@ with that block. At the end links are counted per vector from the blocks of its
 
 Recall of the rest is audited each round: sampled vectors are compared with all vectors of their label, and a vector counts as found
 if all its links lie in its component. The sample grows from `audit` vectors to 16 times as many until `audit // 4` of them have links
-outside dense components. Rounds go on while less than `min_recall` of those are found. Cosines are computed in double precision everywhere.
+outside dense components. Rounds go on while less than `min_recall` of those are found; after `max_rounds`, or if the sample is too
+poor to judge, all nodes outside dense components are compared exactly, in pairs of blocks. Cosines are computed in double
+precision everywhere.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label, link with nothing and
 stand alone; vectors of different numbers of components have no cosine and don't link; repeated rows are vectors of their own that
@@ -68,6 +70,18 @@ def best_lists(edges: DataFrame, k: int) -> DataFrame:
     return distinct.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
 
 
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a symmetric matrix of links: each row that has a smaller one in its component, and the smallest there."""
+    least = np.arange(len(near))
+    while True:
+        new = np.minimum(least, np.where(near, least[None, :], len(near)).min(axis=1))
+        new = new[new]
+        if (new == least).all():
+            at = np.flatnonzero(least != np.arange(len(near)))
+            return at, least[at]
+        least = new
+
+
 def ball(m: np.ndarray) -> tuple[np.ndarray, float]:
     """Unit centre of unit rows, and the largest angle from it."""
     centre = m.sum(axis=0)
@@ -140,6 +154,30 @@ def dense_links(nodes: DataFrame, sized: DataFrame, *, dense: int, threshold: fl
     return whole(asked.join(own, ["comp", "block"]), linked, "a long, b long").distinct()
 
 
+def exact_links(nodes: DataFrame, *, threshold: float, block_rows: int) -> DataFrame:
+    """(a, b): edges that connect what the links between the nodes connect, from all pairs of blocks of a label."""
+    vectors = nodes.select("n", "label", F.length("v").alias("bytes"), "v")
+    blocks = cut_lineage(packed(in_parts(vectors, ["label", "bytes"], block_rows, "n"), ["label", "bytes"], ["n"]))
+
+    def linked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row in batch.to_pylist():
+            n, o = np.frombuffer(row["n"], "int64"), np.frombuffer(row["o_n"], "int64")
+            near = cosines(np.frombuffer(row["m"]).reshape(len(n), -1), np.frombuffer(row["o_m"]).reshape(len(o), -1)) >= threshold
+            i, j = np.nonzero(near)
+            if row["sub"] == row["o_sub"]:
+                i, j = i[i != j], j[i != j]
+            ids, at = np.unique(np.concatenate([n[i], o[j]]), return_inverse=True)
+            if not len(ids):
+                continue
+            links = np.zeros((len(ids), len(ids)), bool)
+            links[at[: len(i)], at[len(i) :]] = links[at[len(i) :], at[: len(i)]] = True
+            a, b = spanning(links)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    others = blocks.select("label", "bytes", F.col("sub").alias("o_sub"), F.col("n").alias("o_n"), F.col("m").alias("o_m"))
+    return whole(blocks.join(others, ["label", "bytes"]).filter("sub <= o_sub"), linked, "a long, b long").distinct()
+
+
 def near_duplicates(
     rows: DataFrame,
     *,
@@ -262,6 +300,8 @@ def near_duplicates(
         links = sized.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(graph.filter(F.col("s") >= threshold).select("a", "b"))
 
     links = sized.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(dense_links(nodes, sized, dense=k, threshold=threshold, block_rows=block_rows))
+    if not sound:
+        links = links.unionByName(exact_links(rest, threshold=threshold, block_rows=block_rows))
     reach = components(links)
 
     # Components as lists: blocks of vectors, multiplied pair by pair, give each vector's links without writing pairs.

@@ -290,6 +290,24 @@ def test_neighbouring_dense_groups_link(spark):
     check_embeddings(spark, rows)
 
 
+def pairs_fixture(hot):
+    """Rows of 400 pairs at cosines of 0.935 to 0.95, 700 single vectors, and `hot` near copies of one vector."""
+    rng = np.random.default_rng(12)
+    m = rng.standard_normal((1500, 32))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    side = rng.standard_normal((400, 32))
+    side -= (side * m[:400]).sum(axis=1, keepdims=True) * m[:400]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.935, 0.95, (400, 1))
+    m[400:800] = c * m[:400] + np.sqrt(1 - c * c) * side
+    copies = rng.standard_normal(32) + 0.01 * rng.standard_normal((hot, 32))
+    return [(i, [float(x) for x in v], 0) for i, v in enumerate(np.concatenate([m, copies]).astype("float32"))]
+
+
+def test_missed_audit_is_followed_by_exact_comparison(spark):
+    check_embeddings(spark, pairs_fixture(0), tables=1, max_rounds=1, bucket_rows=8, min_recall=1.0)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (5, 5)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
