@@ -308,6 +308,14 @@ def test_missed_audit_is_followed_by_exact_comparison(spark):
     check_embeddings(spark, pairs_fixture(0), tables=1, max_rounds=1, bucket_rows=8, min_recall=1.0)
 
 
+def test_hot_group_does_not_hide_missed_pairs(spark):
+    rows = pairs_fixture(500)
+    got = {r["vec_id"]: r["n_links"] for r in nndescent.near_duplicates(spark.createDataFrame(rows, VEC), tables=1, bucket_rows=8).collect()}
+    near = links_of(rows)
+    assert sum(got[i] == near[i].sum() for i in range(800)) >= 0.9 * 800
+    assert all(got[i] == near[i].sum() for i in range(1500, 2000))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (5, 5)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
