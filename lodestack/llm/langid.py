@@ -1,7 +1,7 @@
 """Operator 10, language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased by character, each run of other characters than letters becomes one space, and n-grams of the
-given sizes are hashed to a fixed number of buckets. Training counts (label, bucket) pairs in the tasks and adds
+Texts are lower-cased by character, each run of other characters than letters becomes one space, as do both ends, and n-grams
+of the given sizes are hashed to a fixed number of buckets. Training counts (label, bucket) pairs in the tasks and adds
 them up by aggregation; the matrix of log-probabilities (labels x buckets, whose size is fixed by the parameters and
 checked) is broadcast. Scoring gathers the matrix rows of a batch's n-grams and adds them up by document in numpy.
 
@@ -52,12 +52,13 @@ def _letters() -> np.ndarray:
 
 def ngrams(text: pa.Array, sizes: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: bucket of every n-gram, and the row each belongs to (ascending)."""
-    texts = [t or "" for t in text.to_pylist()]
+    texts = [f" {t or ''} " for t in text.to_pylist()]
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     lengths = np.fromiter(map(len, texts), "int64", len(texts))
     mapped = _letters()[points]
     row = np.repeat(np.arange(len(texts), dtype="int32"), lengths)
     keep = mapped != 0
+    keep[:1] = True
     keep[1:] |= (mapped[:-1] != 0) | (row[1:] != row[:-1])
     mapped, row = mapped[keep], row[keep]
     for n in sizes:

@@ -99,6 +99,8 @@ def test_language_accuracy_and_cases(spark, docs):
     assert rows["right"] > 0.97
     got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2)) and got[6]["lang_pred"] in model.labels
+    assert got[3]["lang_pred"] in model.labels and got[3]["score"] > 0  # one letter
+    assert langid.score(pa.array([" a", "x", " a", "a"]), model)[0][::2] == langid.score(pa.array(["a", "a"]), model)[0]
     nothing = langid.train(empty(spark))
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
     assert langid.predict(empty(spark), model).count() == 0
