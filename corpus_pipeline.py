@@ -15,14 +15,19 @@ from lodestack.llm.common import scratch
 from lodestack.runtime import ship, table
 
 
+#: On sf0.1 the least fit of a text is near -2 spreads; invented Russian, Japanese and random letters are below -5.
+LEAST_FIT = -2.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is one of those learned from the labelled rows; texts without letters go.
+    """Keep the documents whose language is one of those learned from the labelled rows.
 
-    Rows without a label are judged like all others. Doubtful texts stay: their best language is still a learned one.
+    Texts without letters go, and those whose n-grams are too improbable in their best language, such as texts in a language
+    not learned or garbled ones. Rows without a label are judged like all others.
     """
     model = langid.train(docs)
-    judged = langid.predict(docs, model, label_out="pipeline_lang", score_out="pipeline_score")
-    return judged.filter(F.col("pipeline_lang") != langid.UND).select(*docs.columns)
+    judged = langid.predict(docs, model, label_out="pipeline_lang", score_out="pipeline_score", fit_out="pipeline_fit")
+    return judged.filter((F.col("pipeline_lang") != langid.UND) & (F.col("pipeline_fit") >= LEAST_FIT)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

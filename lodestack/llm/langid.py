@@ -5,6 +5,9 @@ of the given sizes are hashed to a fixed number of buckets. Training counts (lab
 them up by aggregation; the matrix of log-probabilities (labels x buckets, whose size is fixed by the parameters and
 checked) is broadcast. Scoring gathers the matrix rows of a batch's n-grams and adds them up by document in numpy.
 
+`fit` tells whether a text is in its label's language at all: by how many spreads the mean log-probability of its n-grams lies
+over the one usual in that label's texts. Other labels have no part in it, so a text in a language not learned has a low one.
+
 The training sample is bounded by `max_docs_per_label`, a hash of the id decides; all its texts are used whole.
 
 Cases: a null text, an empty one and one without letters give `und` and score 0; rows without a label train
@@ -36,6 +39,13 @@ class Model:
     prior: np.ndarray
     sizes: tuple[int, ...]
 
+    def usual(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and spread of an n-gram's log-probability in texts of each label."""
+        logs = self.table.astype("float64")
+        share = np.exp(logs)
+        mean = (share * logs).sum(axis=0)
+        return mean, np.sqrt((share * (logs - mean) ** 2).sum(axis=0))
+
 
 @cache
 def _letters() -> np.ndarray:
@@ -144,18 +154,36 @@ def score(text: pa.Array, model: Model, evidence: float = 60.0) -> tuple[list[st
     return labels, np.where(known, odds[np.arange(n), best], 0.0)
 
 
-def predict(docs: DataFrame, model: Model, *, text_column: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """All rows and columns, with the predicted label and its score; of the columns only the text decides."""
+def fit(text: pa.Array, model: Model, labels: list[str], usual: tuple[np.ndarray, np.ndarray], errors: float = 3.0) -> np.ndarray:
+    """Fit of each text to its label, `errors` standard errors of so short a text in its favour; 0 for `und`."""
+    n, code = len(text), {label: i for i, label in enumerate(model.labels)}
+    own = np.array([code.get(x, 0) for x in labels], "int64")
+    sums, seen = np.zeros(n), np.zeros(n)
+    for bucket, row in ngrams(text, model.sizes, len(model.table)):
+        sums += np.bincount(row, model.table[bucket, own[row]], n)
+        seen += np.bincount(row, minlength=n)
+    mean, spread = usual
+    seen1 = np.maximum(seen, 1)
+    out = (sums / seen1 - mean[own]) / np.maximum(spread[own], 1e-9) + errors / np.sqrt(seen1)
+    return np.where([x in code for x in labels], out, 0.0)
+
+
+def predict(docs: DataFrame, model: Model, *, text_column: str = "text", label_out: str = "lang_pred", score_out: str = "score", fit_out: str | None = None) -> DataFrame:
+    """All rows and columns, with the predicted label and its score, and its fit if asked for; of the columns only the text decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(label_out, score_out)
+    docs = docs.drop(label_out, score_out, *([fit_out] if fit_out else []))
+    usual = model.usual() if fit_out else None
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, text_column, 2 << 20):
             labels, scores = score(batch.column(text_column), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores)], names=[*batch.schema.names, label_out, score_out])
+            out = {label_out: pa.array(labels, pa.string()), score_out: pa.array(scores)}
+            if fit_out:
+                out[fit_out] = pa.array(fit(batch.column(text_column), shared.value, labels, usual))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out.values()], names=[*batch.schema.names, *out])
 
-    return docs.mapInArrow(run, f"{fields}, `{label_out}` string, `{score_out}` double")
+    return docs.mapInArrow(run, f"{fields}, `{label_out}` string, `{score_out}` double" + (f", `{fit_out}` double" if fit_out else ""))
 
 
 def held_out(id_column: str = "doc_id") -> Column:

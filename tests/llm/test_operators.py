@@ -324,6 +324,15 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(61)) and got[100] == got[150] == got[200] == 100
 
 
+def test_pipeline_rejects_what_is_in_no_learned_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = ["Быстрая коричневая лиса прыгает через ленивую собаку и убегает в лес", "これは日本語の文章です。今日は天気がいいですね", "xqzj wvkk qpzx zzgh jxqw vvkq xjzq pqwk", "1 2 3"]
+    odd = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(texts)], DOC).select(*docs.columns)
+    rows = docs.unionByName(odd)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, rows, "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
