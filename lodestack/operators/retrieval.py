@@ -1,4 +1,4 @@
-"""Retrieval: BM25 over postings, exact nearest neighbours, reciprocal-rank fusion, rescoring and boosts.
+"""Retrieval: BM25 over postings, exact nearest neighbours, reciprocal-rank fusion and rescoring.
 
 Filters come before every limit, texts are joined after it, and all orders end in a unique key. Scores are rounded to six
 digits, so that they don't depend on the order of additions.
