@@ -3,7 +3,8 @@
 A text is cut into units where no pre-token of the two supported kinds of tokenizer can cross: before a single space
 and around a single newline between characters that are no white space, and between ASCII letters and punctuation. So
 the ids of a text are those of its units in order. Distinct units are encoded by the library once and kept in a
-bounded cache; ids are then gathered with numpy. Tokenizers of another kind encode whole texts by the library.
+bounded cache; ids are then gathered with numpy. Tokenizers of another kind encode whole texts by the library, as are texts
+that hold the string of a special token, which the library gives that token's id.
 """
 
 from __future__ import annotations
@@ -72,8 +73,10 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cuts = self._cuts_are_safe()
+        spec = json.loads(self.tokenizer.to_str())
+        self.specials = [x["content"] for x in spec["added_tokens"]]
+        # Normalized ones are looked for in what the normalizer makes of a text, so the text itself can't tell.
+        self.cuts = self._cuts_are_safe(spec) and not any(x["normalized"] for x in spec["added_tokens"])
         self.mark = self._mark() if self.cuts else None
         self.units = _Units(self.several, limit)
 
@@ -98,8 +101,8 @@ class UnitTokenizer:
         a, b, marked, both = self.whole(["a", "b", MARK, f"a{MARK}b"])
         return marked[0] if len(marked) == 1 and both == a + marked + b else None
 
-    def _cuts_are_safe(self) -> bool:
-        spec = json.loads(self.tokenizer.to_str())
+    @staticmethod
+    def _cuts_are_safe(spec: dict) -> bool:
         before = spec.get("pre_tokenizer") or {}
         if spec["normalizer"] is None and before.get("type") == "ByteLevel":
             return before["use_regex"] and not before["add_prefix_space"]
@@ -111,6 +114,21 @@ class UnitTokenizer:
         """All ids as uint32 and the offsets of each text (len(text) + 1); a null text has none."""
         if not self.cuts:
             return _flat(self.whole(pc.fill_null(text, "").to_pylist()), len(text))
+        special = np.zeros(len(text), bool)
+        for content in self.specials:
+            special |= pc.fill_null(pc.match_substring(text, content), False).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._from_units(text)
+        mask = pa.array(special)
+        ids, at = self._from_units(pc.if_else(mask, pa.scalar(None, text.type), text))
+        whole, whole_at = _flat(self.whole(text.filter(mask).to_pylist()), int(special.sum()))
+        sizes = np.diff(at)
+        sizes[special] = np.diff(whole_at)
+        out, owner = np.empty(len(ids) + len(whole), "uint32"), np.repeat(special, sizes)
+        out[owner], out[~owner] = whole, ids
+        return out, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _from_units(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, bounds = flat_text(text)
         if not len(data):
             return np.zeros(0, "uint32"), np.zeros(len(text) + 1, "int64")

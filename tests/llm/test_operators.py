@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -13,7 +14,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import orc
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodestack.llm import jaccard, langid, linededup, mixing, mtree, nndescent, orc_store, packing, queries, sharding, urlfilter
@@ -43,15 +46,56 @@ def empty(spark):
 @given(texts=st.lists(st.one_of(st.text(alphabet=st.sampled_from("ab'sẞé́ \n\t .,!?\u00a0\u3000\u0085x12日–\x01"), max_size=40), st.text(max_size=30)), min_size=1, max_size=5))
 def test_cut_encoding_equals_whole(path, texts):
     texts = [t.encode("utf-8", "replace").decode() for t in texts]
-    encoder = load(path)
-    ids, at = encoder.encode(pa.array(texts, pa.string()))
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == encoder.whole(texts)
+    ids, at = load(path).encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == plain(path, texts)
+
+
+@cache
+def fresh(path):
+    return Tokenizer.from_file(path)
+
+
+def plain(path, texts):
+    """The library's own ids, by a tokenizer that nothing of the package has touched."""
+    return [fresh(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_have_the_ids_of_the_library():
+    texts = ["a <|endoftext|> b", None, "no such token, here", "<|startoftext|>it's<|endoftext|>", "", "<|ENDOFTEXT|> x <|endoftext |>"]
+    for path, first in ((BYTE, [64, 220, 50256, 275]), (WORD, [320, 49407, 321])):
+        ids, at = load(path).encode(pa.array(texts, pa.string()))
+        got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert got[0] == first and got == plain(path, [t or "" for t in texts])
+
+
+def test_query_digests_equal_a_fresh_tokenizer(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    coded = {i: plain(BYTE, [t])[0] + [0] for i, t in texts.items()}
+    rows = queries.op1_packing(spark, "/root/testdata/sf0.001").collect()
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert all(r["ids_crc32"] == crc(coded[r["doc_id"]][r["start"] : r["start"] + r["length"]]) and r["doc_tokens"] == len(coded[r["doc_id"]]) for r in rows)
+    assert sum(r["length"] for r in rows) == sum(map(len, coded.values()))
+    at, want = 0, set()
+    for i in sorted(texts):
+        ids = plain(WORD, [texts[i]])[0] + [2]
+        want.add((i, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert {tuple(r) for r in queries.op4_orc_tokens(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_orc_files_hold_stripes_and_prune(spark, tmp_path):
+    docs = spark.range(24000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.xxhash64("id", F.lit(i)).cast("string") for i in range(4)]).alias("text"))
+    path = str(tmp_path / "t")
+    orc_store.write_tokens(docs, path, WORD, files=2, stripe_bytes=1 << 16, row_index_stride=1000)
+    files = [orc.ORCFile(f) for f in glob.glob(f"{path}/*.orc")]
+    assert len(files) == 2 and all(f.nstripes > 1 for f in files) and sum(f.read_stripe(i).num_rows for f in files for i in range(f.nstripes)) == 24000
+    one = spark.read.orc(path).filter("doc_id = 77")
+    assert one.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)]" in one._jdf.queryExecution().toString()
 
 
 def test_packing(spark, docs):
     rows = packing.pack(docs, BYTE, window=64, buffer=4).collect()
-    encoder = load(BYTE)
-    want = [tuple(encoder.whole([t or ""])[0] + [0]) for t in [*TEXTS, TEXTS[4], "no id at all"]]
+    want = [tuple(plain(BYTE, [t or ""])[0] + [0]) for t in [*TEXTS, TEXTS[4], "no id at all"]]
     assert sum(r["length"] for r in rows) == sum(map(len, want))
     by_doc = {}
     for r in rows:
@@ -85,7 +129,7 @@ def test_orc_round_trip(spark, docs, tmp_path):
     at = 0
     order = sorted([(r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in docs.select("doc_id", "text").collect()], key=lambda x: (x[0], x[1] or ""))
     for got, (i, t) in zip(sorted(rows, key=lambda r: r["start"]), order, strict=True):
-        ids = np.array(load(WORD).whole([t or ""])[0] + [2], "<u4")
+        ids = np.array(plain(WORD, [t or ""])[0] + [2], "<u4")
         assert (got["doc_id"] if got["doc_id"] is not None else -1, got["start"], got["n_tokens"], got["ids_crc32"]) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     orc_store.write_tokens(empty(spark), str(tmp_path / "e"), WORD)
@@ -157,14 +201,32 @@ def test_query_equals_sql(spark, name):
 
 
 def test_line_dedup_both_ways(spark, docs):
-    rows = [(i, f"body {i}\nAll rights  \n\nend {i}", f"s{i}") for i in range(6)] + [(9, "copy a\ncopy b", f"s{i}") for i in range(8)] + [(10, None, None), (11, "", "s1")]
+    rows = [(i, f"body {i}\nAll rights  \n\nend {i}", f"s{i}") for i in range(6)] + [(9, "copy a\ncopy b", f"s{i}") for i in range(8)]
+    rows += [(10, None, None), (11, "", "s1"), (12, "body 0\ncopy a", "s1"), *[(20 + i, "four sites\nnull site", f"s{i}" if i else None) for i in range(4)]]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for most in (1000, 0):
         got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(frame, max_lookup=most).collect()}
-        assert got[3] == "body 3\n\nend 3" and got[9] == "copy a\ncopy b" and got[10] is None and got[11] == ""
+        assert got[3] == "body 3\n\nend 3" and got[9] == "" and got[10] is None and got[11] == "" and got[12] == "body 0" and got[21] == "four sites\nnull site"
+        once = frame.dropDuplicates(["text"])
+        got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(frame, max_lookup=most, counted=once).collect()}
+        assert got[3] == "body 3\n\nend 3" and got[9] == "copy a\ncopy b"
     assert linededup.line_dedup(docs).count() == docs.count() and linededup.line_dedup(empty(spark)).count() == 0
 
 
+BLOCK = ["Menu home", "About us", "Contact here", "body {}", "Share this", "All rights reserved", "Cookie notice", "end {}"]
+
+
+def test_every_line_of_a_block_goes(spark):
+    """Boilerplate with the same neighbours on every site, and a line on as many rows of one site."""
+    rows = [(i, "\n".join(BLOCK).replace("{}", str(i)), f"s{i}") for i in range(40)] + [(100 + i, f"only here\nx {i}", "s1") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.line_dedup(frame, min_sites=5).collect()}
+    assert got == {i: (f"body {i}\nend {i}", 6) for i in range(40)} | {100 + i: (f"only here\nx {i}", 0) for i in range(40)}
+    for n in (29, 30, 31):  # about a threshold where the sketches estimate
+        lines = spark.range(n * 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), F.col("id") % 3).alias("text"), F.floor(F.col("id") / 3).cast("string").alias("source"))
+        assert linededup.boilerplate(lines, min_sites=30).count() == (3 if n >= 30 else 0)
+
+
 def test_url_cases(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.ORG/en/12?q"), (4, "https://com/de/x"), (5, "http://xcom/de/x"), (6, "http://b.com"), (7, "x://y.org?/es/"), (8, "http://example.org/es/#a")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("clash"))
@@ -211,10 +273,34 @@ def test_sharding(spark, docs, tmp_path):
         rows = sharding.read_shards(spark, str(tmp_path / str(i)), shards)
         n = rows.count()
         assert n == frame.count()
+        assert sorted(str(r["doc_id"]) for r in rows.select("doc_id").collect()) == sorted(str(r["doc_id"]) for r in frame.select("doc_id").collect())
         got = rows.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("d")).collect()
         assert all(r["a"] == 0 and r["b"] == r["n"] - 1 and r["d"] == r["n"] and abs(r["n"] * shards - n) < shards for r in got)
 
 
+def test_shard_files_follow_the_curve_by_bytes(spark, tmp_path):
+    """Files are runs of the curve of about equal bytes, though a few rows hold most of them, one cell a third, and a column thousands of values."""
+    long = F.when(F.col("id") % 50 == 0, F.repeat(F.lit("x"), F.lit(20000))).otherwise(F.repeat(F.lit("y"), (F.col("id") % 300 + 1).cast("int")))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), long.alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("value "), F.col("id"))).alias("source"), (F.pmod(F.xxhash64("id"), F.lit(6000)) - 3000).alias("n"))
+    path = str(tmp_path / "s")
+    sharding.write_shards(docs, path, dimensions=("source", "n"), files=16)
+    rows = sharding.read_shards(spark, path, 8)
+    runs = sorted(rows.groupBy("file").agg(F.min("curve").alias("a"), F.max("curve").alias("b"), F.sum(F.length("text") + 1).alias("size")).collect(), key=lambda r: r["file"])
+    assert len(runs) == 16 and all(x["b"] <= y["a"] for x, y in zip(runs, runs[1:]))
+    mean = sum(r["size"] for r in runs) / 16
+    assert max(r["size"] for r in runs) < 1.4 * mean
+    assert rows.select("curve").distinct().count() > 300  # both columns are parted beyond a thousand values, negative numbers too
+    order = [(r["shard"], r["slot"], r["curve"]) for r in rows.orderBy("shard", "slot").collect()]
+    assert [c for _, _, c in order] == sorted(c for _, _, c in order)
+
+
+def test_sharding_query_digests(spark):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = queries.op7_hilbert_sharding(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got} == {i: (len(t) + 1, zlib.crc32(t), "rows", None) for i, t in texts.items()}
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(8) for k in range(len(texts) // 8)]
+
+
 VEC = "vec_id long, embedding array<float>, label int"
 ODD = [(1000, None, 1), (1001, [], 1), (1002, [1.0, None], 1), (1003, [float("nan"), 1.0], 1), (1004, [0.0] * 4, 1), (1005, [1.0, 0.0, 0.0, 0.0], None), (1006, [float("inf")] * 4, 1), (1100, [1.0, 2.0], 1)]
 
@@ -346,4 +432,4 @@ def test_pipeline_stages(spark):
     assert len(left) == start.count()
     mixed = corpus_pipeline.mixture(spark, start, sf)
     pieces = corpus_pipeline.windows(spark, mixed, sf)
-    assert pieces.agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in load(BYTE).whole([r["text"] for r in mixed.collect()]))
+    assert pieces.agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in plain(BYTE, [r["text"] or "" for r in mixed.collect()]))
