@@ -1,14 +1,17 @@
 """Operator 5, line dedup by distinct-site spread.
 
-A line is boilerplate if it stands in many contexts that come from many sites. A context is the line with the lines
-before and after it, and belongs to the smallest site that has it: so copies and near copies of a document, which
-repeat a line in the same context, don't make it spread, while a license line or a menu in unrelated documents does.
-HyperLogLog sketches of sites are merged per line hash by aggregation; lines whose estimate lies within `sigmas` standard
+A line is boilerplate if it stands on `min_sites` distinct sites or more, wherever it stands in their texts. HyperLogLog
+sketches of sites are merged per line hash by aggregation, tasks first; lines whose estimate lies within `sigmas` standard
 errors of the threshold get exact distinct counts; the rest is decided by the estimate.
 
+Sites are counted in all rows, or in those of `counted` alone: a caller that must spare copies of documents, which repeat
+whole texts on many sites, gives one row of each group of copies there. Lines are removed from all rows either way.
+
 Removal is exact on the 64-bit line hash. Up to `max_lookup` lines the hashes form a two-level array behind a scalar
 subquery, and documents are cleaned where they are, without a shuffle; beyond that they are joined by line hash (rows of
-narrow columns), gathered per document, and joined to the documents. All expressions are built in.
+narrow columns), gathered per document, and joined to the documents. In the same way, up to `max_lookup` lines near the
+threshold (of 8 bytes each) are broadcast to count their sites; beyond that distinct (line, site) rows are joined. Both ways
+give the same rows. All expressions are built in.
 
 Cases: a null text stays null and loses nothing; an empty text is one blank line; blank lines are never removed, nor do
 they count; lines are compared without the spaces around them; a null site is a site of its own; a text whose lines all go
@@ -29,25 +32,28 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.when(F.trim(x) == "", F.lit(0)).otherwise(F.xxhash64(F.trim(x))))
 
 
-def contexts(docs: DataFrame, site_column: str, text_column: str) -> DataFrame:
-    """A row for each line and context: h, site (the smallest that has it)."""
-    hashes = docs.filter(F.col(text_column).isNotNull()).select(F.coalesce(F.concat(F.lit("="), F.col(site_column).cast("string")), F.lit("")).alias("site"), line_hashes(F.col(text_column)).alias("hs"))
-    lines = hashes.select("site", "hs", F.posexplode("hs").alias("pos", "h")).filter("h <> 0")
-    around = F.xxhash64(F.when(F.col("pos") > 0, F.get("hs", F.col("pos") - 1)), F.get("hs", F.col("pos") + 1), F.col("h"))
-    return lines.select("site", "h", around.alias("context")).groupBy("h", "context").agg(F.min("site").alias("site"))
+def spots(docs: DataFrame, site_column: str, text_column: str) -> DataFrame:
+    """A row (h, site) for each distinct line of each text that isn't blank."""
+    site = F.coalesce(F.concat(F.lit("="), F.col(site_column).cast("string")), F.lit(""))
+    return docs.select(site.alias("site"), F.explode(F.array_distinct(line_hashes(F.col(text_column)))).alias("h")).filter("h <> 0")
 
 
-def boilerplate(docs: DataFrame, *, min_sites: int = 5, site_column: str = "source", text_column: str = "text", lg_k: int = 12, sigmas: float = 3.0) -> DataFrame:
-    """Hashes (h) of the lines that spread over `min_sites` sites or more."""
-    spots = cut_lineage(contexts(docs, site_column, text_column))
+def boilerplate(docs: DataFrame, *, min_sites: int = 5, site_column: str = "source", text_column: str = "text", lg_k: int = 12, sigmas: float = 3.0, max_lookup: int = 200_000) -> DataFrame:
+    """Hashes (h) of the lines that stand on `min_sites` sites or more."""
+    seen = spots(docs, site_column, text_column)
     error = sigmas * 1.04 / (2 ** (lg_k / 2))
-    often = spots.groupBy("h").agg(F.count("*").alias("n_contexts"), F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch")).filter(F.col("n_contexts") >= min_sites)
-    estimates = cut_lineage(often.select("h", F.hll_sketch_estimate("sketch").alias("estimate")).filter(F.col("estimate") >= min_sites * (1 - error) - 1))
     # Estimates are rounded to whole sites, hence the one site more on either side.
-    sure = estimates.filter(F.col("estimate") > min_sites * (1 + error) + 1).select("h")
-    near = estimates.filter(F.col("estimate") <= min_sites * (1 + error) + 1).select("h")
-    exact = spots.join(near, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("sites"))
-    return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("h"))
+    low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
+    sketches = seen.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+    estimates = cut_lineage(sketches.select("h", F.hll_sketch_estimate("sketch").alias("estimate")).filter(F.col("estimate") >= low))
+    sure = estimates.filter(F.col("estimate") > high).select("h")
+    near = estimates.filter(F.col("estimate") <= high).select("h")
+    if near.count() <= max_lookup:
+        pairs = seen.join(F.broadcast(near), "h", "left_semi").distinct()
+    else:
+        pairs = seen.distinct().join(near, "h", "left_semi")
+    exact = pairs.groupBy("h").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+    return sure.unionByName(exact.select("h"))
 
 
 def remove_lines(docs: DataFrame, lines: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", max_lookup: int = 200_000) -> DataFrame:
@@ -84,7 +90,17 @@ def remove_lines(docs: DataFrame, lines: DataFrame, *, id_column: str = "doc_id"
     return out.drop("dedup_kept", listed)
 
 
-def line_dedup(docs: DataFrame, *, min_sites: int = 5, site_column: str = "source", id_column: str = "doc_id", text_column: str = "text", lg_k: int = 12, max_lookup: int = 200_000) -> DataFrame:
-    """Remove the lines that `boilerplate` finds from every text."""
-    lines = boilerplate(docs, min_sites=min_sites, site_column=site_column, text_column=text_column, lg_k=lg_k)
+def line_dedup(
+    docs: DataFrame,
+    *,
+    min_sites: int = 5,
+    site_column: str = "source",
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    lg_k: int = 12,
+    max_lookup: int = 200_000,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Remove the lines that `boilerplate` finds in `counted` (all rows, unless given) from every text."""
+    lines = boilerplate(docs if counted is None else counted, min_sites=min_sites, site_column=site_column, text_column=text_column, lg_k=lg_k, max_lookup=max_lookup)
     return remove_lines(docs, lines, id_column=id_column, text_column=text_column, max_lookup=max_lookup)

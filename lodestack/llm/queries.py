@@ -64,13 +64,8 @@ WITH lines AS (
   FROM documents d, unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS u(pos)
 ), keyed AS (
   SELECT doc_id, coalesce(site, '') AS site, pos, line, trim(line, ' ') AS key FROM lines
-), around AS (
-  SELECT *, coalesce(lag('.' || key) OVER w, '') AS before, coalesce(lead('.' || key) OVER w, '') AS after
-  FROM keyed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
-), contexts AS (
-  SELECT key, before, after, min(site) AS site FROM around WHERE key <> '' GROUP BY ALL
 ), boilerplate AS (
-  SELECT key FROM contexts GROUP BY key HAVING count(DISTINCT site) >= 5
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= 5
 ), marked AS (
   SELECT k.*, b.key IS NOT NULL AS goes FROM keyed k LEFT JOIN boilerplate b USING (key)
 ), cleaned AS (
