@@ -4,13 +4,13 @@ Several metadata columns are quantised to the same number of bits each, and the
 that many dimensions orders the rows: rows close in all columns lie close on the curve, so that files and shards, cut as
 runs of that order, have narrow ranges in each column and are pruned by any of them.
 
-Whole rows are dealt to files by ranges of (curve index, id), which splits a hot cell by id, sorted, and written once. A
+Whole rows are dealt to files by runs of the curve of about equal bytes, a hot cell parted by hash, sorted, and written once. A
 row's position follows from its file and its place in it, and from one count a file. Shard s holds the positions
 from ceil(s * n / shards) on: counts are at most one apart (law `rows`).
 
-Cases: a null in a quantised column is a value of its own (the lowest); numbers are quantised by the power of two, texts by
-the rank of the value among those of the column up to `max_values`, and by hash beyond; a null text has size 1 and crc32 0;
-ties on the curve and the id are ordered by text, repeated rows get positions of their own; earlier columns
+Cases: a null in a quantised column is a value of its own (the lowest); numbers, negative ones too, are quantised by the
+quantiles of their rows, other values by boundaries between equally many distinct values, in their order, however many there
+are; a null text has size 1 and crc32 0; ties on the curve and the id are ordered by text, repeated rows get positions of their own; earlier columns
 named as the outputs are replaced; an empty table gives no rows.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import partitions
+from lodestack.llm.common import cut_lineage, partitions
 
 OUTPUTS = ("shard", "slot", "curve", "file", "place")
 
@@ -74,21 +74,29 @@ def hilbert(axes: list[Column], bits: int) -> Column:
     return let(F.array(*[a.cast("int") for a in axes]), lambda x: run(x, steps))
 
 
-def quantise(df: DataFrame, column: str, bits: int, max_values: int) -> Column:
-    """0 for null; numbers by the power of two, other values by rank among the column's values, from 1."""
-    top = (1 << bits) - 1
-    col = F.col(column)
-    if isinstance(df.schema[column].dataType, T.NumericType):
-        size = F.floor(F.log2(F.greatest(F.abs(col.cast("double")), F.lit(0.0)) + 1)) + 1
-        return F.coalesce(F.least(size, F.lit(top)), F.lit(0)).cast("int")
-    values = [r[0] for r in df.select(col.cast("string")).filter(col.isNotNull()).distinct().limit(max_values + 1).collect()]
-    if len(values) > max_values:
-        return F.coalesce(F.pmod(F.xxhash64(col.cast("string")), F.lit(top)) + 1, F.lit(0)).cast("int")
-    values.sort()
-    ranks = F.array(*[F.lit(v) for v in values]) if values else F.array(F.lit(""))
-    rank = F.array_position(ranks, col.cast("string"))
-    scaled = rank if len(values) <= top else F.floor((rank - 1) * top / len(values)) + 1
-    return F.coalesce(scaled, F.lit(0)).cast("int")
+def boundaries(df: DataFrame, columns: tuple[str, ...], bits: int) -> dict[str, list]:
+    """For each column at most 2**bits - 2 values that part its rows (numbers) or its distinct values (others) about evenly."""
+    cells = (1 << bits) - 1
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    out: dict[str, list] = {}
+    if numeric:
+        shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+        found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, F.lit(1000)).alias(f"q{i}") for i, c in enumerate(numeric)]).first()
+        out = {c: sorted(set(found[i] or [])) for i, c in enumerate(numeric)}
+    for c in columns:
+        if c not in out:
+            values = df.select(F.col(c).cast("string").alias("x")).filter("x is not null").distinct()
+            parts = values.repartitionByRange(cells, "x").groupBy(F.spark_partition_id().alias("part")).agg(F.min("x").alias("x"))
+            starts = sorted(r["x"] for r in parts.collect())  # a row for each part, however many values there are
+            out[c] = starts[1 :: -(-len(starts) // cells)] if starts else []
+    return out
+
+
+def quantise(df: DataFrame, column: str, bounds: list) -> Column:
+    """0 for null, else 1 and one more for each boundary that the value reaches."""
+    col = F.col(column).cast("double" if isinstance(df.schema[column].dataType, T.NumericType) else "string")
+    rank = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= col)) + 1 if bounds else F.lit(1)
+    return F.when(col.isNull(), F.lit(0)).otherwise(rank).cast("int")
 
 
 def write_shards(
@@ -100,18 +108,34 @@ def write_shards(
     id_column: str = "doc_id",
     text_column: str = "text",
     files: int | None = None,
-    max_values: int = 1000,
+    file_bytes: int = 128 << 20,
 ) -> None:
-    """Write all rows and columns once, in curve order, as Parquet files that hold runs of it; `file` and `place` are added."""
+    """Write all rows and columns once, in curve order, as Parquet files that hold runs of it; `file` and `place` are added.
+
+    Runs are cut by the bytes of text before them, so files are about equally long whatever the curve sorts by: as many as
+    there are shuffle partitions, and more where they would be over `file_bytes`. One scan adds up the bytes of the curve's
+    cells, at most 2 ** (bits * number of dimensions) rows; a cell over a quarter of a file is cut by hash of id and text.
+    """
+    if bits * len(dimensions) > 18:
+        raise ValueError(f"{bits} bits for each of {len(dimensions)} dimensions make more than 2**18 cells; lower bits")
+    spark = df.sparkSession
     df = df.drop(*(set(OUTPUTS) - {id_column, text_column}))
-    axes = [quantise(df, d, bits, max_values) for d in dimensions]
-    curved = df.withColumn("curve", hilbert(axes, bits))
-    order = ["curve", id_column]
-    ordered = curved.repartitionByRange(files or partitions(df.sparkSession), *order).sortWithinPartitions(*order, text_column)
-    spot = F.monotonically_increasing_id()
-    ordered = ordered.withColumn("spot", spot)
-    placed = ordered.withColumns({"file": F.shiftright("spot", 33).cast("int"), "place": F.col("spot").bitwiseAND(F.lit((1 << 33) - 1))}).drop("spot")
-    placed.write.parquet(path)
+    bounds = boundaries(df, dimensions, bits)
+    curved = df.withColumn("curve", hilbert([quantise(df, d, bounds[d]) for d in dimensions], bits))
+    size = F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long") + 1
+    cells = cut_lineage(curved.groupBy("curve").agg(F.sum(size).alias("bytes")))
+    total = cells.agg(F.sum("bytes")).first()[0] or 0
+    n_files = files or max(partitions(spark), -(-total // file_bytes))
+    target = max(1.0, total / n_files)
+    before = F.sum("bytes").over(Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cells.select("curve", F.coalesce(before, F.lit(0)).alias("cell_start"), "bytes", F.ceil(F.col("bytes") * 4 / target).alias("cell_parts"))
+    starts = starts.select(F.col("curve").alias("cell"), "cell_start", "cell_parts", (F.col("bytes") / F.col("cell_parts")).alias("cell_step"))
+    dealt = curved.join(F.broadcast(starts), F.col("curve") == F.col("cell"))  # 2**18 rows at most
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(id_column, text_column), F.col("cell_parts")))
+    file = F.least(F.floor((F.col("cell_start") + F.col("part") * F.col("cell_step")) / target), F.lit(n_files - 1)).cast("int")
+    dealt = dealt.withColumn("file", file).drop("cell", "cell_start", "cell_parts", "cell_step")
+    ordered = dealt.repartitionById(n_files, F.col("file")).sortWithinPartitions("curve", "part", id_column, text_column).drop("part")
+    ordered.withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, shards: int) -> DataFrame:
