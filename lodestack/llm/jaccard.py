@@ -84,7 +84,7 @@ def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, num: int, den: int) -
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in by_bytes(batches, "text"):
+    for batch in by_bytes(batches, "text", 1 << 20):  # hashing a text takes some forty times its bytes
         value, at = shingle_sets(batch.column("text"), words)
         yield batch, value, at, fingerprints(value, at)
 
