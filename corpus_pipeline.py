@@ -30,9 +30,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.filter((F.col("pipeline_lang") != langid.UND) & (F.col("pipeline_fit") >= LEAST_FIT)).select(*docs.columns)
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """The ids (doc_id) of documents that links of Jaccard similarity 0.75 or more connect with one of a smaller id."""
+    classes = jaccard.jaccard_classes(docs, words=5, threshold=0.75)
+    return classes.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out the lines that spread over five sites or more in unrelated contexts; all rows stay."""
-    kept = linededup.line_dedup(docs, min_sites=5)
+    """Take out the lines that stand on five sources or more, as counted in one document of each group of near copies.
+
+    So a document that many sources copy keeps its lines, and the copies stay alike for the next stage. All rows stay: a null
+    text stays null, an empty one empty, one whose lines all go becomes empty; a null source is a source of its own.
+    """
+    kept = linededup.line_dedup(docs, min_sites=5, counted=docs.join(copies(docs), "doc_id", "left_anti"))
     # n_chars follows the text, where the text changed.
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)
@@ -43,19 +53,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words link with nothing and stay, as do rows without an id. Rows that repeat that id stay with it.
     """
-    classes = jaccard.jaccard_classes(docs, words=5, threshold=0.75)
-    copies = classes.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    return docs.join(copies(docs), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw each source to the square root of its bytes, about as many bytes as there are, in global random order."""
+    """Draw each source to the square root of its bytes, about as many bytes as there are, in global random order.
+
+    Rows may go or repeat, as drawn; a null source is a source of its own, one without bytes is kept once, and rows of one id
+    (null ids count as one) draw the same count.
+    """
     return mixing.mix(docs, temperature=0.5, epochs=1.0, seed="pipeline").select(*docs.columns)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all drawn documents into sequences of 1024 ids."""
+    """Pack all drawn documents into sequences of 1024 ids; null and empty texts are an end id, repeated rows are packed each."""
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
