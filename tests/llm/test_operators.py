@@ -322,6 +322,52 @@ def test_mtree_equals_brute_force(spark):
     assert mtree.top_k(rows.limit(0), is_query=F.lit(True)).count() == 0
 
 
+def brute_top(m, ids, own, k):
+    """The k best of whole-number vectors for each query id, in Python's numbers."""
+    rows = [[int(x) for x in v] for v in m]
+    want = set()
+    for i in own:
+        q = rows[ids.index(i)]
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v)))), j) for j, v in zip(ids, rows) if j != i)[:k]
+        want |= {(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scores)}
+    return want
+
+
+@pytest.mark.parametrize(("dim", "scale"), [(768, 1024.0), (1536, 1024.0), (5, 2.0**40), (3, 2.0**70)])
+def test_mtree_in_many_dimensions_and_with_large_components(spark, dim, scale):
+    """Many small pages, directory blocks and query blocks; scores beyond 2**53 are whole numbers held to a long."""
+    rng = np.random.default_rng(dim)
+    m = rng.standard_normal((400, dim))
+    m[200:] = m[rng.integers(0, 40, 200)] + 0.05 * rng.standard_normal((200, dim))
+    rows = spark.createDataFrame([(i, [float(x) for x in v], "clash") for i, v in enumerate(m)], "vec_id long, embedding array<double>, rank string")
+    got = mtree.top_k(rows, is_query=F.col("vec_id") % 40 == 0, k=6, scale=scale, page_rows=24, root_cells=5, directory_pages=3, query_block=3, salt_blocks=1, leaf=4).collect()
+    assert {tuple(r) for r in got} == brute_top(np.floor(scale * m), list(range(400)), range(0, 400, 40), 6)
+
+
+def test_mtree_opens_few_leaves(spark):
+    """Clustered vectors: most inner products of a page are never computed."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 16)) * 1000
+    m = np.floor(centres[rng.integers(0, 40, 4000)] + 10 * rng.standard_normal((4000, 16)))
+    stored = mtree.Page.stored(np.arange(4000), m, 64)
+    page = mtree.Page({"page": "x"} | stored)
+    opened = []
+    page.vectors = type("Counted", (), {"__getitem__": lambda _, rows, v=page.vectors: opened.append(len(rows)) or v[rows]})()
+    q, ids, scores = page.search(m[:1], np.array([0]), np.array([-np.inf]), 10)
+    all_scores = (m @ m[0]).astype("int64")
+    order = [i for i in np.lexsort((np.arange(4000), -all_scores)) if i][:10]
+    assert ids.tolist() == order and scores.tolist() == all_scores[order].tolist() and sum(opened) < 1500
+
+
+def test_mtree_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.5]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [3.0]), (None, [9.0, 9.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in mtree.top_k(frame, is_query=F.col("vec_id") == 0, scale=2.0).collect())
+    assert got == [(0, 1, 2, 6)]  # the query of fewest components
+    got = sorted(tuple(r) for r in mtree.top_k(frame, is_query=F.col("vec_id") == 1, scale=2.0).collect())
+    assert got == [(1, 1, 0, 8), (1, 2, 0, 4)]
+
+
 def test_near_duplicate_embeddings(spark):
     rng = np.random.default_rng(5)
     m = rng.standard_normal((300, 16))
