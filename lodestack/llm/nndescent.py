@@ -3,7 +3,8 @@
 Equal vectors of a label are one node with a weight. Lists of `k` neighbours start in buckets of random-projection signs,
 and are refined by joins of neighbours of neighbours: each node's list, forward and reverse, meets in one group, and all
 vectors in it are compared. Crowded buckets and lists are split by hash into groups of bounded size, each round by another
-hash, so nothing is dropped and no task holds a hot node. Edges at or over the threshold are kept.
+hash, so nothing is dropped and no task holds a hot node. A list whose `k` neighbours all link is saturated, and is enlarged
+by more that do, `k` each round. Edges at or over the threshold are kept.
 
 Lists hold `k` neighbours at least and all links of a group up to `k`, so a list that may have lost a link lies in a component
 of more than `k` nodes, called dense. Dense components leave the refinement and are compared with all other nodes of their label
@@ -63,11 +64,20 @@ def edge_batch(ids: np.ndarray, s: np.ndarray, keep: int, links: int, threshold:
     return pa.table({"a": ids[a], "b": ids[b], "s": s[a, b]})
 
 
-def best_lists(edges: DataFrame, k: int) -> DataFrame:
-    """The k best distinct partners of each node."""
+def best_lists(edges: DataFrame, k: int, most: int, threshold: float) -> DataFrame:
+    """The k best distinct partners of each node; a list that is saturated, whose k-th partner links, holds up to `most` that do."""
     distinct = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
-    return distinct.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
+    kept = distinct.withColumn("r", rank).filter(F.col("r") <= most)
+    return kept.filter((F.col("r") <= k) | (F.col("s") >= threshold)).drop("r")
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], most: int = 64) -> DataFrame:
+    """Each block of the left (numbered by sub) with all of its key's on the right, which are repeated for every `most` of the left: no key is one task's."""
+    salted = left.withColumn("salt", F.floor(F.col("sub") / most))
+    last = salted.groupBy(*keys).agg(F.max("salt").alias("last"))
+    copies = right.join(last, keys).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
+    return salted.join(copies, [*keys, "salt"]).drop("salt")
 
 
 def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +149,7 @@ def dense_links(nodes: DataFrame, sized: DataFrame, *, dense: int, threshold: fl
             i, j = np.nonzero((angle <= np.frombuffer(row["angle"]) + reach_of) & (own[:, None] != comp))
             yield pa.RecordBatch.from_arrays([pa.array(n[i]), pa.array(comp[j]), pa.array(block[j].astype("int32"))], names=["n", "comp", "block"])
 
-    pairs = every.select("label", "bytes", "n", F.col("comp").alias("own"), "m").join(balls.select("label", "bytes", "comp", "block", "angle", F.col("m").alias("centres")), ["label", "bytes"])
+    pairs = meet(every.select("label", "bytes", "sub", "n", F.col("comp").alias("own"), "m"), balls.select("label", "bytes", "comp", "block", "angle", F.col("m").alias("centres")), ["label", "bytes"])
     near = whole(pairs, close, "n long, comp long, block int")
     asked = packed(in_parts(near.join(vectors.select("n", "v"), "n"), ["comp", "block"], block_rows, "n"), ["comp", "block"], ["n"])
 
@@ -175,7 +185,7 @@ def exact_links(nodes: DataFrame, *, threshold: float, block_rows: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     others = blocks.select("label", "bytes", F.col("sub").alias("o_sub"), F.col("n").alias("o_n"), F.col("m").alias("o_m"))
-    return whole(blocks.join(others, ["label", "bytes"]).filter("sub <= o_sub"), linked, "a long, b long").distinct()
+    return whole(meet(blocks, others, ["label", "bytes"]).filter("sub <= o_sub"), linked, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -241,7 +251,7 @@ def near_duplicates(
 
     crowd = coded.groupBy("label", "t", "code").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts")).filter("parts > 1")
     spread = coded.join(crowd, ["label", "t", "code"], "left").withColumn("sub", F.pmod(F.xxhash64("n", "t"), F.coalesce("parts", F.lit(1))))
-    graph = cut_lineage(best_lists(spread.groupBy("label", "t", "code", "sub").applyInArrow(compare(k), EDGE), k))
+    graph = cut_lineage(best_lists(spread.groupBy("label", "t", "code", "sub").applyInArrow(compare(k), EDGE), k, k, threshold))
 
     def sampled(rest: DataFrame, most: int) -> tuple[DataFrame, bool]:
         """Links of at most `most` nodes of the rest, and whether these are all nodes of the rest."""
@@ -296,7 +306,7 @@ def near_duplicates(
         spread = both.join(crowd, "a", "left").withColumn("sub", F.pmod(F.xxhash64("b", F.lit(turn)), F.coalesce("parts", F.lit(1))))
         met = spread.withColumnRenamed("b", "n").join(nodes.select("n", "v"), "n").select("a", "sub", "n", "v")
         found = met.groupBy("a", "sub").applyInArrow(compare(3), EDGE)
-        graph = cut_lineage(best_lists(graph.unionByName(found), k * (turn + 2)))
+        graph = cut_lineage(best_lists(graph.unionByName(found), k, k * (turn + 2), threshold))
         links = sized.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(graph.filter(F.col("s") >= threshold).select("a", "b"))
 
     links = sized.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(dense_links(nodes, sized, dense=k, threshold=threshold, block_rows=block_rows))
@@ -326,7 +336,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(ns), pa.array(near @ weights)], names=["n", "links"])
 
     others = blocks.select("comp", F.col("sub").alias("o_sub"), F.col("weights").alias("o_weights"), F.col("m").alias("o_m"))
-    pairs = blocks.join(others, "comp")
+    pairs = meet(blocks, others, ["comp"])
     linked = whole(pairs, count_links, "n long, links long").groupBy("n").agg(F.sum("links").alias("links"))
 
     named = reach.select(F.col("node").alias("n"), "comp").join(nodes.select("n", "node"), "n")
