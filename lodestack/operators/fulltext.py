@@ -131,7 +131,8 @@ def matching(docs: DataFrame, query: str, key: str, text: str, keep: Column | No
 
 
 def _counted(docs: DataFrame, compiled: Compiled, key: str, text: str, keep: Column | None) -> DataFrame:
-    body = docs.select(key, words(F.col(text)).alias("ws"), (keep if keep is not None else F.lit(True)).alias("keep"))
+    # A generator between, since a filter on counts would else be pushed below and split every text again for each leaf.
+    body = docs.select(key, F.explode(F.array(words(F.col(text)))).alias("ws"), (keep if keep is not None else F.lit(True)).alias("keep"))
     return body.select(key, "keep", F.size("ws").alias("len"), *[leaf.count("ws").alias(f"tf{i}") for i, leaf in enumerate(compiled.leaves)])
 
 

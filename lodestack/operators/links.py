@@ -15,7 +15,8 @@ SHORTEST_MENTION = 4
 TRAILING = ".,;:!?"
 WORD = r"[\p{L}\p{N}_-]"
 OTHER = r"[^\p{L}\p{N}_-]"
-URL = r"https?://[^\s<>()\[\]\"'`]+"
+LINKED = r"!?\[[^\]]*\]\((https?://[^\s)]+)\)"
+BARE = r"(?<![(\[a-zA-Z0-9])https?://[^\s)\]]+"
 
 
 def prose(column: str) -> Column:
@@ -25,7 +26,7 @@ def prose(column: str) -> Column:
         def keep(text: str | None) -> str:
             lines = [""] * ((text or "").count("\n") + 1)
             for number, _, line in md.lines_outside_code(text or ""):
-                if not md.HEADING.match(line):
+                if not md.heading_of(line):
                     lines[number] = md.re.sub(r"`[^`]*`|!?\[\[[^\]\n]*\]\]", " ", line)
             return "\n".join(lines)
 
@@ -63,10 +64,21 @@ def mentions(notes: DataFrame, names: DataFrame, key: str, text: str) -> DataFra
     return taken.groupBy(key, F.col("m.target").alias("target")).agg(F.count("*").alias("n"))
 
 
+def mention_edges(notes: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line (from 1), target: one row for each line that mentions a target, of text that `prose` has masked."""
+    lines = notes.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line_text"))
+    spots = lines.select(F.struct(F.col(key), (F.col("at") + 1).alias("line")).alias("spot"), "line_text")
+    return mentions(spots, names, "spot", "line_text").select(f"spot.{key}", "spot.line", "target")
+
+
 def hyperlinks(notes: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line (from 1), url: web links, Markdown or bare, each once a line, without marks at the end. A null text has none."""
+    """key, line (from 1), url: web links, Markdown or bare, each once a line, without marks at the end. A null text has none.
+
+    The text is what `prose` leaves, so code and headings hold no links.
+    """
     lines = notes.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line_text"))
-    urls = F.transform(F.regexp_extract_all("line_text", F.lit(URL), 0), lambda u: F.rtrim(u, F.lit(TRAILING)))
+    every = F.concat(F.regexp_extract_all("line_text", F.lit(LINKED), 1), F.regexp_extract_all("line_text", F.lit(BARE), 0))
+    urls = F.transform(every, lambda u: F.rtrim(u, F.lit(TRAILING)))
     return lines.select(key, (F.col("at") + 1).alias("line"), F.explode(F.array_distinct(urls)).alias("url"))
 
 

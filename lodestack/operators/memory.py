@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.predicates import confidence_rank, not_superseded, valid_at, younger_than
+from lodestack.runtime import shared_dir
 
 #: The keys that every record must have, in the order they are asked for, and the words allowed.
 REQUIRED = ("source", "observed_at")
@@ -100,14 +101,23 @@ def prior_folder(notes: DataFrame, least: int = 3, levels: int = 4) -> DataFrame
     return asked.join(sizes, "folder").groupBy("path").agg(F.max_by("folder", F.length("folder")).alias("folder"))
 
 
-def suggest(candidates: DataFrame, existing: DataFrame, least: float = 0.2, scale: dict[str, float] | None = None) -> DataFrame:
-    """key, value, confidence, kind of the best candidate (key, value, confidence, origin) for each key: existing where the note has
-    that value, conflict where it has another or the origins disagree, else suggestion. Origins are weighed by `scale`."""
-    weight = F.lit(1.0)
-    for origin, w in (scale or {"neighbor": 0.6}).items():
-        weight = F.when(F.col("origin") == origin, F.lit(w)).otherwise(weight)
-    rows = candidates.withColumn("confidence", F.round(F.col("confidence") * weight, 9)).filter(F.col("confidence") >= least)
-    best = rows.groupBy("key").agg(F.max(F.struct("confidence", "value")).alias("b"), F.count_distinct("value").alias("values"))
-    have = existing.select("key", F.col("value").alias("own"))
-    kind = F.when(F.col("own") == F.col("b.value"), "existing").when(F.col("own").isNotNull() | (F.col("values") > 1), "conflict").otherwise("suggestion")
-    return best.join(have, "key", "left").select("key", "b.value", "b.confidence", kind.alias("kind"))
+def follow(pointers: DataFrame, most: int = 100) -> DataFrame:
+    """start, final, hops: where each id's chain (id, next) ends, after `most` hops at the latest. A next that is no id ends it.
+
+    Pointer doubling: round r holds the node 2**r hops on, so 100 hops take seven joins, and no table grows with the chains' length.
+    """
+    ids = pointers.select("id")
+    step = pointers.join(ids.select(F.col("id").alias("next")), "next", "left_semi").select(F.col("id").alias("at"), F.col("next").alias("to"), F.lit(1).alias("n"))
+    now = ids.select(F.col("id").alias("start"), F.col("id").alias("final"), F.lit(0).alias("hops"))
+    left = most
+    while left:
+        if left & 1:  # these hops, from where each start is
+            now = now.join(step, now["final"] == step["at"], "left").select("start", F.coalesce("to", "final").alias("final"), (F.col("hops") + F.coalesce("n", F.lit(0))).alias("hops"))
+        left >>= 1
+        if left:
+            more = step.select(F.col("at").alias("mid"), F.col("to").alias("end"), F.col("n").alias("m"))
+            # Where the second half isn't there, the first is as far as the chain goes.
+            step = step.join(more, step["to"] == more["mid"], "left").select("at", F.coalesce("end", "to").alias("to"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+            shared_dir(pointers.sparkSession)
+            step, now = step.checkpoint(), now.checkpoint()
+    return now

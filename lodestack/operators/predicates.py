@@ -26,32 +26,63 @@ def prop(props: Column | str, field: str) -> Column:
     return F.get_json_object(props, json_path(field))
 
 
+def typed(props: Column | str, field: str) -> Column:
+    """The property as a variant, null where it is missing or JSON null: numbers, texts and booleans stay what they are."""
+    value = F.try_variant_get(F.try_parse_json(props), json_path(field), "variant")
+    return F.when(~F.is_variant_null(value), value)
+
+
+def is_value(value: Column, want: Any) -> Column:
+    """A variant that is the wanted value: a number never equals its text, nor true its word. Null for a null variant."""
+    if isinstance(want, bool):
+        return (F.schema_of_variant(value) == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == want)
+    if isinstance(want, int | float):
+        number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        return number & (F.try_variant_get(value, "$", "double") == float(want))
+    return (F.schema_of_variant(value) == "STRING") & (F.try_variant_get(value, "$", "string") == str(want))
+
+
 def match_props(props: str, where: dict[str, Any]) -> Column:
     """All conditions hold: a value (equality), None (missing or null), or one of $in, $exists and $contains."""
     out = F.lit(True)
     for field, want in where.items():
-        value = prop(props, field)
+        value = typed(props, field)
         if want is None:
             test = value.isNull()
         elif isinstance(want, dict):
             (op, arg), = want.items()
             if op == "$in":
-                test = value.isin([_text(a) for a in arg]) if arg else F.lit(False)
+                test = F.lit(False)
+                for a in arg or ():
+                    test = test | F.coalesce(is_value(value, a), F.lit(False))
             elif op == "$exists":
                 test = value.isNotNull() if arg else value.isNull()
             elif op == "$contains":
-                items = F.from_json(value, "array<string>")
-                test = value.startswith("[") & F.array_contains(items, _text(arg))
+                items = F.try_variant_get(value, "$", "array<variant>")
+                test = F.exists(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.coalesce(is_value(x, arg), F.lit(False)))
             else:
                 raise ValueError(f"unknown operator {op}")
         else:
-            test = value == _text(want)
+            test = is_value(value, want)
         out = out & F.coalesce(test, F.lit(False))
     return out
 
 
-def _text(value: Any) -> str:
-    return str(value).lower() if isinstance(value, bool) else str(value)
+def matches_text(props: str, field: str, want: str) -> Column:
+    """The property, as text, is the wanted text, or an array that holds it; a missing or null one never matches."""
+    value = typed(props, field)
+    items = F.try_variant_get(value, "$", "array<string>")
+    one = F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)")
+    return F.coalesce(F.when(one, F.array_contains(items, want)).otherwise(F.try_variant_get(value, "$", "string") == want), F.lit(False))
+
+
+def strictly(props: str, want: dict[str, Any]) -> Column:
+    """All given keys have just these values, of the same type; null asks for a null that is there."""
+    out = F.lit(True)
+    for field, value in want.items():
+        held = F.try_variant_get(F.try_parse_json(props), json_path(field), "variant")
+        out = out & F.coalesce(F.is_variant_null(held) if value is None else is_value(held, value), F.lit(False))
+    return out
 
 
 def glob_regex(glob: str) -> str:
@@ -88,6 +119,6 @@ def younger_than(column: str, days: float, now: Column) -> Column:
 
 
 def query_props(df: DataFrame, props: str, where: dict[str, Any], order: str, key: str, limit: int = 100) -> DataFrame:
-    """Property filter with newest first and a clamped limit; rows without properties are left out."""
-    rows = df.filter(F.col(props).isNotNull() & match_props(props, where))
+    """Property filter with newest first and a clamped limit; rows without properties are left out, unless nothing is asked."""
+    rows = df.filter(F.col(props).isNotNull() & match_props(props, where)) if where else df
     return rows.orderBy(F.desc(order), key).limit(max(1, min(1000, limit)))

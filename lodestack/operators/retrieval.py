@@ -25,7 +25,8 @@ def bm25(docs: DataFrame, query: Sequence[str], key: str, text: str, k: int, kee
     Only postings of the query's words are made: one scan, a map-side count of each word's documents and lengths.
     """
     query = sorted(set(query))
-    body = docs.select(key, words(F.col(text)).alias("ws"), (keep if keep is not None else F.lit(True)).alias("keep"))
+    # A generator between, since a filter on counts would else be pushed below and split every text again for each word.
+    body = docs.select(key, F.explode(F.array(words(F.col(text)))).alias("ws"), (keep if keep is not None else F.lit(True)).alias("keep"))
     times = lambda q: F.size(F.filter("ws", lambda w: w == F.lit(q)))
     tf = [times(q).alias(f"tf{i}") for i, q in enumerate(query)]
     counted = body.select(key, "keep", F.size("ws").alias("len"), *tf)

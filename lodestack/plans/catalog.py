@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import briefs, fulltext, graph, links, predicates
 from lodestack.plans.registry import EDGES, bm25_sql, foreign_edges, query
-from lodestack.runtime import table
+from lodestack.runtime import ship, table
 from lodestack.sources import markdown
 
 
@@ -42,11 +42,25 @@ def prop_exists(spark, sf):
     return with_props(spark, sf, {"size": {"$exists": True}})
 
 
-@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), (SELECT min(string_split(p_type, ' ')[1]) FROM part))")
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'STANDARD') AND p_size % 2 = 1")
 def prop_contains(spark, sf):
-    tag = table(spark, sf, "part").agg(F.min(F.split("p_type", " ")[0]).alias("tag"))
-    rows = part_notes(spark, sf).withColumn("tags", F.from_json(predicates.prop("props", "tags"), "array<string>"))
-    return rows.join(F.broadcast(tag)).filter(F.array_contains("tags", F.col("tag"))).select("p_partkey")
+    return with_props(spark, sf, {"tags": {"$contains": "STANDARD"}, "size": {"$exists": True}, "brand": {"$exists": True}})
+
+
+@query("SELECT p_partkey FROM part WHERE p_size = 7 AND p_partkey % 2 = 0")
+def prop_typed(spark, sf):
+    """A number never equals its text: of the sizes, those of odd parts are texts."""
+    size = F.col("p_size")
+    as_number, as_text = F.to_json(F.struct(size.alias("size"))), F.to_json(F.struct(size.cast("string").alias("size")))
+    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, as_number).otherwise(as_text).alias("props"))
+    return rows.filter(predicates.match_props("props", {"size": 7}) & predicates.strictly("props", {"size": 7})).select("p_partkey")
+
+
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_size IN (1, 3) ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
+def prop_query(spark, sf):
+    """Conditions, newest first (here: dearest), a limit that is clamped."""
+    rows = part_notes(spark, sf).join(table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_partkey")
+    return predicates.query_props(rows, "props", {"size": {"$in": [1, 3]}}, "p_retailprice", "p_partkey", 25).select("p_partkey", "p_retailprice")
 
 
 @query("SELECT u.t AS tag, count(*) AS n FROM part, unnest(string_split(p_type, ' ')) AS u(t) GROUP BY 1 ORDER BY n DESC, tag LIMIT 10")
@@ -120,21 +134,24 @@ def collection_stats(spark, sf):
     return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("notes"), F.sum("n_chars").alias("chars"), F.max("doc_id").alias("newest"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+[^\p{L}\p{N}_-]*') AS ps FROM documents),
-w AS (SELECT doc_id, u.i AS i, ps[u.i] AS part, CASE WHEN u.i > 1 THEN ps[u.i - 1] END AS before FROM p, unnest(range(1, len(ps) + 1)) AS u(i)),
-k AS (SELECT doc_id, before, regexp_replace(part, '[^\p{L}\p{N}_-]+$', '') AS word FROM w)
-SELECT doc_id, CASE WHEN word = 'version' THEN 2 WHEN before = 'the ' THEN 3 ELSE 1 END::BIGINT AS target, count(*) AS n FROM k
-WHERE word IN ('license', 'version') GROUP BY ALL""")
+@query(r"""WITH l AS (SELECT doc_id, string_split(lower(text), chr(10)) AS ls FROM documents), t AS (SELECT doc_id, u.i AS line, regexp_extract_all(ls[u.i], '[\p{L}\p{N}_-]+[^\p{L}\p{N}_-]*') AS ps FROM l, unnest(range(1, len(ls) + 1)) AS u(i)),
+w AS (SELECT doc_id, line, ps[u.i] AS part, CASE WHEN u.i > 1 THEN ps[u.i - 1] END AS before FROM t, unnest(range(1, len(ps) + 1)) AS u(i)),
+k AS (SELECT doc_id, line, before, regexp_replace(part, '[^\p{L}\p{N}_-]+$', '') AS word FROM w)
+SELECT DISTINCT doc_id, line::INT AS line, CASE WHEN word = 'version' THEN 2 WHEN before = 'the ' THEN 3 ELSE 1 END::BIGINT AS target FROM k WHERE word IN ('license', 'version')""")
 def mentions(spark, sf):
+    """An edge for each line and target, outside code, headings and links."""
     names = spark.createDataFrame([(1, "License"), (2, "version"), (3, "the license"), (4, "and")], "target long, name string")
-    return links.mentions(table(spark, sf, "documents"), names, "doc_id", "text")
+    rows = table(ship(spark), sf, "documents").select("doc_id", links.prose("text").alias("text"))
+    return links.mention_edges(rows, names, "doc_id", "text")
 
 
-@query(r"""WITH l AS (SELECT page_id, string_split('See [the page](' || url || '), or ' || url || '.' || chr(10) || html, chr(10)) AS ls FROM pages), t AS (SELECT page_id, u.i AS line, ls[u.i] AS t FROM l, unnest(range(1, len(ls) + 1)) AS u(i))
-SELECT page_id, line::INT AS line, v.url AS url FROM t, unnest(list_distinct(list_transform(regexp_extract_all(t, 'https?://[^\s<>()\[\]"''`]+'), lambda x: rtrim(x, '.,;:!?')))) AS v(url)""")
+@query(r"""WITH l AS (SELECT page_id, string_split('See [the page](' || url || '), or ' || url || '.' || chr(10) || html, chr(10)) AS ls FROM pages), t AS (SELECT page_id, u.i AS line, ls[u.i] AS t FROM l, unnest(range(1, len(ls) + 1)) AS u(i)),
+f AS (SELECT page_id, line, list_concat(regexp_extract_all(t, '!?\[[^\]]*\]\((https?://[^\s)]+)\)', 1), regexp_extract_all(t, '(?:^|[^(\[a-zA-Z0-9])(https?://[^\s)\]]+)', 1)) AS urls FROM t)
+SELECT page_id, line::INT AS line, v.url AS url FROM f, unnest(list_distinct(list_transform(urls, lambda x: rtrim(x, '.,;:!?')))) AS v(url)""")
 def hyperlinks(spark, sf):
     text = F.concat(F.lit("See [the page]("), "url", F.lit("), or "), "url", F.lit(".\n"), "html")
-    return links.hyperlinks(table(spark, sf, "pages").select("page_id", text.alias("text")), "page_id", "text")
+    rows = table(ship(spark), sf, "pages").select("page_id", text.alias("text"))
+    return links.hyperlinks(rows.select("page_id", links.prose("text").alias("text")), "page_id", "text")
 
 
 @query("""SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'stale' WHEN o_orderdate < TIMESTAMP '1998-06-01' - INTERVAL 400 DAY THEN 'too_old' ELSE 'ok' END AS state

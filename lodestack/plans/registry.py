@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import hashing, text
-from lodestack.operators import assembly, graph, predicates, retrieval
+from lodestack.operators import assembly, graph, memory, predicates, retrieval
 from lodestack.runtime import ship, table
 
-FLAGSHIP = "bm25_topk"
+FLAGSHIP = "hybrid_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 WORDS = ["the", "and", "license", "version"]
@@ -38,16 +38,6 @@ SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2
 FROM tf JOIN df USING (w) JOIN l USING (doc_id), s WHERE {keep} GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10"""
 
 
-@query(bm25_sql("true"))
-def bm25_topk(spark, sf):
-    return retrieval.bm25(table(spark, sf, "documents"), WORDS, "doc_id", "text", 10)
-
-
-@query(bm25_sql("lang = 'en'"))
-def bm25_filtered_topk(spark, sf):
-    return retrieval.bm25(table(spark, sf, "documents"), WORDS, "doc_id", "text", 10, F.col("lang") == "en")
-
-
 POINT = [round(((i * 37) % 64 - 32) / 256, 6) for i in range(64)]
 KNN = """SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(embedding[i]::DOUBLE - (((((i - 1) * 37) % 64) - 32) / 256.0)::DOUBLE, 2)))), 6) AS distance
 FROM embeddings {where} ORDER BY distance, vec_id LIMIT 10"""
@@ -93,17 +83,15 @@ def max_score_promotion(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("score"), F.min("l_linenumber").alias("first_line"), F.count("*").alias("n"))
 
 
-@query("""SELECT user_id, count(*) AS n, max(ts) AS last FROM events WHERE event_type IN (SELECT min(event_type) FROM events) GROUP BY 1""")
+@query("""SELECT event_type AS verb, count(*) AS n, max(ts) AS last FROM events GROUP BY 1""")
 def verb_usage(spark, sf):
-    events = table(spark, sf, "events")
-    first = events.agg(F.min("event_type").alias("event_type"))
-    return events.join(F.broadcast(first), "event_type", "left_semi").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("verb")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
 
 
-@query("""SELECT k AS key, count(*) AS n FROM events, unnest(json_keys(props)) AS u(k) GROUP BY 1""")
+@query("""SELECT k AS key, count(*) AS n FROM events, unnest(json_keys(props)) AS u(k) GROUP BY 1 ORDER BY n DESC, key LIMIT 10""")
 def top_keys(spark, sf):
     keys = table(spark, sf, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
-    return keys.groupBy("key").agg(F.count("*").alias("n"))
+    return keys.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(10)
 
 
 @query("""SELECT event_id, ts FROM events WHERE value > 50 ORDER BY ts DESC, event_id LIMIT 50""")
@@ -135,11 +123,11 @@ def backlinks(spark, sf):
     return graph.backlinks(foreign_edges(spark, sf), -1).select("src", "type")
 
 
-@query(f"WITH {EDGES} SELECT dst, type, dst IN (SELECT -1 - n_nationkey FROM nation) AS resolved FROM edges WHERE type = 'lives_in' AND src % 5 = 0")
+@query(f"WITH {EDGES} SELECT dst, type, dst IN (SELECT -1 - n_nationkey FROM nation) AS resolved FROM edges WHERE type = 'lives_in'")
 def forward_links(spark, sf):
     nations = table(spark, sf, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("dst"), F.lit(True).alias("there"))
-    own = foreign_edges(spark, sf).filter("type = 'lives_in' and src % 5 = 0")
-    return own.join(F.broadcast(nations), "dst", "left").select("dst", "type", F.col("there").isNotNull().alias("resolved"))
+    own = foreign_edges(spark, sf).filter("type = 'lives_in'")
+    return own.join(nations, "dst", "left").select("dst", "type", F.col("there").isNotNull().alias("resolved"))
 
 
 @query(f"WITH {EDGES} SELECT src, dst, type FROM edges WHERE type = 'lives_in' AND dst NOT IN (SELECT -1 - n_nationkey FROM nation)")
@@ -253,10 +241,8 @@ def rename_hashset_match(spark, sf):
 c AS (SELECT id AS start, id, next, 0 AS hops FROM s UNION ALL SELECT c.start, s.id, s.next, hops + 1 FROM c JOIN s ON s.id = c.next WHERE hops < 100)
 SELECT start, arg_max(id, hops) AS final, max(hops) AS hops FROM c GROUP BY start""")
 def supersede_chain(spark, sf):
-    table(spark, sf, "orders").selectExpr("o_orderkey as id", "if(o_orderkey % 4 <> 0, o_orderkey + 1, null) as next").createOrReplaceTempView("lodestack_pointers")
-    return spark.sql("""WITH RECURSIVE c AS (SELECT id AS start, id, next, 0 AS hops FROM lodestack_pointers
-      UNION ALL SELECT c.start, s.id, s.next, c.hops + 1 FROM c JOIN lodestack_pointers s ON s.id = c.next WHERE c.hops < 100)
-      SELECT start, max_by(id, hops) AS final, max(hops) AS hops FROM c GROUP BY start""")
+    pointers = table(spark, sf, "orders").selectExpr("o_orderkey as id", "if(o_orderkey % 4 <> 0, o_orderkey + 1, null) as next")
+    return memory.follow(pointers, most=100)
 
 
 @query("""SELECT event_id, ts FROM events WHERE value >= 20 ORDER BY (event_type = 'click')::INT DESC, ts DESC, event_id LIMIT 20""")

@@ -1,15 +1,19 @@
-"""Session helpers shared by the query registry: shipping the package to executors and a small-table reader."""
+"""Session helpers: shipping the package to executors, a small-table reader, and the shared folder for tables between jobs."""
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -23,6 +27,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for path in sorted(root.rglob("*.py")):
                 archive.write(path, path.relative_to(root.parent))
         target = Path(tempfile.mkdtemp(prefix="lodestack-")) / "lodestack_pkg.zip"
+        atexit.register(shutil.rmtree, target.parent, True)
         target.write_bytes(buffer.getvalue())
         context.addPyFile(str(target))
     return spark
@@ -30,3 +35,38 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder, which goes with the process; on a cluster that would be a folder
+    that no executor sees, so it is an error there.
+    """
+    context = spark.sparkContext
+    base = context.getCheckpointDir()
+    if base is None:
+        base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+        if not base:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="lodestack-shared-")
+            atexit.register(shutil.rmtree, base, True)
+        context.setCheckpointDir(base)
+        base = context.getCheckpointDir()
+    return base
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path below the shared folder for a written table; `drop_scratch` removes it."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables written by this process, when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ def test_mentions_take_the_longest_name_outside_code(spark):
     text = "# Road Map\nThe road map, and Roads; `road map` [[Road]] road-map ROAD MAP.\n```\nroad\n```\nroad"
     notes = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string").withColumn("text", links.prose("text"))
     names = spark.createDataFrame([(7, "Road"), (8, "road map"), (9, "map"), (6, "road")], "target long, name string")
-    assert sorted(map(tuple, links.mentions(notes, names, "id", "text").collect())) == [(1, 6, 1), (1, 8, 2)]
+    assert sorted(map(tuple, links.mention_edges(notes, names, "id", "text").collect())) == [(1, 2, 8), (1, 6, 6)]
     assert links.mentions(notes, names.limit(0), "id", "text").count() == 0
 
 
