@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,27 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.runtime import scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    context = spark.sparkContext
-    base = context.getCheckpointDir()
-    if base is None:
-        base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-        if not base:
-            base = tempfile.mkdtemp(prefix="lodestack-shared-")
-        context.setCheckpointDir(base)
-        base = context.getCheckpointDir()
-    return base
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder for a written table."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+__all__ = ["by_bytes", "components", "cut_lineage", "flat_text", "mix64", "partitions", "scratch", "shared_dir"]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: survives lost executors, and is cleaned up with its plan."""
+    """A reliable checkpoint in the shared folder, which survives lost executors. Spark removes it with its plan where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set; else it stays until the folder goes."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
