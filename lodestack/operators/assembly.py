@@ -14,10 +14,12 @@ def enclosing(points: DataFrame, bands: DataFrame, key: str, point: str, low: st
 
 
 def budget(df: DataFrame, group: list[str], order: list[Column], text: str, limit: int) -> DataFrame:
-    """Cut texts in order at a shared budget of characters: taken (length) and included."""
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """Cut texts in order at a shared budget of characters: taken (length) and included. The texts stay out of the window's exchange,
+    unless the result is asked for them: only their lengths are added up."""
+    sized = df.withColumn("budget_size", F.length(text))
+    before = F.coalesce(F.sum("budget_size").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.greatest(F.lit(0), F.lit(limit) - before)
-    return df.withColumns({"taken": F.least(F.length(text), left).cast("long"), "included": left > 0})
+    return sized.withColumns({"taken": F.least("budget_size", left).cast("long"), "included": left > 0}).drop("budget_size")
 
 
 def histogram(df: DataFrame, group: list[str], column: str) -> DataFrame:

@@ -48,7 +48,7 @@ def recall(hits: DataFrame, now: Column, *, sinks: Sequence[str], confidence: st
     if days is not None:
         keep = keep & younger_than("observed_at", days, now)
     rest = [c for c in hits.columns if c != "path"]
-    best = hits.filter(keep).groupBy("path").agg(F.max_by(F.struct(*rest), F.struct("score", *[c for c in rest if c != "score"])).alias("h"))
+    best = hits.filter(keep).groupBy("path").agg(F.max_by(F.struct(*rest), F.struct("score", *[c for c in rest if c not in ("score", "props")])).alias("h"))
     return best.select("path", "h.*").orderBy(F.desc_nulls_last("observed_at"), F.desc("mtime"), "path").limit(limit)
 
 

@@ -1,3 +1,3 @@
 """The registry of queries and their SQL; importing it registers all of them."""
 
-from lodestack.plans import catalog, registry, searching  # noqa: F401
+from lodestack.plans import catalog, knowledge, registry, searching  # noqa: F401

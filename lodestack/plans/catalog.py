@@ -109,7 +109,7 @@ def vacuum_report(spark, sf):
 
 @query(f"""WITH {EDGES} SELECT dst AS node, 1 AS hop, min(src) AS seed, 'lives_in' AS type FROM edges WHERE src IN (1, 2, 3) GROUP BY dst""")
 def expand_1hop(spark, sf):
-    return graph.expand(foreign_edges(spark, sf), spark.range(1, 4).select(F.col("id").alias("seed")), 1, "forward")
+    return graph.expand(foreign_edges(spark, sf), spark.range(1, 4).select(F.col("id").alias("seed")), 1, "forward").drop("rel")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linestatus, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank FROM lineitem),

@@ -144,7 +144,7 @@ SELECT node, hop, seed, type FROM (FROM f1 UNION ALL FROM f2 UNION ALL FROM b1 U
 QUALIFY row_number() OVER (PARTITION BY node ORDER BY hop, seed, type, turn) = 1""")
 def expand_2hop(spark, sf):
     seeds = spark.range(1, 4).select(F.col("id").alias("seed"))
-    return graph.expand(foreign_edges(spark, sf), seeds, 2, "both")
+    return graph.expand(foreign_edges(spark, sf), seeds, 2, "both").drop("rel")
 
 
 @query(f"""WITH {EDGES}, n AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT -1 - n_nationkey FROM nation)
@@ -223,14 +223,6 @@ def key_prevalence_dominant(spark, sf):
     return assembly.prevalence(properties, "grp", "key", "val", part.groupBy("grp").agg(F.count("*").alias("members")))
 
 
-@query("""SELECT * FROM (VALUES ('p_name', 'missing'), ('p_size', 'type_changed'), ('p_extra', 'unexpected')) AS t(field, issue)""")
-def schema_drift(spark, sf):
-    part = table(spark, sf, "part")
-    rows = lambda pairs: spark.createDataFrame(pairs, "field string, kind string")
-    observed = [(f.name, f.dataType.simpleString()) for f in part.drop("p_name").withColumn("p_extra", F.lit(1)).withColumn("p_size", F.col("p_size").cast("string")).schema]
-    return assembly.drift(rows([(f.name, f.dataType.simpleString()) for f in part.schema]), rows(observed))
-
-
 @query("""SELECT list_sort(list(doc_id)) AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1""")
 def rename_hashset_match(spark, sf):
     groups = table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
@@ -265,5 +257,7 @@ def chunk_bounds(spark, sf):
 
 @query()
 def louvain_partition(spark, sf):
-    edges = foreign_edges(ship(spark), sf).filter("type = 'lives_in' and dst <> -99").withColumn("grp", F.col("src") % 4)
-    return graph.louvain(edges, "grp")
+    """Clusters of suppliers and parts, a graph for each kind of return."""
+    ships = table(ship(spark), sf, "lineitem").filter("l_discount > 0.05").select(F.col("l_returnflag").alias("grp"), F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
+    nodes = ships.select("grp", F.explode(F.array("src", "dst")).alias("n")).groupBy("grp").agg(F.count_distinct("n").alias("n")).agg(F.max("n")).first()[0]
+    return graph.louvain(ships.distinct(), "grp", nodes or 1)
