@@ -16,7 +16,7 @@ def latest_briefs(briefs: DataFrame, target: str, brief: str, now: Column, max_d
     superseded and stale (booleans, null as false); ties go to the smaller brief."""
     rows = briefs.filter(~F.coalesce("superseded", F.lit(False)))
     newest = rows.groupBy(target).agg(F.min_by(F.struct(brief, "compiled_at", "stale"), F.struct((-F.unix_micros("compiled_at")).alias("age"), brief)).alias("b"))
-    days = (F.unix_micros(now) - F.unix_micros("b.compiled_at")) / 86_400_000_000
+    days = F.floor((F.unix_micros(now) - F.unix_micros("b.compiled_at")) / 86_400_000_000)
     state = F.when(F.coalesce("b.stale", F.lit(False)), "stale").when(days > max_days, "too_old").otherwise("ok")
     return newest.select(target, f"b.{brief}", state.alias("state"))
 

@@ -68,11 +68,35 @@ def stage_writes(current: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def apply_writes(current: DataFrame, writes: DataFrame) -> DataFrame:
-    """current (path, hash) after the accepted writes: one full outer join by path. Writes have one row a path."""
+    """current (path, hash, and id where it has one) after the accepted writes: one full outer join by path. Writes have one row a path.
+
+    A note keeps its id; a new one has a hash of its path as id.
+    """
     done = stage_writes(current, writes).filter(F.col("action").isin("created", "updated", "deleted"))
-    both = current.select("path", "hash").join(done, "path", "full_outer")
+    ids = ["id"] if "id" in current.columns else []
+    both = current.select("path", "hash", *ids).join(done, "path", "full_outer")
     changed = F.col("action").isNotNull()
-    return both.filter(~F.coalesce(F.col("action") == "deleted", F.lit(False))).select("path", F.when(changed, F.col("after")).otherwise(F.col("hash")).alias("hash"))
+    out = both.filter(~F.coalesce(F.col("action") == "deleted", F.lit(False)))
+    return out.select("path", F.when(changed, F.col("after")).otherwise(F.col("hash")).alias("hash"), *[F.coalesce("id", F.xxhash64("path")).alias("id") for _ in ids])
+
+
+def audit_rows(staged: DataFrame, at: Column, by: str) -> DataFrame:
+    """path, op, before, after, at, by: the audit of the writes and deletions that were accepted, to be written before they are."""
+    op = F.when(F.col("action") == "deleted", "delete").when(F.col("action") == "created", "create").otherwise("update")
+    rows = staged.filter(F.col("action").isin("created", "updated", "deleted"))
+    return rows.select("path", op.alias("op"), "before", "after", at.alias("at"), F.lit(by).alias("by"))
+
+
+def write_notes(current: DataFrame, writes: DataFrame, bodies: DataFrame, folder: str, at: Column, by: str) -> DataFrame:
+    """Write accepted notes (path, text of `bodies`), the audit first, below the folder, and return the verdicts.
+
+    Each call has a folder of its own, and the last file written is what makes it count; so a call that fails leaves nothing that is read.
+    """
+    staged = stage_writes(current, writes)
+    audit_rows(staged, at, by).write.mode("errorifexists").parquet(f"{folder}/audit")
+    accepted = staged.filter(F.col("action").isin("created", "updated")).select("path")
+    bodies.join(accepted, "path", "left_semi").write.mode("errorifexists").parquet(f"{folder}/notes")
+    return staged.select("path", "action")
 
 
 def patch_map(props: Column | str, *, put: dict[str, str] | None = None, unset: Sequence[str] = ()) -> Column:

@@ -532,3 +532,33 @@ def connector_fetch(spark, sf):
     return own.select(F.concat(F.lit("doc/"), "doc_id").alias("id"), F.concat(F.lit("Document "), "doc_id").alias("title"), outline.snippet(F.col("text")).alias("snippet"))
 
 
+
+
+@query("""WITH n AS (SELECT c_custkey AS id, repeat('d/', (c_custkey % 3 + 1)::INT) || 'n' || (c_custkey % 200) || '.md' AS path, 'N' || (c_custkey % 250 + 100) AS alias FROM customer), l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'n' || (o_orderkey % 400) ELSE 'd/d/n' || (o_orderkey % 230) END AS target FROM orders),
+p AS (SELECT path, min(id) AS id FROM n GROUP BY 1), f AS (SELECT regexp_extract(path, '[^/]*$') AS name, arg_min(id, {n: length(path), p: path}) AS id FROM (SELECT path, min(id) AS id FROM n GROUP BY 1) GROUP BY 1), a AS (SELECT lower(alias) AS name, arg_min(id, {n: length(path), p: path, i: id}) AS id FROM n GROUP BY 1)
+SELECT o_orderkey, coalesce(p.id, CASE WHEN target NOT LIKE '%/%' THEN f.id END, a.id) AS resolved FROM l LEFT JOIN p ON p.path = target || '.md' LEFT JOIN f ON f.name = target || '.md' LEFT JOIN a ON a.name = target""")
+def resolve_ties(spark, sf):
+    """Exact paths before file names before aliases; of several the shortest path, then the first."""
+    from lodestack.sources import markdown
+
+    key = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(key.alias("id"), F.concat(F.repeat(F.lit("d/"), (key % 3 + 1).cast("int")), F.lit("n"), key % 200, F.lit(".md")).alias("path"), F.concat(F.lit("N"), key % 250 + 100).alias("alias"))
+    links = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("n"), F.col("o_orderkey") % 400)).otherwise(F.concat(F.lit("d/d/n"), F.col("o_orderkey") % 230)).alias("target"))
+    return markdown.resolve(links, rows.select("id", "path"), rows.select("id", "alias")).select("o_orderkey", "resolved")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'delete' WHEN o_orderkey % 5 = 0 THEN 'create' ELSE 'update' END AS op FROM orders WHERE NOT (o_orderkey % 7 = 0 AND o_orderkey % 5 = 0)""")
+def write_audit(spark, sf):
+    key = F.col("o_orderkey")
+    orders = table(spark, sf, "orders")
+    current = orders.filter("o_orderkey % 5 <> 0").select(key.cast("string").alias("path"), F.lit("h").alias("hash"))
+    writes = orders.select(key.cast("string").alias("path"), F.lit("n").alias("hash"), F.when(key % 7 == 0, "h").alias("expected"), (key % 7 == 0).alias("delete"))
+    return memory.audit_rows(memory.stage_writes(current, writes), F.expr("timestamp'2024-01-01'"), "me").select("path", "op")
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS norm, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6)::DOUBLE AS first, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS squashed FROM embeddings""")
+def vector_norms(spark, sf):
+    from lodestack.functions import vectors
+
+    v = F.col("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", F.round(vectors.norm(v), 6).alias("norm"), F.round(F.element_at(vectors.unit(v), 1), 6).alias("first"), F.round(vectors.sigmoid(F.element_at(v, 1).cast("double")), 6).alias("squashed"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 #: The forms of a workflow's name, of a step's alias, and of a template.
 NAME = re.compile(r"[a-z][a-z0-9-]*")
 ALIAS = re.compile(r"[a-z][a-z0-9_]*")
+PEER = re.compile(r"mcp://[^/\s]+/[^/\s]+")
 TEMPLATE = re.compile(r"\{\{\s*([A-Za-z_][\w.\[\]]*)\s*\}\}")
 
 
@@ -38,7 +40,7 @@ class Workflow:
         for step in self.steps:
             out += [] if ALIAS.fullmatch(step.alias) else [f"alias {step.alias!r} isn't snake_case"]
             out += [f"alias {step.alias!r} is used twice"] if step.alias in seen else []
-            out += [] if step.verb in verbs or step.verb == "literal" else [f"verb {step.verb!r} isn't known"]
+            out += [] if step.verb in verbs or step.verb == "literal" else [f"peer {step.verb!r} isn't registered" if PEER.fullmatch(step.verb) else f"verb {step.verb!r} isn't known"]
             seen.add(step.alias)
         return out + [f"output {x!r} is no step" for x in self.output if x not in seen]
 
@@ -78,3 +80,44 @@ def describe(workflow: Workflow) -> str:
     """Markdown about a workflow."""
     lines = [f"# {workflow.name}", "", workflow.description, "", "Inputs: " + (", ".join(workflow.required) or "none"), ""]
     return "\n".join(lines + [f"{i}. `{s.alias}` by `{s.verb}`" for i, s in enumerate(workflow.steps, 1)])
+
+
+def peer(call: Callable[..., Any], seconds: float = 30.0) -> Callable[..., Any]:
+    """A verb that asks another tool, and fails if it takes longer; register it by a name like mcp://server/tool."""
+
+    def run(**args: Any) -> Any:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(call, **args).result(seconds)
+        except TimeoutError as error:
+            raise TimeoutError(f"no answer after {seconds} s") from error
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return run
+
+
+def parse(text: str) -> Workflow:
+    """A workflow from YAML: name, description, inputs (name: {required, default}), assembly ([as, verb, args or value]), output_shape."""
+    import yaml
+
+    told = yaml.safe_load(text)
+    if not isinstance(told, Mapping) or not isinstance(told.get("assembly"), list):
+        raise ValueError("a workflow is a mapping with a list `assembly`")
+    inputs = told.get("inputs") or {}
+    steps = tuple(Step(s["as"], s["verb"], {"value": s["value"]} if s["verb"] == "literal" else s.get("args") or {}) for s in told["assembly"])
+    needed = tuple(k for k, v in inputs.items() if isinstance(v, Mapping) and v.get("required"))
+    defaults = {k: v["default"] for k, v in inputs.items() if isinstance(v, Mapping) and "default" in v}
+    return Workflow(str(told.get("name", "")), steps, str(told.get("description", "")), needed, defaults, tuple(told.get("output_shape") or ()))
+
+
+def listing(workflows: list[Workflow]) -> list[dict[str, Any]]:
+    """name, steps, verbs (sorted) of each workflow, by name."""
+    return [{"name": w.name, "steps": len(w.steps), "verbs": sorted({s.verb for s in w.steps})} for w in sorted(workflows, key=lambda w: w.name)]
+
+
+def written_back(workflow: Workflow, values: Mapping[str, Any], alias: str, write: Callable[[Any], Any]) -> Any:
+    """What `write` makes of one step's value, after a run; an alias that is no step is an error."""
+    if alias not in {s.alias for s in workflow.steps}:
+        raise ValueError(f"{alias!r} is no step of {workflow.name}")
+    return write(values[alias])

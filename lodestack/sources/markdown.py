@@ -103,7 +103,7 @@ def resolve(links: DataFrame, notes: DataFrame, aliases: DataFrame) -> DataFrame
 
     `notes` has id and path, `aliases` id and alias. Each lookup has one row a key, so the joins add no rows.
     """
-    first = F.min_by("id", F.struct(F.length("path"), "path"))
+    first = F.min_by("id", F.struct(F.length("path"), "path", "id"))
     stem = F.regexp_replace("path", r"\.md$", "")
     by_path = notes.groupBy(stem.alias("key1")).agg(first.alias("by_path"))
     by_name = notes.groupBy(F.substring_index(stem, "/", -1).alias("key2")).agg(first.alias("by_name"))

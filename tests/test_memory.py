@@ -45,8 +45,8 @@ def test_folders_and_suggestions(spark):
     assert sorted(map(tuple, memory.prior_folder(notes).collect())) == [("a/3", "a"), ("a/b/1", "a"), ("a/b/2", "a")]
     asked = spark.createDataFrame([("s", "x", 0.9, "folder"), ("s", "y", 0.9, "neighbor"), ("t", "x", 0.3, "neighbor"), ("u", "x", 0.5, "content"), ("v", "x", 0.5, "content")], "key string, value string, confidence double, origin string")
     own = spark.createDataFrame([("u", "x")], "key string, value string")
-    got = {r["key"]: (r["value"], r["kind"]) for r in briefs.suggest(asked.withColumn("note", F.lit(1)), own.withColumn("note", F.lit(1))).collect()}
-    assert got == {"s": ("x", "conflict"), "u": ("x", "existing"), "v": ("x", "suggestion")}
+    got = {(r["key"], r["value"], r["verdict"]) for r in briefs.suggest(asked.withColumn("note", F.lit(1)), own.withColumn("note", F.lit(1))).collect()}
+    assert got == {("s", "x", "conflict"), ("s", "y", "conflict"), ("u", "x", "existing"), ("v", "x", "suggestion")}
 
 
 def test_recall(spark):
