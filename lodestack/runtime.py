@@ -16,9 +16,16 @@ _SHIPPED: set[str] = set()
 _SCRATCH: list[str] = []
 
 
+#: Batches between the JVM and Python workers: Spark's default size, and the one used in its place, which a worker holds several times.
+ARROW_BATCH, ARROW_DEFAULT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers, wherever the driver found it."""
+    """Make this package importable in Python workers, wherever the driver found it, and bound the batches that they get, unless
+    the session has a bound of its own."""
     context = spark.sparkContext
+    if spark.conf.get(ARROW_BATCH, "") == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BATCH, ARROW_BYTES)
     if context.applicationId not in _SHIPPED:
         _SHIPPED.add(context.applicationId)
         root = Path(__file__).resolve().parent
