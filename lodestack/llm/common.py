@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give memory that is free back to the system: a worker is used again by many tasks, and else keeps the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes of `column` each (one row at least), so memory stays bounded."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column))
@@ -38,6 +48,8 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 2
             end = max(start + 1, int(np.searchsorted(ends, floor + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        del batch, text
+        release()
 
 
 def flat_text(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -116,7 +116,7 @@ def train(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((len(labels), buckets), "int64")
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 1 << 19):
             owner = np.array([code[x] for x in batch.column("label").to_pylist()], "int64")
             for bucket, row in ngrams(batch.column("text"), sizes, buckets):
                 seen += np.bincount(owner[row] * buckets + bucket, minlength=seen.size).reshape(seen.shape)
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model, *, text_column: str = "text", label_o
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text_column, 2 << 20):
+        for batch in by_bytes(batches, text_column, 1 << 19):
             labels, scores = score(batch.column(text_column), shared.value)
             out = {label_out: pa.array(labels, pa.string()), score_out: pa.array(scores)}
             if fit_out:
