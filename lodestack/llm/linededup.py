@@ -4,8 +4,9 @@ A line is boilerplate if it stands on `min_sites` distinct sites or more, wherev
 sketches of sites are merged per line hash by aggregation, tasks first; lines whose estimate lies within `sigmas` standard
 errors of the threshold get exact distinct counts; the rest is decided by the estimate.
 
-Sites are counted in all rows, or in those of `counted` alone: a caller that must spare copies of documents, which repeat
-whole texts on many sites, gives one row of each group of copies there. Lines are removed from all rows either way.
+A caller that must spare copies of documents, which repeat whole texts on many sites, gives `spread`: a line then also has to stand
+in documents of different kinds, at least that share of those that have it. Documents are of one kind if the smallest hash of their
+shingles of five words is the same, as it is for copies and nearly always for near copies, but not for texts that share a block.
 
 Removal is exact on the 64-bit line hash. Up to `max_lookup` lines the hashes form a two-level array behind a scalar
 subquery, and documents are cleaned where they are, without a shuffle; beyond that they are joined by line hash (rows of
@@ -90,6 +91,20 @@ def remove_lines(docs: DataFrame, lines: DataFrame, *, id_column: str = "doc_id"
     return out.drop("dedup_kept", listed)
 
 
+def different(docs: DataFrame, lines: DataFrame, *, spread: float, text_column: str = "text", words: int = 5, max_lookup: int = 200_000) -> DataFrame:
+    """Those of the lines (column h) for which documents of different kinds are at least the share `spread` of the documents that have them."""
+    lines = cut_lineage(lines)
+    text = F.col(text_column)
+    # A generator between, so that a text is split once and not again for each shingle.
+    parts = docs.filter(text.isNotNull()).select(F.explode(F.array(F.filter(F.split(F.lower(text), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))).alias("ws"), F.array_distinct(line_hashes(text)).alias("hs"))
+    shingles = F.when(F.size("ws") >= words, F.transform(F.sequence(F.lit(1), F.size("ws") - (words - 1)), lambda i: F.xxhash64(F.slice("ws", i, words)))).otherwise(F.array(F.xxhash64("ws")))
+    rows = parts.select("hs", F.array_min(shingles).alias("kind")).select(F.explode("hs").alias("h"), "kind")
+    few = lines.count() <= max_lookup
+    per = rows.join(F.broadcast(lines) if few else lines, "h", "left_semi").groupBy("h", "kind").agg(F.count("*").alias("n"))
+    counted = per.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("docs"))
+    return counted.filter(F.col("kinds") >= spread * F.col("docs")).select("h")
+
+
 def line_dedup(
     docs: DataFrame,
     *,
@@ -99,8 +114,10 @@ def line_dedup(
     text_column: str = "text",
     lg_k: int = 12,
     max_lookup: int = 200_000,
-    counted: DataFrame | None = None,
+    spread: float | None = None,
 ) -> DataFrame:
-    """Remove the lines that `boilerplate` finds in `counted` (all rows, unless given) from every text."""
-    lines = boilerplate(docs if counted is None else counted, min_sites=min_sites, site_column=site_column, text_column=text_column, lg_k=lg_k, max_lookup=max_lookup)
+    """Remove the lines that `boilerplate` finds, and `different` where `spread` is given, from every text."""
+    lines = boilerplate(docs, min_sites=min_sites, site_column=site_column, text_column=text_column, lg_k=lg_k, max_lookup=max_lookup)
+    if spread is not None:
+        lines = different(docs, lines, spread=spread, text_column=text_column, max_lookup=max_lookup)
     return remove_lines(docs, lines, id_column=id_column, text_column=text_column, max_lookup=max_lookup)

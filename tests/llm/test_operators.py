@@ -207,8 +207,7 @@ def test_line_dedup_both_ways(spark, docs):
     for most in (1000, 0):
         got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(frame, max_lookup=most).collect()}
         assert got[3] == "body 3\n\nend 3" and got[9] == "" and got[10] is None and got[11] == "" and got[12] == "body 0" and got[21] == "four sites\nnull site"
-        once = frame.dropDuplicates(["text"])
-        got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(frame, max_lookup=most, counted=once).collect()}
+        got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(frame, max_lookup=most, spread=0.25).collect()}
         assert got[3] == "body 3\n\nend 3" and got[9] == "copy a\ncopy b"
     assert linededup.line_dedup(docs).count() == docs.count() and linededup.line_dedup(empty(spark)).count() == 0
 
@@ -221,7 +220,12 @@ def test_every_line_of_a_block_goes(spark):
     rows = [(i, "\n".join(BLOCK).replace("{}", str(i)), f"s{i}") for i in range(40)] + [(100 + i, f"only here\nx {i}", "s1") for i in range(40)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.line_dedup(frame, min_sites=5).collect()}
-    assert got == {i: (f"body {i}\nend {i}", 6) for i in range(40)} | {100 + i: (f"only here\nx {i}", 0) for i in range(40)}
+    spared = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.line_dedup(frame, min_sites=5, spread=0.25).collect()}
+    assert spared == got == {i: (f"body {i}\nend {i}", 6) for i in range(40)} | {100 + i: (f"only here\nx {i}", 0) for i in range(40)}
+    story = [[f"word{j} of line {k} tells more of it" for j in range(3)] for k in range(12)]
+    near = [(i, "\n".join(" ".join(x) for x in story).replace(f"word1 of line {i % 12}", f"changed{i}"), f"s{i % 30}") for i in range(300)]
+    copies = spark.createDataFrame(near, "doc_id long, text string, source string")
+    assert linededup.line_dedup(copies, min_sites=5).filter("n_removed > 8").count() == 300 and linededup.line_dedup(copies, min_sites=5, spread=0.25).filter("n_removed > 0").count() == 0
     for n in (29, 30, 31):  # about a threshold where the sketches estimate
         lines = spark.range(n * 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), F.col("id") % 3).alias("text"), F.floor(F.col("id") / 3).cast("string").alias("source"))
         assert linededup.boilerplate(lines, min_sites=30).count() == (3 if n >= 30 else 0)
