@@ -30,19 +30,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.filter((F.col("pipeline_lang") != langid.UND) & (F.col("pipeline_fit") >= LEAST_FIT)).select(*docs.columns)
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """The ids (doc_id) of documents that links of Jaccard similarity 0.75 or more connect with one of a smaller id."""
-    classes = jaccard.jaccard_classes(docs, words=5, threshold=0.75)
-    return classes.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-
-
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out the lines that stand on five sources or more, as counted in one document of each group of near copies.
+    """Take out the lines that stand on five sources or more, if a quarter of the documents that have them are of different kinds.
 
     So a document that many sources copy keeps its lines, and the copies stay alike for the next stage. All rows stay: a null
     text stays null, an empty one empty, one whose lines all go becomes empty; a null source is a source of its own.
     """
-    kept = linededup.line_dedup(docs, min_sites=5, counted=docs.join(copies(docs), "doc_id", "left_anti"))
+    kept = linededup.line_dedup(docs, min_sites=5, spread=0.25)
     # n_chars follows the text, where the text changed.
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)
@@ -53,7 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words link with nothing and stay, as do rows without an id. Rows that repeat that id stay with it.
     """
-    return docs.join(copies(docs), "doc_id", "left_anti").select(*docs.columns)
+    classes = jaccard.jaccard_classes(docs, words=5, threshold=0.75)
+    copies = classes.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
