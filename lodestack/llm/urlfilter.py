@@ -6,7 +6,7 @@ listed keys that level 1 passes; and so on, until nothing passes wrongly. For ev
 universe, all pages) the first level that rejects it then decides exactly. The filters are arrays of 64-bit words that reach
 the expressions as scalar subqueries; their size is known from the number of listed keys and checked.
 
-All expressions are built in; pages are read in one narrow scan a level, and judged without a shuffle.
+All expressions are built in; pages are read in one narrow scan a cascade, and judged without a shuffle.
 
 Cases: a null url, or one without `://`, has an empty host and path and fits no rule; an empty rule list lists nothing; a
 rule given twice counts once, and block wins if it is given with both verdicts; the longest rule wins, of equally long
@@ -94,7 +94,8 @@ class Cascade:
             if level == 0:
                 universe = with_words(universe.select("key"), [bloom])
                 # The only comparison with the list, of the few keys that pass by mistake; judging needs none.
-                no = universe.filter(bloom.passes(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti")
+                # Written once: all later levels and their counts read these keys, and not the pages again.
+                no = cut_lineage(universe.filter(bloom.passes(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti"))
                 left = no
             elif level % 2:
                 yes = left = with_words(yes, [bloom]).filter(bloom.passes(F.col("key"))).select("key")
