@@ -30,6 +30,7 @@ SOLID_START[0x80:0xC3] = False
 SOLID_START[[0xE1, 0xE2, 0xE3]] = False
 _LOADED: dict[str, UnitTokenizer] = {}
 #: Stands after each unit where several are encoded in one call; white space around it keeps it a pre-token of its own.
+#: Where a tokenizer makes several ids of it, the string of a special token is the mark, which no unit holds.
 MARK, TOGETHER = " \x01 ", 64
 
 
@@ -43,14 +44,30 @@ class _Units:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.ends = np.zeros(1 << 16, "uint32"), np.zeros(1 << 14, "int64")
+        self.again = np.zeros(1 << 14, bool)
         self.n = 0
 
+    def trim(self) -> None:
+        """Keep the units that were found again since the last time, if they fill half of the room at most."""
+        again, ends = self.again[: self.n], self.ends[: self.n]
+        stay, sizes = np.flatnonzero(again), np.diff(ends, prepend=0)
+        if not 0 < len(stay) <= self.limit // 2 or sizes[stay].sum() > 8 * self.limit:
+            return self.clear()
+        kept = self.flat[: ends[-1]][np.repeat(again, sizes)]
+        names = [unit for unit, keeps in zip(self.at, again.tolist(), strict=True) if keeps]
+        self.at = dict(zip(names, range(len(names)), strict=True))
+        self.flat = np.concatenate([kept, np.zeros(1 << 16, "uint32")])
+        self.ends = np.concatenate([np.cumsum(sizes[stay]), np.zeros(1 << 14, "int64")])
+        self.again = np.zeros(len(self.ends), bool)
+        self.n = len(names)
+
     def find(self, units: list[str]) -> np.ndarray:
         """Numbers of these units, which are distinct."""
-        if len(self.at) > self.limit:
-            self.clear()
+        if len(self.at) > self.limit or self.n and self.ends[self.n - 1] > 16 * self.limit:
+            self.trim()
         found = np.fromiter(map(self.at.get, units, repeat(-1)), "int64", len(units))
         missing = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
         if len(missing):
             fresh = [units[i] for i in missing.tolist()]
             ids, sizes = self.encode(fresh)
@@ -59,6 +76,7 @@ class _Units:
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while self.n + len(fresh) > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+                self.again = np.concatenate([self.again, np.zeros_like(self.again)])
             self.flat[size : size + len(ids)] = ids
             self.ends[self.n : self.n + len(fresh)] = size + np.cumsum(sizes)
             found[missing] = np.arange(self.n, self.n + len(fresh))
@@ -68,7 +86,7 @@ class _Units:
 
 
 class UnitTokenizer:
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,7 +95,7 @@ class UnitTokenizer:
         self.specials = [x["content"] for x in spec["added_tokens"]]
         # Normalized ones are looked for in what the normalizer makes of a text, so the text itself can't tell.
         self.cuts = self._cuts_are_safe(spec) and not any(x["normalized"] for x in spec["added_tokens"])
-        self.mark = self._mark() if self.cuts else None
+        self.mark, self.mark_id = self._mark(spec["added_tokens"]) if self.cuts else (None, None)
         self.units = _Units(self.several, limit)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
@@ -87,19 +105,26 @@ class UnitTokenizer:
         """All ids of the units and how many each has. Many are encoded in one call, and parted again by the mark's id; where a
         unit holds the mark itself there are more marks than units, and each is encoded alone."""
         if self.mark is not None:
-            joined = [MARK.join([*units[i : i + TOGETHER], ""]) for i in range(0, len(units), TOGETHER)]
+            joined = [self.mark.join([*units[i : i + TOGETHER], ""]) for i in range(0, len(units), TOGETHER)]
             flat, _ = _flat(self.whole(joined), len(joined))
-            marks = flat == self.mark
+            marks = flat == self.mark_id
             at = np.flatnonzero(marks)
             if len(at) == len(units):
                 return flat[~marks], np.diff(at, prepend=-1) - 1
         flat, offsets = _flat(self.whole(units), len(units))
         return flat, np.diff(offsets)
 
-    def _mark(self) -> int | None:
-        """The mark's id, where this tokenizer drops the white space around it and leaves its neighbours as they are."""
-        a, b, marked, both = self.whole(["a", "b", MARK, f"a{MARK}b"])
-        return marked[0] if len(marked) == 1 and both == a + marked + b else None
+    def _mark(self, added: list[dict]) -> tuple[str | None, int | None]:
+        """A mark and its id: one that this tokenizer makes one id of, and that leaves its neighbours as they are."""
+        plain = [x["content"] for x in added if x["special"] and not (x["lstrip"] or x["rstrip"] or x["single_word"])]
+        # What a unit ends or starts with must not make a special token with a part of the mark.
+        meets = lambda a, b: any(a.endswith(b[:i]) for i in range(1, min(len(a), len(b) + 1)))
+        apart = [x for x in plain if not any(meets(y, x) or meets(x, y) for y in self.specials)]
+        for mark in (MARK, *apart):
+            a, b, marked, both = self.whole(["a", "b", mark, f"a{mark}b"])
+            if len(marked) == 1 and both == a + marked + b:
+                return mark, marked[0]
+        return None, None
 
     @staticmethod
     def _cuts_are_safe(spec: dict) -> bool:

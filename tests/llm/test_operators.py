@@ -22,7 +22,7 @@ import corpus_pipeline
 from lodestack.llm import jaccard, langid, linededup, mixing, mtree, nndescent, orc_store, packing, queries, sharding, urlfilter
 from lodestack.llm.common import components
 from lodestack.llm.shingles import shingle_sets
-from lodestack.llm.tokens import load
+from lodestack.llm.tokens import UnitTokenizer, load
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -41,6 +41,18 @@ def empty(spark):
     return spark.createDataFrame([], DOC)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("limit", [3, 40, 300_000])
+def test_units_kept_in_little_room_give_the_same_ids(path, limit):
+    encoder = UnitTokenizer(path, limit)
+    assert encoder.mark is not None
+    for turn in range(6):
+        texts = [f"the same words {turn} and {turn * 7}, <|endoftex t|> a<|end", " \x01 x \x01", "long" * 200 * turn, "", f"{turn}\nnew\nlines", "|endoftext|> b <|"]
+        ids, offsets = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == plain(path, texts)
+        assert encoder.units.n == len(encoder.units.at)
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.one_of(st.text(alphabet=st.sampled_from("ab'sẞé́ \n\t .,!?\u00a0\u3000\u0085x12日–\x01"), max_size=40), st.text(max_size=30)), min_size=1, max_size=5))
