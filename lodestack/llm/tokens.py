@@ -161,7 +161,7 @@ class UnitTokenizer:
         offsets = np.append(at, len(data)).astype("int32")
         units = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pc.dictionary_encode(units)
-        found = self.units.find(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        found = self.units.find(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         ends = self.units.ends[found]
         starts = np.where(found > 0, self.units.ends[found - 1], 0)
         sizes = ends - starts
