@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import jaccard, langid, linededup, mixing, mtree, nndescent, orc_store, packing, sharding, urlfilter
+from lodestack.llm import jaccard, langid, licenses, linededup, mixing, mtree, nndescent, orc_store, packing, resample, runs, sharding, urlfilter
 from lodestack.llm.common import scratch
 from lodestack.runtime import ship, table
 
@@ -165,6 +166,94 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks")
+    points = resample.latest_points(clicks, key_column="client_id", time_column="ts", value_column="value", order_column="click_id")
+    rows = resample.resample(points, bucket=21600, max_gap=300, signal="step")
+    return rows.withColumnsRenamed({"key": "client_id", "avg": "avg_cents"})
+
+
+SQL["op11_resample"] = """
+WITH points AS (
+  SELECT client_id, epoch_us(ts) // 1000000 AS t, floor(100 * value + 0.5)::BIGINT AS v FROM clicks
+  WHERE client_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY client_id, epoch_us(ts) // 1000000 ORDER BY click_id DESC NULLS LAST, value DESC) = 1
+), segments AS (
+  SELECT client_id, t, v, least(coalesce(lead(t) OVER (PARTITION BY client_id ORDER BY t) - t, 300), 300) AS cover FROM points
+), parts AS (
+  SELECT client_id, b * 21600 AS bucket_start, (b = t // 21600)::BIGINT AS n, least((b + 1) * 21600, t + cover) - greatest(b * 21600, t) AS s, v
+  FROM segments, unnest(range(t // 21600, (t + cover - 1) // 21600 + 1)) AS u(b)
+), sums AS (
+  SELECT client_id, bucket_start, sum(n)::BIGINT AS n_points, sum(s)::BIGINT AS covered_seconds, sum(2 * v * s)::HUGEINT AS area2 FROM parts GROUP BY ALL
+)
+SELECT client_id, bucket_start, n_points, covered_seconds, area2::BIGINT AS area2,
+       ((area2 - ((area2 % (2 * covered_seconds)) + 2 * covered_seconds) % (2 * covered_seconds)) // (2 * covered_seconds))::BIGINT AS avg_cents
+FROM sums
+"""
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by a hash of the id, end in copies of a piece of themselves; one without an id stays."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    rows = runs.periodic_runs(docs, min_length=12, min_repeats=2, rewrite=repeated_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = rows.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.p")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"), F.call_function("div", 1000 * length, period).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.template_table(spark, licenses.TEMPLATES), threshold=0.8)
+
+
+def quoted(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+
+SQL["op13_licenses"] = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORD}') AS ws FROM documents
+), phrases AS (
+  SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {quoted(licenses.PHRASES)}) AS v(phrase, label)
+), places AS (
+  SELECT r, label, u.i - 1 AS spot FROM texts, unnest(range(1, len(ws) + 1)) AS u(i), phrases
+  WHERE ws[u.i] = p[1] AND list_slice(ws, u.i, u.i + len(p) - 1) = p
+), base AS (
+  SELECT r, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY r
+), parts AS (
+  SELECT label, list_distinct(regexp_extract_all(translate(text, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORD}')) AS tokens
+  FROM (VALUES {quoted(licenses.TEMPLATES)}) AS v(label, text)
+), blocks AS (
+  SELECT r, list_distinct(list_slice(ws, b * 32 + 1, b * 32 + 64)) AS held FROM texts, unnest(range(greatest(((len(ws) + 31) // 32 - 1)::BIGINT, 1))) AS u(b)
+), met AS (
+  SELECT r, label, len(list_intersect(held, tokens)) / len(tokens) AS score FROM blocks, parts
+  WHERE len(list_intersect(held, tokens)) >= ceil(len(tokens) * 0.8 - 1e-9)
+), more AS (
+  SELECT r, list(DISTINCT label) AS labels, max(score) AS best FROM met GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       (CASE WHEN n_base > 0 THEN 1 ELSE coalesce(best, 0) END)::DOUBLE AS score
+FROM texts LEFT JOIN base USING (r) LEFT JOIN more USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mtree_topk": op2_mtree_topk,
@@ -176,4 +265,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
+    "op11_resample": op11_resample,
+    "op12_runs": op12_runs,
+    "op13_licenses": op13_licenses,
 }
