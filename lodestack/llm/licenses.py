@@ -110,7 +110,7 @@ def blocks_of(rows: DataFrame, rare: DataFrame, width: int, max_lookup: int) ->
         return rows.withColumn("blocks", F.when(F.arrays_overlap("ws", "rare"), held)).drop("rare")
     spots = rows.select("license_key", F.posexplode("ws").alias("at", "token")).join(rare, "token", "left_semi")
     both = F.array_distinct(F.array(F.greatest(F.floor(F.col("at") / half) - 1, F.lit(0)), F.floor(F.col("at") / half)))
-    found = spots.select("license_key", F.explode(both).cast("int").alias("b")).distinct().groupBy("license_key").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    found = spots.select("license_key", F.explode(both.cast("array<int>")).alias("b")).distinct().groupBy("license_key").agg(F.array_sort(F.collect_list("b")).alias("bs"))
     rows = rows.join(found, "license_key", "left")
     return rows.withColumn("blocks", F.transform(F.filter("bs", lambda b: b < count), window)).drop("bs")
 
