@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.operators import graph
+from lodestack.operators import communities, graph
 
 #: The kinds of edges, and how many types and titles a cluster is described by.
 KINDS = ("wikilink", "mention", "frontmatter-ref", "hyperlink")
@@ -58,14 +58,30 @@ def simple(edges: DataFrame) -> DataFrame:
 def cluster(edges: DataFrame, seeds: DataFrame, *, limit: int = 5000, force: bool = False) -> DataFrame:
     """node, cluster of the graph around the seeds; nodes without an edge are clusters of their own. Over `limit` nodes it must be forced."""
     nodes = around(edges, seeds)
-    n = nodes.count()
-    if n > limit and not force:
-        raise ValueError(f"{n} nodes exceed {limit}; narrow the seeds or force it")
-    inner = simple(graph.induced(edges, nodes)).select(F.lit(0).alias("g"), F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = graph.louvain(inner, "g", max(limit, n)).select("node", "cluster")
+    n = 0 if force else nodes.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"more than {limit} nodes; narrow the seeds or force it")
+    inner = simple(graph.induced(edges, nodes)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = communities.louvain(inner)
     return nodes.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster")).orderBy("cluster", "node")
 
 
+def seeds_of(*, seeds: DataFrame | None = None, asked: str | None = None, search: Callable[[str | None, str, int], DataFrame] | None = None, vaults: Sequence[str] = (), vault: str | None = None, top: int = 10) -> DataFrame:
+    """seed: given ones, or the nodes (column node) that a search of one vault finds; one of both has to be given, not both.
+
+    Where there are several vaults, a search has to name one of them; the only one is meant else.
+    """
+    if (seeds is None) == (asked is None):
+        raise ValueError("both_seeds_and_query: give exactly one of seeds and a query")
+    if seeds is not None:
+        return seeds.select("seed").distinct()
+    if vault is None and len(vaults) == 1:
+        vault = vaults[0]
+    if (vault is None and len(vaults) > 1) or (vault is not None and vault not in vaults):
+        raise ValueError(f"vault_required: name one of {', '.join(vaults)}")
+    return search(vault, asked, top).select(F.col("node").alias("seed")).distinct()
+
+
 def summaries(clusters: DataFrame, edges: DataFrame, notes: DataFrame) -> DataFrame:
     """cluster, size, density, types, titles: of the members (node, cluster) with notes (id, title, type).
 

@@ -1,7 +1,9 @@
 """Boolean full-text search: AND, OR, NOT, NEAR, prefixes, phrases and parentheses, scored by BM25.
 
 A query is compiled on the driver into leaves, whose occurrences are counted by built-in expressions, and one condition on the
-counts. Texts are scanned for the statistics and for the hits and never shuffled; one row of statistics is broadcast.
+counts. `indexed` takes the counts from a stored index alone: it opens the files of the query's words (of a prefix, those that its words may
+lie in), gathers a document's positions, and meets them as sets of places. `search` scans texts that have no index; they are
+scanned for the statistics and for the hits and never shuffled, and one row of statistics is broadcast. Both give the same scores.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.postings import Index, View, weight
 from lodestack.operators.retrieval import K1, B, words
 
 OPERATORS = {"AND", "OR", "NOT"}
@@ -36,6 +39,26 @@ class Leaf:
         follows = lambda w, i: _all([w == first] + [F.get(ws, i + k) == word for k, word in enumerate(self.words) if k])
         return F.size(F.filter(ws, follows))
 
+    def counted(self) -> Column:
+        """How often it occurs, as an aggregate over a document's postings (term, tf, positions)."""
+        if self.kind in ("word", "prefix"):
+            own = F.col("term") == self.words[0] if self.kind == "word" else F.col("term").startswith(self.words[0])
+            return F.coalesce(F.sum(F.when(own, F.col("tf"))), F.lit(0))
+        places = [F.any_value(F.when(F.col("term") == word, F.col("positions")), F.lit(True)) for word in self.words]
+        met = places[0]
+        for k, other in enumerate(places[1:], 1):
+            if self.kind == "near":
+                reach = self.within + 1
+                other = F.flatten(F.transform(other, lambda q: F.sequence(q - reach, q + reach)))
+            else:
+                other = _shifted(other, k)
+            met = F.array_intersect(met, other)
+        return F.coalesce(F.size(met), F.lit(0))
+
+
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda q: q - by)
+
 
 def _near(p: Column, within: int) -> Callable[[Column], Column]:
     return lambda q: F.abs(p - q) <= within + 1
@@ -133,7 +156,7 @@ def matching(docs: DataFrame, query: str, key: str, text: str, keep: Column | No
 def _counted(docs: DataFrame, compiled: Compiled, key: str, text: str, keep: Column | None) -> DataFrame:
     # A generator between, since a filter on counts would else be pushed below and split every text again for each leaf.
     body = docs.select(key, F.explode(F.array(words(F.col(text)))).alias("ws"), (keep if keep is not None else F.lit(True)).alias("keep"))
-    return body.select(key, "keep", F.size("ws").alias("len"), *[leaf.count("ws").alias(f"tf{i}") for i, leaf in enumerate(compiled.leaves)])
+    return body.select(key, "keep", F.coalesce(F.size("ws"), F.lit(0)).alias("len"), *[leaf.count("ws").alias(f"tf{i}") for i, leaf in enumerate(compiled.leaves)])
 
 
 def search(docs: DataFrame, query: str, key: str, text: str, k: int = 10, keep: Column | None = None) -> DataFrame:
@@ -151,6 +174,35 @@ def search(docs: DataFrame, query: str, key: str, text: str, k: int = 10, keep:
     return hits.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def indexed(index: Index | View, query: str, k: int | None = 10, keep: DataFrame | None = None) -> DataFrame:
+    """The k best documents of each and all vaults that fit the query, from the index's folders alone: vault, key, score.
+
+    Each vault counts by its own statistics; ties go to the smaller vault, then key. `keep` (column key) leaves the statistics alone.
+    """
+    view = index.view() if isinstance(index, Index) else index
+    compiled = compile_query(query)
+    prefixes = sorted({leaf.words[0] for leaf in compiled.leaves if leaf.kind == "prefix"})
+    terms = sorted({word for leaf in compiled.leaves if leaf.kind != "prefix" for word in leaf.words})
+    rows = view.live(terms, prefixes)
+    found = rows.groupBy("vault", "key", "len").agg(*[leaf.counted().alias(f"tf{i}") for i, leaf in enumerate(compiled.leaves)] or [F.count("*").alias("none")])
+    scored = sorted(compiled.scored)
+    stats = view.stats()
+    if all(compiled.leaves[i].kind == "word" for i in scored):  # the dictionary knows them
+        known = view.dictionary(terms).groupBy("vault").agg(F.lit(0).alias("df"), *[F.coalesce(F.sum(F.when(F.col("term") == compiled.leaves[i].words[0], F.col("df"))), F.lit(0)).alias(f"df{i}") for i in scored])
+    else:
+        known = found.groupBy("vault").agg(F.lit(0).alias("df"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in scored])
+    hits = found.filter(compiled.test() if compiled.test else F.lit(False))
+    if keep is not None:
+        hits = hits.join(keep.select("key"), "key", "left_semi")
+    hits = hits.join(F.broadcast(known.join(stats, "vault")), "vault")  # one row for each vault
+    score = F.lit(0.0)
+    for i in scored:
+        part = weight(F.col("n"), F.col(f"df{i}"), F.col(f"tf{i}"), F.col("len"), F.col("avg"))
+        score = score + F.when(F.col(f"tf{i}") > 0, part).otherwise(0.0)
+    out = hits.select("vault", "key", F.round(score, 6).alias("score"))
+    return out if k is None else out.orderBy(F.desc("score"), "vault", "key").limit(k)
+
+
 def snippet(text: Column, terms: list[str], size: int = 64, before: int = 8) -> Column:
     """A window of `size` tokens that starts shortly before the first of the terms, each of which stands in <mark>."""
     tokens = F.split(F.trim(text), r"\s+")

@@ -1,4 +1,4 @@
-"""Typed edges: neighbour joins, link resolution, bounded expansion and clusters."""
+"""Typed edges: neighbour joins, link resolution and bounded expansion."""
 
 from __future__ import annotations
 
@@ -48,59 +48,3 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes (column id)."""
     src, dst = nodes.select(F.col("id").alias("src")), nodes.select(F.col("id").alias("dst"))
     return edges.join(src, "src", "left_semi").join(dst, "dst", "left_semi")
-
-
-def louvain(edges: DataFrame, group: str, limit: int = 5000) -> DataFrame:
-    """Clusters of each group's simple undirected graph, one group a task (bounded by `limit` nodes): node, cluster.
-
-    Nodes move in ascending order to the neighbouring cluster of most gain, ties to the smaller; levels repeat until nothing
-    moves. A cluster is named by its smallest node.
-    """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = {(min(a, b), max(a, b)) for a, b in zip(pdf["src"], pdf["dst"], strict=True) if a != b}
-        nodes = sorted({x for p in pairs for x in p})
-        if len(nodes) > limit:
-            raise ValueError(f"{len(nodes)} nodes exceed {limit}")
-        owner = {n: n for n in nodes}
-        weights: dict = {n: {} for n in nodes}
-        for a, b in pairs:
-            weights[a][b] = weights[b][a] = 1.0
-        total = 2.0 * len(pairs)
-        while True:
-            place, degree = {n: n for n in weights}, {n: sum(w.values()) for n, w in weights.items()}
-            inside, moved, any_move = dict(degree), True, False
-            while moved:
-                moved = False
-                for n in sorted(weights):
-                    links: dict = {}
-                    for m, w in weights[n].items():
-                        if m != n:
-                            links[place[m]] = links.get(place[m], 0.0) + w
-                    old = place[n]
-                    inside[old] -= degree[n]
-                    gain = lambda c: links.get(c, 0.0) - inside[c] * degree[n] / total  # noqa: B023, E731
-                    best = min([*links, old], key=lambda c: (-round(gain(c), 12), c != old, c))
-                    inside[best] += degree[n]
-                    if best != old and gain(best) > gain(old) + 1e-12:
-                        place[n], moved, any_move = best, True, True
-                    elif best != old:
-                        inside[best] -= degree[n]
-                        inside[old] += degree[n]
-            if not any_move:
-                break
-            owner = {n: place[c] for n, c in owner.items()}
-            merged: dict = {}
-            for n, w in weights.items():
-                row = merged.setdefault(place[n], {})
-                for m, x in w.items():
-                    row[place[m]] = row.get(place[m], 0.0) + x
-            weights = merged
-        least: dict = {}
-        for n, c in owner.items():
-            least[c] = min(least.get(c, n), n)
-        return pd.DataFrame({group: pdf[group].iloc[0], "node": nodes, "cluster": [least[owner[n]] for n in nodes]})
-
-    kind = edges.schema[group].dataType.simpleString()
-    return edges.select(group, "src", "dst").groupBy(group).applyInPandas(run, f"{group} {kind}, node long, cluster long")

@@ -1,89 +1,118 @@
-"""A stored full-text index: postings, statistics and terms, written once, read by term, and changed by added segments.
+"""A stored full-text index with positions: written once, read by term, changed by added segments, which are merged in time.
 
-`postings` holds (term, vault, key, tf, len) in folders by a hash of the term, so a search reads the folders of its words and, by
-the Parquet statistics of sorted files, little else. A frequent word's rows are spread over several files of its folder.
-`terms` (document frequencies) and `stats` (documents and words of a vault) hold differences, which add up over the segments.
-A segment replaces documents: `gone` names those whose rows in earlier segments no longer count.
+A segment has these tables, all Parquet:
+
+- `postings` (term, vault, key, len, tf, positions), dealt out by ranges of (term, hash of the key) and sorted, so that a frequent
+  word fills several files and a rare one shares its own; how many there are follows from the bytes;
+- `terms` (term, vault, df), the dictionary, sorted by term: differences, which add up over the segments;
+- `forward` (key, vault, len, terms), in folders by a hash of the key: what a document's words were when it was indexed;
+- `stats` (vault, n, words), differences as well; `gone` (key): whose rows in earlier segments no longer count;
+- `ranges` (of, file, low, high): the terms that each file of `postings` and `terms` spans. A search opens only files that its words
+  or prefixes fall into, and within these only row groups whose statistics hold them.
+
+Replacing n documents reads the folders of their keys in `forward`, and no posting. The manifest names the segments that count
+and changes by compare-and-rename: a reader sees whole segments, of two writers one fails with `Conflict`.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.operators.manifest import Conflict, Manifest
 from lodestack.operators.retrieval import K1, B, words
 
-BUCKETS, SPREAD = 32, 4
+__all__ = ["Conflict", "Index", "View", "build"]
+
+#: Parts that a word's rows may be spread over, documents of a folder of `forward`, and segments of about one size that are merged.
+SPREAD, SLOT_DOCS, FAN = 64, 100_000, 8
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def postings_of(docs: DataFrame) -> DataFrame:
+    """term, vault, key, len, tf, positions of each word of each document (vault, key, ws); a null text has none."""
+    each = docs.select("vault", "key", F.size("ws").alias("len"), F.posexplode("ws").alias("at", "term"))
+    return each.groupBy("term", "vault", "key", "len").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
 
 
-def postings_of(docs: DataFrame, key: str, text: str, vault: str | None) -> DataFrame:
-    """term, vault, key, tf, len of each word of each document; a null text has none."""
+def parsed(docs: DataFrame, key: str, text: str, vault: str | None) -> DataFrame:
     name = F.col(vault).cast("string") if vault else F.lit("")
-    each = docs.select(name.alias("vault"), F.col(key).alias("key"), words(F.col(text)).alias("ws"))
-    each = each.select("vault", "key", F.size("ws").alias("len"), F.explode("ws").alias("term"))
-    return each.groupBy("term", "vault", "key", "len").agg(F.count("*").cast("int").alias("tf"))
+    # A generator between, so that a text is parted once and not again for each use.
+    return docs.select(name.alias("vault"), F.col(key).alias("key"), F.explode(F.array(F.coalesce(words(F.col(text)), F.array().cast("array<string>")))).alias("ws"))
 
 
-def lengths_of(docs: DataFrame, text: str, vault: str | None) -> DataFrame:
-    name = F.col(vault).cast("string") if vault else F.lit("")
-    return docs.groupBy(name.alias("vault")).agg(F.count("*").alias("n"), F.sum(F.greatest(F.size(words(F.col(text))), F.lit(0))).alias("words"))
+def slot(slots: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int")
 
 
-class Index:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+class View:
+    """The segments of one version. What is read of it stays the same whatever is written meanwhile."""
 
-    def _write(self, rows: DataFrame, name: str, segment: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={segment}")
+    def __init__(self, spark: SparkSession, path: str, version: int, content: dict[str, Any]):
+        self.spark, self.path, self.version, self.content = spark, path, version, content
+        self.segments: list[dict[str, Any]] = content["segments"]
 
-    def _write_postings(self, rows: DataFrame, segment: int) -> None:
-        dealt = rows.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
-        dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+    def _table(self, at: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/segments/{self.segments[at]['id']}/{name}")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A table of all segments, with the segment's place."""
+        return reduce(DataFrame.unionByName, [self._table(at, name).withColumn("segment", F.lit(at)) for at in range(len(self.segments))])
 
-    def live(self, terms: Sequence[str] | None = None) -> DataFrame:
-        """The postings that count, of the given words."""
-        rows = self.read("postings")
-        if terms is not None:
-            folders = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t"))).distinct().collect()]  # of the query's words
-            rows = rows.filter(F.col("bucket").isin(*folders) & F.col("term").isin(*terms))
-        gone = self.read("gone").groupBy(F.col("key").alias("gone_key")).agg(F.max("segment").alias("gone_at"))
-        old = rows.join(gone, (F.col("key") == F.col("gone_key")) & (F.col("segment") < F.col("gone_at")), "left_anti")
-        return old.select("term", "vault", "key", "tf", "len")
-
-    def replace(self, docs: DataFrame, removed: DataFrame, key: str, text: str, vault: str | None = None) -> None:
-        """A new segment: `docs` instead of the rows of their keys, and none for the keys of `removed` (column key)."""
-        segment = self.read("stats").agg(F.max("segment")).first()[0] + 1
-        out = docs.select(F.col(key).alias("key")).unionByName(removed.select("key")).distinct()
-        # What the keys held so far counts negatively.
-        before = self.live().join(out, "key", "left_semi")
-        lost = before.groupBy("term", "vault").agg((-F.count("*")).alias("df"))
-        held = self.read("sizes").join(out, "key", "left_semi").groupBy("key", "vault").agg(F.max_by("len", "segment").alias("len"), F.max_by("there", "segment").alias("there")).filter("there")
-        fewer = held.groupBy("vault").agg((-F.count("*")).alias("n"), (-F.sum("len")).cast("long").alias("words"))
-        added = postings_of(docs, key, text, vault)
-        more = added.groupBy("term", "vault").agg(F.count("*").alias("df"))
-        terms = lost.unionByName(more).groupBy("term", "vault").agg(F.sum("df").alias("df")).filter("df <> 0")
-        stats = fewer.unionByName(lengths_of(docs, text, vault)).groupBy("vault").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-        sizes = self._sizes(docs, key, text, vault).unionByName(out.join(docs.select(F.col(key).alias("key")), "key", "left_anti").join(held.select("key", "vault"), "key").select("key", "vault", F.lit(0).alias("len"), F.lit(False).alias("there")))
-        # The differences are read from the segments before, so they are written before the segment counts.
-        self._write(terms, "terms", segment)
-        self._write(stats, "stats", segment)
-        self._write(sizes, "sizes", segment)
-        self._write_postings(added, segment)
-        self._write(out, "gone", segment)
-
-    @staticmethod
-    def _sizes(docs: DataFrame, key: str, text: str, vault: str | None) -> DataFrame:
-        name = F.col(vault).cast("string") if vault else F.lit("")
-        return docs.select(F.col(key).alias("key"), name.alias("vault"), F.greatest(F.size(words(F.col(text))), F.lit(0)).alias("len"), F.lit(True).alias("there"))
+    def _files(self, of: str, terms: Sequence[str], prefixes: Sequence[str]) -> dict[int, list[str]]:
+        """By segment the files of postings or terms that may hold the words, or words with the prefixes."""
+        test = F.lit(False)
+        for t in terms:
+            test = test | ((F.col("low") <= t) & (F.col("high") >= t))
+        for p in prefixes:
+            test = test | ((F.substring("low", 1, len(p)) <= p) & (F.col("high") >= p))
+        found: dict[int, list[str]] = {}
+        for row in self.read("ranges").filter(F.col("of") == of).filter(test).collect():  # as many as hold the query's words
+            found.setdefault(row["segment"], []).append(f"{self.path}/segments/{self.segments[row['segment']]['id']}/{of}/{row['file']}")
+        return found
+
+    def _of(self, of: str, terms: Sequence[str] | None, prefixes: Sequence[str]) -> DataFrame:
+        if terms is None:
+            return self.read(of)
+        test = F.col("term").isin(*terms) if terms else F.lit(False)
+        for p in prefixes:
+            test = test | F.col("term").startswith(p)
+        parts = [self.spark.read.parquet(*sorted(files)).withColumn("segment", F.lit(at)) for at, files in sorted(self._files(of, terms, prefixes).items())]
+        return reduce(DataFrame.unionByName, parts).filter(test) if parts else self.read(of).filter(F.lit(False))
+
+    def _counting(self, rows: DataFrame, first: int = 0) -> DataFrame:
+        """Rows (key, segment) that no later segment replaced."""
+        later = [self._table(at, "gone").select(F.col("key").alias("gone_key"), F.lit(at).alias("gone_at")) for at in range(first + 1, len(self.segments))]
+        if not later:
+            return rows
+        gone = reduce(DataFrame.unionByName, later).groupBy("gone_key").agg(F.max("gone_at").alias("gone_at"))
+        return rows.join(gone, (F.col("key") == F.col("gone_key")) & (F.col("segment") < F.col("gone_at")), "left_anti")
+
+    def live(self, terms: Sequence[str] | None = None, prefixes: Sequence[str] = ()) -> DataFrame:
+        """The postings that count: of all words, or of the given ones and those with the given prefixes."""
+        return self._counting(self._of("postings", terms, prefixes)).drop("segment")
+
+    def dictionary(self, terms: Sequence[str] | None = None, prefixes: Sequence[str] = ()) -> DataFrame:
+        """term, vault, df of the words that stand in a document."""
+        return self._of("terms", terms, prefixes).groupBy("term", "vault").agg(F.sum("df").alias("df")).filter("df > 0")
+
+    def stats(self) -> DataFrame:
+        """vault, n, avg: documents and their mean words."""
+        return self.read("stats").groupBy("vault").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg")).filter("n > 0")
+
+    def held(self, keys: DataFrame) -> DataFrame:
+        """key, vault, len, terms as the index has the documents of these keys (distinct), from the folders of `forward` that can hold them."""
+        parts = []
+        for at, segment in enumerate(self.segments):
+            slots = segment["slots"]
+            wanted = [r[0] for r in keys.select(slot(slots).alias("s")).distinct().collect()] if slots > 1 else [0]  # one for each folder at most
+            parts.append(self._table(at, "forward").filter(F.col("slot").isin(*wanted) if wanted else F.lit(False)).withColumn("segment", F.lit(at)))
+        rows = reduce(DataFrame.unionByName, parts).join(keys, "key", "left_semi")
+        return self._counting(rows).select("key", "vault", "len", "terms")
 
     def bm25(self, query: Sequence[str], k: int | None, *, every: bool = False, keep: DataFrame | None = None) -> DataFrame:
         """vault, key, score of the documents with one of the words (`every`: all of them), each vault by its own statistics.
@@ -91,27 +120,157 @@ class Index:
         `keep` (column key) filters what is returned, not the statistics. With `k` the best k of all, ties to the smaller key.
         """
         terms = sorted(set(query))
-        rows = self.live(terms)
+        rows = self.live(terms).drop("positions")
         if keep is not None:
             rows = rows.join(keep.select("key"), "key", "left_semi")
-        df = self.read("terms").filter(F.col("term").isin(*terms)).groupBy("term", "vault").agg(F.sum("df").alias("df"))
-        stats = self.read("stats").groupBy("vault").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg"))
-        one = rows.join(df, ["term", "vault"]).join(stats, "vault")
-        idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-        scored = one.groupBy("vault", "key").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("found"))
+        one = rows.join(F.broadcast(self.dictionary(terms)), ["term", "vault"]).join(F.broadcast(self.stats()), "vault")  # a row for each word and vault, for each vault
+        scored = one.groupBy("vault", "key").agg(F.round(F.sum(weight(F.col("n"), F.col("df"), F.col("tf"), F.col("len"), F.col("avg"))), 6).alias("score"), F.count("*").alias("found"))
         if every:
             scored = scored.filter(F.col("found") == len(terms))
         scored = scored.drop("found")
         return scored if k is None else scored.orderBy(F.desc("score"), "key").limit(k)
 
 
+def weight(n: Column, df: Column, tf: Column, size: Column, avg: Column) -> Column:
+    """A word's part of BM25."""
+    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / avg))
+
+
+class Index:
+    """The index in a folder: views of its versions, and changes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.manifest = spark, path, Manifest(spark, path)
+
+    def view(self, version: int | None = None) -> View:
+        return View(self.spark, self.path, *self.manifest.read(version))
+
+    def read(self, name: str) -> DataFrame:
+        return self.view().read(name)
+
+    def live(self, terms: Sequence[str] | None = None) -> DataFrame:
+        return self.view().live(terms)
+
+    def bm25(self, query: Sequence[str], k: int | None, *, every: bool = False, keep: DataFrame | None = None) -> DataFrame:
+        return self.view().bm25(query, k, every=every, keep=keep)
+
+    def _write(self, segment: str, name: str, rows: DataFrame) -> DataFrame:
+        path = f"{self.path}/segments/{segment}/{name}"
+        rows.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _write_sorted(self, segment: str, postings: DataFrame, terms: DataFrame | None) -> None:
+        """postings and terms by ranges of terms, and what each of their files spans; terms are counted from the postings if not given."""
+        dealt = postings.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).repartitionByRange("term", "part")
+        written = self._write(segment, "postings", dealt.sortWithinPartitions("term", "vault", "key").drop("part"))
+        if terms is None:
+            terms = written.groupBy("term", "vault").agg(F.count("*").alias("df"))
+        known = self._write(segment, "terms", terms.repartitionByRange("term").sortWithinPartitions("term", "vault"))
+        spans = [rows.groupBy(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high")).withColumn("of", F.lit(of)) for of, rows in (("postings", written), ("terms", known))]
+        self._write(segment, "ranges", spans[0].unionByName(spans[1]).coalesce(1))
+
+    def _write_forward(self, segment: str, rows: DataFrame, docs: int) -> int:
+        slots = max(1, -(-docs // SLOT_DOCS))
+        rows.withColumn("slot", slot(slots)).repartition("slot").sortWithinPartitions("slot", "key").write.partitionBy("slot").parquet(f"{self.path}/segments/{segment}/forward")
+        if not docs:  # an empty table by folders has no schema to read
+            rows.withColumn("slot", F.lit(0)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/segments/{segment}/forward")
+        return slots
+
+    def _add(self, base: View, docs: DataFrame, gone: DataFrame | None, source: str | None = None, batch: int | None = None) -> None:
+        """A segment of parsed documents, which replaces the keys of `gone`, after those of `base`."""
+        segment, size = uuid.uuid4().hex, docs.count()
+        forward = docs.select("key", "vault", F.size("ws").alias("len"), F.array_distinct("ws").alias("terms"))
+        slots = self._write_forward(segment, forward, size)
+        forward = self.spark.read.parquet(f"{self.path}/segments/{segment}/forward")
+        stats = forward.groupBy("vault").agg(F.count("*").alias("n"), F.sum("len").alias("words"))
+        terms = None
+        if gone is None:
+            self._write(segment, "gone", docs.select("key").limit(0))
+        else:
+            held = base.held(self._write(segment, "gone", gone))
+            fewer = held.groupBy("vault").agg((-F.count("*")).alias("n"), (-F.sum("len")).alias("words"))
+            stats = stats.unionByName(fewer).groupBy("vault").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+            count = lambda rows, sign: rows.select("vault", F.explode("terms").alias("term")).groupBy("term", "vault").agg((sign * F.count("*")).alias("df"))
+            terms = count(forward, 1).unionByName(count(held, -1)).groupBy("term", "vault").agg(F.sum("df").alias("df")).filter("df <> 0")
+        self._write(segment, "stats", stats.coalesce(1))
+        self._write_sorted(segment, postings_of(docs), terms)
+        content = dict(base.content, segments=[*base.segments, {"id": segment, "docs": size, "slots": slots}])
+        self._commit(base, content, [segment], source, batch)
+
+    def _commit(self, base: View, content: dict[str, Any], fresh: list[str], source: str | None = None, batch: int | None = None) -> None:
+        if source is not None:
+            content["batches"] = dict(content["batches"], **{source: batch})
+        try:
+            self.manifest.commit(base.version, content)
+        except Conflict:
+            for segment in fresh:
+                self._drop(segment)
+            raise
+
+    def _drop(self, segment: str) -> None:
+        self.manifest.fs.delete(self.manifest._path(f"{self.path}/segments/{segment}"), True)
+
+    def replace(self, docs: DataFrame, removed: DataFrame, key: str, text: str, vault: str | None = None, *, source: str | None = None, batch: int | None = None, base: View | None = None) -> bool:
+        """A new segment: `docs` instead of the rows of their keys, and none for the keys of `removed` (column key).
+
+        With `source`, the same batch (or an earlier one) of that stream is taken once: a repeated one changes nothing and gives False.
+        Raises `Conflict` if another writer came between; nothing of the change is then seen.
+        """
+        base = base or self.view()
+        if source is not None and base.content["batches"].get(source, -1) >= batch:
+            return False
+        gone = docs.select(F.col(key).alias("key")).unionByName(removed.select("key")).distinct()
+        self._add(base, parsed(docs, key, text, vault), gone, source, batch)
+        return True
+
+    def merge(self, fan: int = FAN) -> bool:
+        """Join the last segments into one if there are `fan` of about one size (a power of `fan`) or smaller; True if so.
+
+        Rows that were replaced among them go. Keys that they replaced in earlier segments stay known; differences are added up.
+        """
+        base = self.view()
+        power = lambda s: len(range(1, max(1, s["docs"]).bit_length(), max(1, fan.bit_length() - 1)))
+        run = 0
+        for size in sorted({power(s) for s in base.segments}):
+            run = next((n for n, s in enumerate(reversed(base.segments)) if power(s) > size), len(base.segments))
+            if run >= fan:
+                break
+        if run < max(fan, 2):
+            return False
+        first = len(base.segments) - run
+        among = View(self.spark, self.path, base.version, dict(base.content, segments=base.segments[first:]))
+        segment = uuid.uuid4().hex
+        keys = among.read("gone").select("key").distinct()
+        self._write(segment, "gone", keys if first else keys.limit(0))
+        sums = lambda name, by, *what: among.read(name).groupBy(*by).agg(*[F.sum(c).alias(c) for c in what])
+        self._write(segment, "stats", sums("stats", ["vault"], "n", "words").coalesce(1))
+        rows = among._counting(among.read("forward")).select("key", "vault", "len", "terms")
+        docs = rows.count()
+        slots = self._write_forward(segment, rows, docs)
+        self._write_sorted(segment, among.live(), sums("terms", ["term", "vault"], "df").filter("df <> 0"))
+        content = dict(base.content, segments=[*base.segments[:first], {"id": segment, "docs": docs, "slots": slots}])
+        self._commit(base, content, [segment])
+        return True
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete the segments that none of the last `keep` versions names; how many. Not while a writer is at work."""
+        versions = self.manifest.versions()
+        named = {s["id"] for v in versions[-max(keep, 1) :] for s in self.manifest.read(v)[1]["segments"]}
+        there = [s.getPath().getName() for s in self.manifest.fs.listStatus(self.manifest._path(f"{self.path}/segments"))]
+        old = [s for s in there if s not in named]
+        for s in old:
+            self._drop(s)
+        for v in versions[: -max(keep, 1)]:
+            self.manifest.fs.delete(self.manifest._path(f"{self.manifest.base}/{v:012d}.json"), False)
+        return len(old)
+
+
 def build(docs: DataFrame, path: str, key: str, text: str, vault: str | None = None) -> Index:
-    """Write the index of all documents; keys are unique."""
+    """Write the index of all documents; keys are unique. A folder that has an index already is a `Conflict`."""
     index = Index(docs.sparkSession, path)
-    index._write_postings(postings_of(docs, key, text, vault), 0)
-    index._write(index.read("postings").groupBy("term", "vault").agg(F.count("*").alias("df")), "terms", 0)
-    index._write(lengths_of(docs, text, vault), "stats", 0)
-    index._write(index._sizes(docs, key, text, vault), "sizes", 0)
-    index._write(docs.select(F.col(key).alias("key")).limit(0), "gone", 0)
+    base = index.view()
+    if base.version:
+        raise Conflict(f"{path} has an index")
+    index._add(base, parsed(docs, key, text, vault), None)
     return index

@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from lodestack.operators import assembly
 
 #: How sure a rule about content is, how much of a text it looks at, and the longest text that is a mere fact.
-STRONG, USUAL, WEAK = 0.9, 0.7, 0.4
+STRONG, USUAL, WEAK = 0.85, 0.7, 0.5
 HEAD, LINK_HEAD, FACT = 2000, 500, 150
 #: Words of meetings, and the lines that name their guests, as patterns.
 MEETING = r"(?i)\b(Meeting|Treffen|Call|Sondierung|Termin|Standup|Sync|Kickoff|Kick-off|Jour\s*fixe|Workshop)\b"
 GUESTS = r"(?im)^(Attendees|Teilnehmer|Participants):"
-MAIL_TITLE, MAIL_REPLY = r"(?i)^(E-?Mail|Mail)\s+(von|from)\s+\S+", r"(?i)^(Re|Fwd|AW|WG):\s"
+MAIL_TITLE, MAIL_REPLY = r"(?i)^(E-?Mail|Email|Mail)\s+(von|from)\s+\S+", r"(?i)^(Re|Fwd|AW|WG):\s"
 MAIL_FROM, MAIL_TO = r"(?im)^(From|Von):\s+\S+", r"(?im)^(To|An):\s+\S+"
 NAME = r"^[A-ZÄÖÜ][a-zäöüß'\-]+( [A-ZÄÖÜ][a-zäöüß'\-]+){0,3}$"
-CONTACT = r"(?i)linkedin\.com/in/|\b[\w._-]+@[\w.-]+\.[a-z]{2,}\b|\+?\d[\d\s\-./()]{6,}"
-CLIPPED = r"(?im)^\s*\[.+\]\(https?://[^\s)]+\)|^source:\s*https?://"
+PROFILE, ADDRESS, PHONE = r"(?i)linkedin\.com/in/", r"(?i)\b[\w._-]+@[\w.-]+\.[a-z]{2,}\b", r"\+?\d[\d\s\-./()]{6,}"
+CLIP_LINK, CLIP_SOURCE = r"(?m)^\s*\[.+\]\(https?://[^\s)]+\)", r"(?im)^source:\s*https?://"
 
 
 def json_type(value: Column) -> Column:
@@ -74,8 +74,9 @@ def from_content(notes: DataFrame, key: str, title: str, body: str) -> DataFrame
     t, head, whole = F.coalesce(F.col(title), F.lit("")), F.substr(F.coalesce(F.col(body), F.lit("")), F.lit(1), F.lit(HEAD)), F.trim(F.coalesce(F.col(body), F.lit("")))
     mail = t.rlike(MAIL_TITLE) | t.rlike(MAIL_REPLY) | (head.rlike(MAIL_FROM) & head.rlike(MAIL_TO))
     sure = F.when(head.rlike(GUESTS), STRONG).otherwise(USUAL)
-    person = F.trim(t).rlike(NAME) & head.rlike(CONTACT)
-    clipped = F.substr(head, F.lit(1), F.lit(LINK_HEAD)).rlike(CLIPPED)
+    person = F.trim(t).rlike(NAME) & (head.rlike(PROFILE) | head.rlike(ADDRESS) | head.rlike(PHONE))
+    start = F.substr(head, F.lit(1), F.lit(LINK_HEAD))
+    clipped = start.rlike(CLIP_LINK) | start.rlike(CLIP_SOURCE)
     fact = (F.length(whole) > 0) & (F.length(whole) <= FACT) & ~whole.rlike(r"\n\s*\n")
     date = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1)
     rules: list[tuple[str, Column, Sequence[tuple[str, Column | str, Column | float]]]] = [

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import hashing, text
-from lodestack.operators import assembly, graph, memory, predicates, retrieval
+from lodestack.operators import assembly, communities, graph, memory, predicates, retrieval
 from lodestack.runtime import ship, table
 
 FLAGSHIP = "hybrid_topk"
@@ -255,9 +255,25 @@ def chunk_bounds(spark, sf):
     return docs.select("doc_id", F.posexplode(text.chunks_udf("text")).alias("ord", "c")).select("doc_id", "ord", "c.*")
 
 
+def shipped(spark, sf) -> DataFrame:
+    """Edges between suppliers and the parts that they ship, a graph for each kind of return."""
+    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
+
+
 @query()
 def louvain_partition(spark, sf):
-    """Clusters of suppliers and parts, a graph for each kind of return."""
-    ships = table(ship(spark), sf, "lineitem").filter("l_discount > 0.05").select(F.col("l_returnflag").alias("grp"), F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
-    nodes = ships.select("grp", F.explode(F.array("src", "dst")).alias("n")).groupBy("grp").agg(F.count_distinct("n").alias("n")).agg(F.max("n")).first()[0]
-    return graph.louvain(ships.distinct(), "grp", nodes or 1)
+    """Clusters of suppliers and parts."""
+    return communities.louvain(shipped(spark, sf), "grp")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_returnflag AS grp, l_suppkey AS s, l_partkey AS p FROM lineitem), c AS (SELECT grp, p, min(s) AS c, count(*) AS k FROM e GROUP BY ALL), m AS (SELECT grp, count(*) AS edges, count(DISTINCT s) + count(DISTINCT p) AS nodes FROM e GROUP BY 1),
+t AS (SELECT grp, c, sum(k) AS tot FROM (SELECT grp, s AS c, count(*) AS k FROM e GROUP BY ALL UNION ALL SELECT grp, c, k FROM c) GROUP BY ALL), i AS (SELECT grp, c, count(*) AS n FROM c GROUP BY ALL)
+SELECT grp, edges, nodes, round(sum(coalesce(n, 0) / edges - pow(tot / (2 * edges), 2)), 6)::DOUBLE AS stars, true AS better FROM t LEFT JOIN i USING (grp, c) JOIN m USING (grp) GROUP BY ALL""")
+def louvain_told(spark, sf):
+    """Modularity of a plain partition (each part with its first supplier), and that Louvain's places every node and is better."""
+    rows = shipped(spark, sf)
+    first = rows.groupBy("grp", F.col("dst").alias("node")).agg(F.min("src").alias("cluster"))
+    stars = communities.modularity(rows, first.unionByName(rows.select("grp", F.col("src").alias("node"), F.col("src").alias("cluster")).distinct()), "grp")
+    found = communities.modularity(rows, communities.louvain(rows, "grp"), "grp").select("g", F.col("nodes").alias("placed"), F.col("modularity").alias("reached"))
+    both = stars.join(found, "g")
+    return both.select(F.col("g").alias("grp"), "edges", "nodes", F.col("modularity").alias("stars"), ((F.col("reached") > F.col("modularity")) & (F.col("placed") == F.col("nodes"))).alias("better"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators import hybrid, postings
+from lodestack.operators import edges, fulltext, hybrid, postings
 from lodestack.operators.hybrid import Condition
-from lodestack.plans.registry import WORDS, bm25_sql, foreign_edges, query
-from lodestack.runtime import scratch, ship, table
+from lodestack.plans.registry import EDGES, WORDS, bm25_sql, foreign_edges, query
+from lodestack.runtime import scratch, ship, state_of, table
 
 ASKED = ["the", "and"]
 NOW = "TIMESTAMP '2024-01-01 00:00:00'"
-_BUILT: dict[tuple[str, str, str], postings.Index] = {}
+_BUILT: dict[tuple[str, ...], postings.Index] = {}
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,8 +29,8 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf: str, kind: str = "plain") -> postings.Index:
-    """The stored index of the documents, built once in a session: of the whole table, or with a vault for each language."""
-    key = (spark.sparkContext.applicationId, sf, kind)
+    """The stored index of the documents, built once in a session for the files as they are: of the whole table, or with a vault for each language."""
+    key = (spark.sparkContext.applicationId, sf, kind, state_of(spark, f"{sf}/documents.parquet"))
     if key not in _BUILT:
         if kind == "plain":
             _BUILT[key] = postings.build(table(spark, sf, "documents"), scratch(spark, "index"), "doc_id", "text")
@@ -177,6 +177,50 @@ def hybrid_hydrated(spark, sf):
     return packet.join(full.select(F.concat(F.lit("store://"), "vault", F.lit("/"), "path").alias("doc_id"), F.sha2("text", 256).alias("hash"), "heading"), ["doc_id", "hash"])
 
 
+def words_sql(counts: str, where: str) -> str:
+    """BM25 of leaves that SQL counts as columns f1, f2, ... of `tf` (doc_id, len and them)."""
+    n = counts.count(" AS f")
+    part = "CASE WHEN f{0} > 0 THEN greatest(ln((n - df{0} + 0.5) / (df{0} + 0.5)), 1e-6) * f{0} * 2.2 / (f{0} + 1.2 * (0.25 + 0.75 * len / av)) ELSE 0 END"
+    return f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents),
+tf AS (SELECT doc_id, coalesce(len(ws), 0) AS len, {counts} FROM w), s AS (SELECT count(*) AS n, avg(len) AS av, {", ".join(f"count(*) FILTER (f{i} > 0) AS df{i}" for i in range(1, n + 1))} FROM tf)
+SELECT doc_id, round({" + ".join(part.format(i) for i in range(1, n + 1))}, 6)::DOUBLE AS score FROM tf, s WHERE {where} ORDER BY score DESC, doc_id LIMIT 10"""
+
+
+def phrase_count(*words: str) -> str:
+    return f"len(list_filter(range(1, len(ws) + 1), lambda i: {' AND '.join(f"coalesce(ws[i + {k}], '') = '{w}'" for k, w in enumerate(words))}))"
+
+
+def asked(spark, sf, text: str) -> DataFrame:
+    return fulltext.indexed(index_of(spark, sf), text, 10).select(F.col("key").alias("doc_id"), "score")
+
+
+@query(words_sql(f"coalesce({phrase_count('under', 'the')}, 0) AS f1, coalesce({phrase_count('version', '2', '0')}, 0) AS f2", "f1 > 0 OR f2 > 0"))
+def phrase_topk(spark, sf):
+    """Tokens with marks inside are phrases; positions are met in the index."""
+    return asked(spark, sf, "under-the OR version/2.0")
+
+
+@query(words_sql("""coalesce(len(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'license' AND len(list_filter(range(greatest(i - 4, 1), i + 5), lambda j: coalesce(ws[j], '') = 'under')) > 0)), 0) AS f1""", "f1 > 0"))
+def near_topk(spark, sf):
+    return asked(spark, sf, "NEAR(license under, 3)")
+
+
+@query(words_sql("coalesce(len(list_filter(ws, lambda x: starts_with(x, 'lic'))), 0) AS f1, coalesce(len(list_filter(ws, lambda x: x = 'the')), 0) AS f2", "f1 > 0 AND f2 > 0 AND doc_id NOT IN (SELECT doc_id FROM w WHERE list_contains(ws, 'mit'))"))
+def prefix_topk(spark, sf):
+    """A prefix and a word, but not another word: files of the dictionary and the postings are chosen by their ranges of terms."""
+    return asked(spark, sf, "(lic* AND the) NOT mit")
+
+
+@query("""WITH h AS (SELECT doc_id AS node FROM ("""+bm25_sql("true")+f""")), {EDGES}, s AS (SELECT node AS id FROM h WHERE node IN (SELECT src FROM edges WHERE type = 'lives_in'))
+SELECT id AS node FROM s UNION SELECT dst FROM edges WHERE src IN (FROM s) UNION SELECT src FROM edges WHERE dst IN (FROM s)""")
+def cluster_for_query(spark, sf):
+    """The graph around what a search finds, which is then clustered: hits stand for the customers of the same number."""
+    links = foreign_edges(spark, sf)
+    search = lambda vault, text, top: index_of(spark, sf).bm25(text.split(), top).join(links.filter("type = 'lives_in'").select(F.col("src").alias("key")), "key", "left_semi").select(F.col("key").alias("node"))
+    seeds = edges.seeds_of(asked=" ".join(WORDS), search=search, vaults=["all"])
+    return edges.cluster(links, seeds, force=True).select("node")
+
+
 REPLACED = """documents AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'the license and the version' ELSE text END AS text, lang FROM main.documents WHERE doc_id % 7 <> 0)"""
 
 

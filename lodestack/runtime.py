@@ -37,6 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state_of(spark: SparkSession, path: str) -> str:
+    """Bytes, files and last change of a table's folder or file, which tell whether it was rewritten."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = fs.getContentSummary(place)
+    newest = max([fs.getFileStatus(place).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(place))])
+    return f"{whole.getLength()}-{whole.getFileCount()}-{newest}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
@@ -64,6 +73,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """The rows, written once in the shared folder and read from there: lineage ends, and their size is known to the planner."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the tables written by this process, when no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestack.operators import assembly
-from lodestack.operators.postings import Index
+from lodestack.operators.postings import FAN, Conflict, Index
 
 #: How long an own write is expected, how long a deletion may turn out a rename, and the deletions of one tick.
 TTL_MS, GRACE_MS, PER_TICK = 2000, 5000, 1024
@@ -42,7 +42,8 @@ def suppress_once(events: DataFrame, own: DataFrame, ttl_ms: int = TTL_MS, late:
             else:
                 waiting.pop(meant)
         state.update(([w[0] for w in waiting], [w[1] for w in waiting]))
-        state.setTimeoutTimestamp(int(rows["at"].astype("datetime64[ms]").astype("int64").max()) + ttl_ms + state.getCurrentWatermarkMs() % 2 + 1)
+        # A timeout must lie beyond the watermark, whatever late rows came in.
+        state.setTimeoutTimestamp(max(int(rows["at"].astype("datetime64[ms]").astype("int64").max()) + ttl_ms, state.getCurrentWatermarkMs()) + 1)
         frame = pd.DataFrame(out, columns=["id", "kind", "at", "hash"])
         frame["at"] = pd.to_datetime(frame["at"], unit="ms")
         yield frame
@@ -55,19 +56,37 @@ def last_kinds(batch: DataFrame) -> DataFrame:
     return batch.groupBy("id").agg(F.max_by("kind", F.struct("at", "kind")).alias("kind"))
 
 
-def reindexer(index: Index, read: Callable[[DataFrame], DataFrame], text: str = "text", vault: str | None = None) -> Callable[[DataFrame, int], None]:
+def reindexer(index: Index, read: Callable[[DataFrame], DataFrame], text: str = "text", vault: str | None = None, *, source: str | None = None, fan: int = FAN, tries: int = 5) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the documents of a batch's changed keys, as `read` (id -> id, text) finds them, replace their rows in the index;
-    deleted keys, and those that aren't found, go. A repeated batch adds a segment that changes nothing."""
+    deleted keys, and those that aren't found, go.
+
+    With `source`, the stream's own name, the index's manifest keeps the last batch with the change itself, so that a batch that is
+    repeated after a crash is taken once; without, a repeated batch adds a segment that changes nothing. Where another writer comes between,
+    the batch is made again from the newest version. Segments are merged as they become many.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         last = last_kinds(batch).persist()
         docs = read(last.filter("kind <> 'delete'").select("id"))
-        index.replace(docs, last.select(F.col("id").alias("key")).join(docs.select(F.col("id").alias("key")), "key", "left_anti"), "id", text, vault)
+        removed = last.select(F.col("id").alias("key")).join(docs.select(F.col("id").alias("key")), "key", "left_anti")
+        _again(lambda: index.replace(docs, removed, "id", text, vault, source=source, batch=batch_id if source is not None else None), tries)
         last.unpersist()
+        _again(lambda: index.merge(fan), tries)
 
     return run
 
 
+def _again(change: Callable[[], bool], tries: int) -> bool:
+    """Make a change, anew where another writer was first."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return change()
+        except Conflict:
+            if not left:
+                raise
+    return False
+
+
 def touched(batch: DataFrame, recorded: DataFrame, current: DataFrame) -> DataFrame:
     """brief, changed (sorted ids): the briefs that a batch's events concern and whose sources (brief, id, hash) differ from now (id, hash)."""
     mine = recorded.join(batch.select("id").distinct(), "id", "left_semi").select("brief").distinct()

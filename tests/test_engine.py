@@ -76,12 +76,6 @@ def test_chunks_cover():
     assert all(parts[i + 1][0] <= parts[i][1] for i in range(len(parts) - 1))
 
 
-def test_louvain_splits_cliques(spark):
-    cliques = [(0, a, b) for base in (0, 10) for a in range(base, base + 5) for b in range(base, a)] + [(0, 4, 10)]
-    rows = {r["node"]: r["cluster"] for r in graph.louvain(spark.createDataFrame(cliques, "g int, src long, dst long"), "g").collect()}
-    assert {rows[i] for i in range(5)} == {0} and {rows[i] for i in range(10, 15)} == {10}
-
-
 def test_expand_excludes_seeds(spark):
     edges = spark.createDataFrame([(1, 2, "t"), (2, 3, "t"), (4, 1, "u")], "src long, dst long, type string")
     rows = graph.expand(edges, spark.createDataFrame([(1,)], "seed long"), 2).orderBy("node").collect()
