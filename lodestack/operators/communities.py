@@ -1,8 +1,8 @@
 """Communities of an undirected graph by modularity: Louvain's levels, each of rounds of simultaneous moves, as joins and aggregations.
 
 A round weighs each node's links to the clusters of its neighbours by one aggregation over (node, cluster), joins the clusters' total
-degrees, and takes each node's best move. Half of the nodes, by a hash of node and round, may move in one round, and of two single
-nodes the smaller waits for the larger, so neighbours don't swap places for ever; later rounds let fewer move. A level ends when hardly
+degrees, and takes each node's best move. Half of the nodes at most, by a hash of node and round, move in one round, fewer where many want
+to join one cluster, and of two single nodes the smaller waits for the larger, so neighbours don't swap places for ever. A level ends when hardly
 a node gains by moving, or after `most_rounds`; then a join contracts clusters to nodes. Once a level moves nothing, the clusters are settled on
 the nodes themselves by further rounds, since what was contracted early may lie better elsewhere (`modularity` counts nodes that still gain).
 
@@ -49,25 +49,33 @@ def weighed(links: DataFrame, place: DataFrame) -> DataFrame:
     return each.groupBy("g", "node", "k", "m2", "own").agg(F.max(F.when(here, steps)).alias("stay"), F.max(F.when(~here, F.struct(steps.alias("value"), (-F.col("c")).alias("minus"), waits.alias("waits")))).alias("best"))
 
 
-def moved(links: DataFrame, place: DataFrame, turn: int, share: int) -> DataFrame:
-    """g, node, k, m2, c, wants: the places after one round, in which one of `share` nodes may move."""
-    each = weighed(links, place)
-    wants = F.coalesce(F.col("best.value") > F.col("stay") + 1, F.lit(False))
-    turns = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(share)) == 0
-    return each.select("g", "node", "k", "m2", F.when(wants & turns & ~F.col("best.waits"), -F.col("best.minus")).otherwise(F.col("own")).alias("c"), wants.alias("wants"))
+def decided(each: DataFrame, turn: int) -> DataFrame:
+    """g, node, k, m2, c: the places after the moves of one round.
+
+    A cluster that many want to join would grow beyond what each of them gains by. So a node moves with the chance that its own room
+    (the degrees that the cluster may still take before the gain is gone) has in the degrees of all that want to come, one half at most.
+    """
+    wish = each.withColumn("to", -F.col("best.minus")).withColumn("goes", F.col("wants") & ~F.col("best.waits"))
+    load = wish.filter("goes").groupBy("g", "to").agg(F.sum("k").alias("load"))
+    room = (F.col("best.value") - F.col("stay")) * STEP * F.col("m2") / F.col("k") + F.col("k")
+    chance = F.least(F.lit(0.5), room / F.col("load"))
+    drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) < chance * (1 << 20)
+    return wish.join(load, ["g", "to"], "left").select("g", "node", "k", "m2", F.when(F.col("goes") & drawn, F.col("to")).otherwise(F.col("own")).alias("c"))
 
 
 def rounds(links: DataFrame, place: DataFrame, first: int, most: int, rest: float) -> tuple[DataFrame, int]:
     """Rounds until at most the share `rest` of the nodes wants to move; the places and how many rounds it took."""
+    wants = F.coalesce(F.col("best.value") > F.col("stay") + 1, F.lit(False))
     for turn in range(most):
-        place = stored(moved(links, place, first + turn, 2 if turn < 6 else 3), "louvain")
-        n, wanting = place.agg(F.count("*"), F.count_if("wants")).first()
+        each = stored(weighed(links, place).withColumn("wants", wants), "louvain")
+        n, wanting = each.agg(F.count("*"), F.count_if("wants")).first()
         if wanting <= rest * n:
-            return place, turn + 1
-    return place, most
+            return each.select("g", "node", "k", "m2", F.col("own").alias("c")), turn
+        place = decided(each, first + turn)
+    return stored(place, "louvain"), most
 
 
-def louvain(edges: DataFrame, group: str | None = None, *, most_levels: int = 12, most_rounds: int = 6, settling: int = 10, rest: float = 0.05) -> DataFrame:
+def louvain(edges: DataFrame, group: str | None = None, *, most_levels: int = 12, most_rounds: int = 12, settling: int = 12, rest: float = 0.05) -> DataFrame:
     """node, cluster (and the group) of the simple undirected graph of edges (src, dst), a graph for each group.
 
     Nodes are whole numbers, a cluster is named by its smallest one. Loops and nulls are left out; nodes without an edge have no row. The result depends on the
