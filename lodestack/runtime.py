@@ -80,9 +80,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove one written table."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the tables written by this process, when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop(spark, _SCRATCH[-1])
