@@ -11,7 +11,8 @@ joined by a shuffle beyond (the skewed side of which Spark splits at run time).
 copies go, so a hot source makes no hot partition.
 
 Cases: a null source is a source of its own; null and empty texts have size 0, and a source of size 0 is kept once a
-document (rate 1); sources with weight 0 go, sources without a given weight have weight 0; a null id draws as the empty
+document (rate 1), unless weights are given and its own is 0; sources with weight 0 go, sources without a given weight have weight 0, so
+weights of absent sources only leave nothing; very long texts are handed on as they are; a null id draws as the empty
 text; repeated rows draw the same count each; earlier columns named as the outputs are replaced; an empty table gives no rows.
 """
 
@@ -53,10 +54,14 @@ def rates(docs: DataFrame, *, source_column: str, text_column: str, weights: dic
     weighed = cut_lineage(sizes.withColumn("weight", weight))
     totals = weighed.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
     total = totals.first()
+    once = F.col("size") == 0
+    if weights is not None:
+        once = once & (F.col("weight") > 0)
     if not total["all_weight"]:
-        mean = F.lit(1.0)
+        mean = F.when(once, F.lit(1.0)).otherwise(0.0)
     else:
-        mean = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.lit(float(epochs)) * total["all_size"] * (F.col("weight") / total["all_weight"]) / F.col("size"))
+        share = F.lit(float(epochs)) * total["all_size"] * (F.col("weight") / total["all_weight"])
+        mean = F.when(once, F.lit(1.0)).otherwise(F.when(F.col("size") > 0, share / F.col("size")).otherwise(0.0))
     out = weighed.select("src", mean.alias("mean")).filter("mean > 0")
     out = out.withColumn("draws", F.ceil(F.col("mean") / part).cast("int"))
     return out.withColumn("steps", poisson_steps(F.col("mean") / F.col("draws")))
@@ -87,7 +92,9 @@ def mix(
     table = F.broadcast(table) if few else table
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     joined = docs.withColumn("mix_source", F.struct(F.col(source_column).alias("src"))).join(table, "mix_source")
-    draw = lambda j: F.size(F.filter("mix_steps", lambda c: c <= uniform(F.lit(seed), key, j.cast("string"))))
+    # The number is bound once, and not hashed again for each step that it is compared with.
+    drawn = lambda u: F.size(F.filter("mix_steps", lambda c: c <= u))
+    draw = lambda j: F.element_at(F.transform(F.array(uniform(F.lit(seed), key, j.cast("string"))), drawn), 1)
     count = F.aggregate(F.sequence(F.lit(1), F.col("mix_draws")), F.lit(0), lambda acc, j: acc + draw(j))
     counted = joined.withColumn("mix_count", count).filter("mix_count > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))

@@ -271,7 +271,13 @@ def test_mixing(spark, docs):
     single = mixing.mix(many.filter("doc_id = 9").unionByName(many.filter("source = 'big'")), weights={"small": 1.0})
     assert abs(single.count() - 18001) < 900 and single.select("source").distinct().count() == 1
     rows = mixing.mix(docs, max_broadcast=0)
-    assert sorted(map(str, rows.collect())) == sorted(map(str, mixing.mix(docs).collect())) and rows.filter("source is null").count() >= 0
+    assert sorted(map(str, rows.collect())) == sorted(map(str, mixing.mix(docs).collect()))
+    # Weights of 0, and of sources that aren't there, leave nothing, whether a source has bytes or not; without weights one without bytes stays.
+    assert mixing.mix(docs, weights={"s0": 0.0, "s1": 0.0}).count() == mixing.mix(docs, weights={"absent": 2.0}).count() == 0
+    bare = spark.createDataFrame([(1, "", "x"), (2, None, "x"), (3, "text " * 50, "y")], "doc_id long, text string, source string")
+    assert {r["source"] for r in mixing.mix(bare, weights={"y": 1.0}, epochs=9.0).collect()} == {"y"}
+    drawn = lambda **o: sorted(r["doc_id"] for r in mixing.mix(bare, **o).filter("source = 'x'").collect())
+    assert drawn(weights={"x": 1.0}) == drawn() and set(drawn()) <= {1, 2} and drawn()
     assert mixing.mix(empty(spark)).count() == 0
 
 
@@ -495,3 +501,40 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.mixture(spark, start, sf)
     pieces = corpus_pipeline.windows(spark, mixed, sf)
     assert pieces.agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in plain(BYTE, [r["text"] or "" for r in mixed.collect()]))
+
+
+STAGE_TEXTS = [
+    "The quick brown fox jumps over the lazy dog and runs away into the dark wood near the old river bank",
+    "The quick brown fox jumps over the lazy dog and runs away into the dark wood near the old river bank today",
+    "Ein anderer Text mit vielen Wörtern, der von einem Hund handelt, welcher durch den Wald läuft und bellt",
+    "", None, "   ", "12 34", "word " * 30_000,
+]
+CLASH = {"n_removed": "a", "n_lines": "b", "copy": "c", "shuffle_key": "d", "pipeline_lang": "e", "pipeline_fit": "f", "own_copy": "g", "component_id": "h", "n_shingles": "i", "dedup_kept": "j", "mix_count": "k"}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_on_edge_cases(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = [(i, t, ("en", "de")[i == 2], f"s{i % 3}", len(t or "")) for i, t in enumerate(STAGE_TEXTS)] + [(None, STAGE_TEXTS[2], None, None, 5), (0, STAGE_TEXTS[0], "en", "s0", 100)]
+    plain = spark.createDataFrame(rows, DOC)
+    docs = plain.withColumns({k: F.concat(F.lit(v), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for k, v in CLASH.items()})
+    out = stage(spark, docs, "")
+    got = out.collect()
+    assert stage(spark, docs.limit(0), "").count() == 0
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+        return
+    assert out.schema.names == docs.schema.names
+    for r in got:
+        assert all(r[k] == v + (str(r["doc_id"]) if r["doc_id"] is not None else "-") for k, v in CLASH.items())
+    ids = [r["doc_id"] for r in got]
+    if name == "language":
+        assert not {3, 4, 5, 6} & set(ids)
+    elif name == "lines":
+        assert sorted(map(str, ids)) == sorted(str(r[0]) for r in rows) and {r["text"] for r in got} == {r[1] for r in rows}
+    elif name == "near_duplicates":
+        assert 1 not in ids and ids.count(0) == 2 and {3, 4, 5, None} <= set(ids)
+    else:
+        assert set(ids) <= {r[0] for r in rows}
+        plain_ids = sorted(str(r["doc_id"]) for r in stage(spark, plain, "").collect())
+        assert sorted(map(str, ids)) == plain_ids
