@@ -9,6 +9,7 @@ from lodestack.operators import edges, fulltext, hybrid, postings
 from lodestack.operators.hybrid import Condition
 from lodestack.plans.registry import EDGES, WORDS, bm25_sql, foreign_edges, query
 from lodestack.runtime import scratch, ship, state_of, table
+from lodestack.streaming import timers
 
 ASKED = ["the", "and"]
 NOW = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -250,3 +251,18 @@ def model_inventory(spark, sf):
     return out.withColumn("complete", F.col("chunks") == F.col("embedded"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT CASE event_type WHEN 'click' THEN 'create' WHEN 'view' THEN 'delete' ELSE 'update' END AS kind, 'n' || (event_id % 5) AS id, user_id AS s, epoch_us(ts) // 1000 AS ms FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ms, kind <> 'delete', kind, id) AS k FROM e),
+w AS (SELECT s, k, kind, id, ms, NULL::VARCHAR AS old_id, NULL::BIGINT AS old_k, CASE WHEN kind = 'delete' THEN [{ms: ms, id: id, k: k}] ELSE [] END AS open FROM r WHERE k = 1
+UNION ALL SELECT s, k, kind, id, ms, m.id, m.k, CASE WHEN kind = 'delete' THEN list_append(o, {ms: ms, id: id, k: k}) WHEN m IS NOT NULL THEN list_filter(o, lambda x: x.k <> m.k) ELSE o END
+ FROM (SELECT *, CASE WHEN kind = 'create' THEN list_filter(o, lambda x: x.id <> id)[1] END AS m FROM (SELECT r.*, list_filter(w.open, lambda x: x.ms + 86400000 >= r.ms) AS o FROM w JOIN r ON r.s = w.s AND r.k = w.k + 1))),
+x AS (SELECT s, old_k AS k FROM w WHERE old_k IS NOT NULL)
+SELECT kind, id, old_id, count(*) AS n, sum(ms)::HUGEINT::DOUBLE AS moments FROM (SELECT CASE WHEN old_id IS NULL THEN kind ELSE 'rename' END AS kind, id, old_id, ms FROM w WHERE kind <> 'delete'
+UNION ALL SELECT kind, id, NULL, ms FROM w ANTI JOIN x USING (s, k) WHERE kind = 'delete') GROUP BY ALL""")
+def stream_renames(spark, sf):
+    """The events as a stream of changes, a user's notes having one content: renames, and deletions that a day's time didn't explain."""
+    rows = table(ship(spark), sf, "events").filter("ts is not null and user_id is not null")
+    kind = F.when(F.col("event_type") == "click", "create").when(F.col("event_type") == "view", "delete").otherwise("update")
+    fed = rows.select(kind.alias("kind"), F.concat(F.lit("n"), F.col("event_id") % 5).alias("id"), F.col("ts").cast("timestamp").alias("at"), F.array(F.col("user_id").cast("string")).alias("hashes"))
+    told = timers.replay(spark, fed, scratch(spark, "replay"), lambda stream: timers.renamed(stream, 86_400_000))
+    return told.groupBy("kind", "id", "old_id").agg(F.count("*").alias("n"), F.sum(F.unix_millis("at")).cast("double").alias("moments"))
