@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from lodestack.operators import retrieval
 from lodestack.operators.postings import Index
 from lodestack.operators.predicates import matches_text, not_superseded, valid_at
+from lodestack.runtime import stored
 from lodestack.sources.markdown import normal
 
 #: Candidates of each list for each wanted hit, the pool of a reranker, the least characters that it reads, and the
 #: candidates for each wanted hit where properties filter or boost, and where notes are wanted.
 FAN, POOL, READABLE, BOOSTED, NOTES, MOST_NOTES = 3, 5, 20, 3, 4, 100
+#: Fused hits (a few numbers each) that are broadcast to the chunks.
+MOST_SENT = 200_000
 
 
 @dataclass(frozen=True)
@@ -127,7 +130,10 @@ def search(
     wanted *= BOOSTED if boosts or only else 1
     n = wanted * POOL if scorer else wanted
     fused = candidates(shown, index, terms, vector, n, rrf_k)
-    hits = fused.withColumnRenamed("rrf", "score").join(shown.drop("vector"), ["vault", "chunk"])
+    # At most n rows a vault: they go to the chunks, whose texts then stay where they are, unless vaults are too many for that.
+    fused = stored(fused, "fused")
+    few = F.broadcast(fused) if fused.count() <= MOST_SENT else fused
+    hits = shown.drop("vector").join(few.withColumnRenamed("rrf", "score"), ["vault", "chunk"])
     if recency or authority:
         age = (now.cast("double") - F.col("mtime").cast("double")) / 86400
         sure = F.get_json_object("props", "$.authoritative") == "true"

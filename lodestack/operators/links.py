@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,6 @@ from lodestack.functions import text as md
 SHORTEST_MENTION = 4
 TRAILING = ".,;:!?"
 WORD = r"[\p{L}\p{N}_-]"
-OTHER = r"[^\p{L}\p{N}_-]"
 LINKED = r"!?\[[^\]]*\]\((https?://[^\s)]+)\)"
 BARE = r"(?<![(\[a-zA-Z0-9])https?://[^\s)\]]+"
 
@@ -35,33 +35,63 @@ def prose(column: str) -> Column:
     return F.pandas_udf(run, "string")(column)
 
 
-def mentions(notes: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+def mentions(notes: DataFrame, names: DataFrame, key: str, text: str, block: int = 100_000) -> DataFrame:
     """key, target, n: how often each note's text has a name of a target; `names` has target and name, as in any case.
 
-    Names start and end with a letter, digit, `_` or `-` and match between such characters only, with their inner characters as
-    they are. Where names overlap, the first to start is taken, and of those the longest; of targets with the same name the
-    smallest. Runs of words are joined with the names by equality, for each number of words that a name has; what is gathered for
-    a note are its own matches only.
+    A name has a letter, digit, `_` or `-` at least, and matches, with its other characters as they are, where none of these stands before or
+    after it. Where names overlap, the first to start is taken, and of those the longest; of targets with the same name the smallest.
+    One automaton (Aho-Corasick) finds all names of a block in one pass over a text; blocks hold about `block` names, so an
+    automaton's size is bounded, and the texts are read once for each block. What is gathered for a note are its own matches only.
     """
     spelled = names.select("target", F.lower(F.trim("name")).alias("name"))
-    spelled = spelled.filter((F.length("name") >= SHORTEST_MENTION) & F.col("name").rlike(f"^{WORD}(.*{WORD})?$"))
-    known = spelled.groupBy("name").agg(F.min("target").alias("target")).withColumn("words", F.size(F.regexp_extract_all("name", F.lit(f"{WORD}+"), 0)))
-    # One row a length: bounded by the longest name, not by the rows.
-    lengths = sorted(r[0] for r in known.select("words").distinct().collect())
-    # Each part is a word with what stands behind it.
-    parts = notes.select(F.col(key), F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"{WORD}+{OTHER}*"), 0).alias("parts"))
-    run = lambda i, n: F.regexp_replace(F.array_join(F.slice("parts", i + 1, n), ""), f"{OTHER}+$", "")
-    row = lambda n: lambda i: F.struct(i.alias("at"), F.lit(n).alias("words"), run(i, n).alias("name"))
-    runs = [F.transform(F.sequence(F.lit(0), F.size("parts") - n), row(n)) for n in lengths]
-    empty = F.expr("cast(array() as array<struct<at: int, words: int, name: string>>)")
-    every = F.flatten(F.array(empty, *[F.when(F.size("parts") >= n, r).otherwise(empty) for n, r in zip(lengths, runs, strict=True)]))
-    found = parts.select(key, F.inline(every)).join(known, ["name", "words"])
-    per = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("words")).alias("less"), "target"))).alias("found"))
-    kind = per.schema["found"].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("end"), F.expr(f"cast(array() as {kind})").alias("taken"))
+    spelled = spelled.filter((F.length("name") >= SHORTEST_MENTION) & F.col("name").rlike(WORD))
+    known = spelled.groupBy("name").agg(F.min("target").alias("target"))
+    blocks = -(-known.count() // block)
+    low = notes.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text"))
+    own, target = (df.schema[c].dataType.simpleString() for df, c in ((low, "key"), (known, "target")))
+    kind = f"key {own}, at int, less int, target {target}"
+    found = notes.sparkSession.createDataFrame([], kind)
+    for number in range(blocks):
+        held = known.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == number).toArrow()  # about `block` names
+        if held.num_rows:
+            found = found.unionByName(low.mapInArrow(_matcher(held["name"].to_pylist(), held["target"].to_pylist()), kind))
+    per = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "less", "target"))).alias("found"))
+    listed = per.schema["found"].dataType.simpleString()
+    start = F.struct(F.lit(0).alias("end"), F.expr(f"cast(array() as {listed})").alias("taken"))
     step = lambda s, m: F.when(m["at"] >= s["end"], F.struct((m["at"] - m["less"]).alias("end"), F.concat(s["taken"], F.array(m)).alias("taken"))).otherwise(s)
-    taken = per.select(key, F.explode(F.aggregate("found", start, step, lambda s: s["taken"])).alias("m"))
-    return taken.groupBy(key, F.col("m.target").alias("target")).agg(F.count("*").alias("n"))
+    taken = per.select("key", F.explode(F.aggregate("found", start, step, lambda s: s["taken"])).alias("m"))
+    return taken.groupBy(F.col("key").alias(key), F.col("m.target").alias("target")).agg(F.count("*").alias("n"))
+
+
+def _matcher(names: list[str], targets: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (key, text): key, at, less (the length, negative), target of all matches; at one place the longest."""
+
+    def word(c: str) -> bool:
+        return c.isalnum() or c in "_-"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, name in enumerate(names):
+            automaton.add_word(name, i)
+        automaton.make_automaton()
+        for batch in batches:
+            row, at, which = [], [], []
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                best: dict[int, int] = {}
+                for end, i in automaton.iter(text):
+                    begin = end + 1 - len(names[i])
+                    if (not begin or not word(text[begin - 1])) and (end + 1 == len(text) or not word(text[end + 1])):
+                        best[begin] = i  # ends ascend, so the longest comes last
+                row += [r] * len(best)
+                at += best
+                which += best.values()
+            less = pa.array([-len(names[i]) for i in which], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), less, chosen.take(pa.array(which, pa.int64()))], names=["key", "at", "less", "target"])
+
+    chosen = pa.array(targets)
+    return run
 
 
 def mention_edges(notes: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators import edges, fulltext, hybrid, postings
+from lodestack.operators import edges, fulltext, generations, hybrid, postings
 from lodestack.operators.hybrid import Condition
 from lodestack.plans.registry import EDGES, WORDS, bm25_sql, foreign_edges, query
 from lodestack.runtime import scratch, ship, state_of, table
@@ -266,3 +266,18 @@ def stream_renames(spark, sf):
     fed = rows.select(kind.alias("kind"), F.concat(F.lit("n"), F.col("event_id") % 5).alias("id"), F.col("ts").cast("timestamp").alias("at"), F.array(F.col("user_id").cast("string")).alias("hashes"))
     told = timers.replay(spark, fed, scratch(spark, "replay"), lambda stream: timers.renamed(stream, 86_400_000))
     return told.groupBy("kind", "id", "old_id").agg(F.count("*").alias("n"), F.sum(F.unix_millis("at")).cast("double").alias("moments"))
+
+
+@query("""SELECT 'first' AS model, 64 AS dim, false AS active, count(*) AS chunks, count(vec_id) AS embedded, (SELECT count(*) FROM embeddings ANTI JOIN documents ON doc_id = vec_id) AS orphans, count(*) = count(vec_id) AS complete FROM documents LEFT JOIN embeddings ON vec_id = doc_id
+UNION ALL SELECT 'second', 2, true, count(*), count(*), 0, true FROM documents""")
+def generation_switch(spark, sf):
+    """A generation that misses chunks can't be put to use; one that is filled in beside it can. Vectors go by the documents' numbers."""
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), "text")
+    store = generations.Generations(spark, scratch(spark, "generations"))
+    store.register("first", 64)
+    store.register("second", 2)
+    store.fill(table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk"), "embedding"), "first", lambda rows: rows.select("chunk", F.col("embedding").alias("vector")))
+    store.switch(chunks, "first")
+    store.fill(chunks, "second", lambda rows: rows.select("chunk", F.array(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).alias("vector")), parts=2)
+    store.switch(chunks, "second")
+    return store.inventory(chunks)

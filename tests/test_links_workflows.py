@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,29 @@ def test_mentions_take_the_longest_name_outside_code(spark):
     assert links.mentions(notes, names.limit(0), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_mentions_equal_a_plain_scan(spark, block):
+    rng = random.Random(1)
+    names = ["road", "road map", "map-maker", "maps", "C++20", "node.js", ".net", "été d'or", "a b c", "++++", "road map of maps", "C++2", "tail c++"]
+    bits = names + ["x", "-", "_", " ", ",", ".", "1", "é", "c++", "the", "roadmap", "\n"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(30))) for _ in range(200)] + [None, "", "Road map"]
+    known = [n.lower() for n in names if any(c.isalnum() for c in n)]
+    free = lambda t, i: not 0 <= i < len(t) or not (t[i].isalnum() or t[i] in "_-")
+    want = {}
+    for r, t in enumerate(texts):
+        i, low = 0, (t or "").lower()
+        while i < len(low):
+            n = max((n for n in known if low.startswith(n, i) and free(low, i - 1) and free(low, i + len(n))), key=len, default=None)
+            if n:
+                key = (r, [x.lower() for x in names].index(n))
+                want[key] = want.get(key, 0) + 1
+            i += len(n) if n else 1
+    notes = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(99, "ROAD")], "target long, name string")
+    got = {(r["id"], r["target"]): r["n"] for r in links.mentions(notes, table, "id", "text", block=block).collect()}
+    assert got == want and len(want) > 200
+
+
 def test_hyperlinks_and_property_references(spark):
     notes = spark.createDataFrame([(1, "[a](https://x.org/p), https://x.org/p.\nhttp://y.net!"), (2, None)], "id long, text string")
     assert sorted(map(tuple, links.hyperlinks(notes, "id", "text").collect())) == [(1, 1, "https://x.org/p"), (1, 2, "http://y.net")]
