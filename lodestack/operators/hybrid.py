@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.operators import retrieval
+from lodestack.operators import memory, retrieval
 from lodestack.operators.postings import Index
 from lodestack.operators.predicates import matches_text, not_superseded, valid_at
 from lodestack.runtime import stored
@@ -25,6 +25,8 @@ from lodestack.sources.markdown import normal
 #: Candidates of each list for each wanted hit, the pool of a reranker, the least characters that it reads, and the
 #: candidates for each wanted hit where properties filter or boost, and where notes are wanted.
 FAN, POOL, READABLE, BOOSTED, NOTES, MOST_NOTES = 3, 5, 20, 3, 4, 100
+#: Hits for each wanted section, and hits that a recall looks at.
+SECTIONS, RECALLED = 5, 200
 #: Fused hits (a few numbers each) that are broadcast to the chunks.
 MOST_SENT = 200_000
 
@@ -147,6 +149,27 @@ def search(
     return hits.orderBy(F.desc("score"), "best_rank", "vault", "chunk").limit(max(k, 0))
 
 
+def section_search(chunks: DataFrame, index: Index, terms: Sequence[str], vector: Sequence[float] | None, now: Column, sections: DataFrame, *, limit: int = 10, **options) -> DataFrame:
+    """vault, note, section (low, high, heading), score, chunk: the best sections of SECTIONS * limit hits, each by its best chunk.
+
+    `sections` has vault, note, low, high, heading; a hit counts for the narrowest one that holds its chunk, and hits outside all for none.
+    """
+    hits = search(chunks, index, terms, vector, now, k=limit * SECTIONS, **options).select("vault", "note", "chunk", "score", "text")
+    held = hits.join(sections, ["vault", "note"]).filter((F.col("chunk") >= F.col("low")) & (F.col("chunk") <= F.col("high")))
+    own = retrieval.best_per(held, ["vault", "chunk"], F.asc(F.col("high") - F.col("low")), F.asc("heading"))
+    place = F.struct((-F.col("score")).alias("less"), "chunk", F.substr("text", F.lit(1), F.lit(200)).alias("snippet"))
+    per = own.groupBy("vault", "note", "low", "high", "heading").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(place)).alias("places"))  # of limit * SECTIONS hits
+    out = per.select("vault", "note", "low", "high", "heading", "score", F.transform("places", lambda p: p["chunk"]).alias("chunks"), F.col("places")[0]["snippet"].alias("snippet"))
+    return out.orderBy(F.desc("score"), "vault", "note", "low", "heading").limit(limit)
+
+
+def recall_search(chunks: DataFrame, index: Index, terms: Sequence[str], vector: Sequence[float] | None, now: Column, notes: DataFrame, *, sinks: Sequence[str], limit: int = 20, vaults: Sequence[str] | None = None, **filters) -> DataFrame:
+    """What `memory.recall` makes of the RECALLED best hits of a search: notes (vault, note, path, status, confidence, type, observed_at,
+    valid_from, valid_to, mtime) below the sinks. Superseded notes are left to its filters."""
+    hits = search(chunks, index, terms, vector, now, k=RECALLED, superseded=True, vaults=vaults).select("vault", "note", "chunk", "score")
+    return memory.recall(hits.join(notes, ["vault", "note"]), now, sinks=sinks, limit=limit, **filters)
+
+
 def inject_alias(hits: DataFrame, query: str, aliases: DataFrame, chunks: DataFrame, now: Column, k: int, *, superseded: bool = False) -> DataFrame:
     """hits (vault, note, chunk, score) with `place` from 1: the note whose alias is the whole query comes first, as its best hit, or
     with its first chunk and score 1; k hits at most. `aliases` has vault, note, alias; the first vault wins, then the least note."""
