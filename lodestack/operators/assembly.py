@@ -13,6 +13,25 @@ def enclosing(points: DataFrame, bands: DataFrame, key: str, point: str, low: st
     return held.withColumn("r", rank).filter("r = 1").drop("r")
 
 
+def innermost(points: DataFrame, bands: DataFrame, key: str, point: str, low: str, high: str, name: str) -> DataFrame:
+    """points with `name` of the innermost band of their key that holds them, null where none does; both bounds belong to a band.
+
+    Bands of a key are nested or apart, as sections are; of equal ones the smallest name is the innermost. A sweep over sorted bounds and points
+    by two windows, in place of all points with all bands of a key: the first counts the bands that are open, and the innermost of d
+    open bands is the last that opened as the d-th. Nothing is gathered, and work grows with the rows, times the logarithm for sorting.
+    """
+    kind = bands.schema[name].dataType
+    none = F.lit(None)
+    rows = points.select(F.col(key).alias("k"), F.col(point).alias("at"), F.lit(1).alias("turn"), none.cast("long").alias("less"), none.cast(kind).alias("name"), F.lit(0).alias("step"), F.struct(*points.columns).alias("own"))
+    side = lambda at, turn, less, step: bands.select(F.col(key).alias("k"), F.col(at).alias("at"), F.lit(turn).alias("turn"), less.cast("long").alias("less"), F.col(name).alias("name"), F.lit(step).alias("step"), none.cast(rows.schema["own"].dataType).alias("own"))
+    every = rows.unionByName(side(low, 0, -F.col(high), 1)).unionByName(side(high, 2, none, -1))
+    order = ["at", "turn", "less", F.desc("name")]
+    opened = F.sum("step").over(Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.last(F.when(F.col("turn") == 0, F.col("name")), ignorenulls=True).over(Window.partitionBy("k", "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    swept = every.withColumn("depth", opened).filter("turn < 2").withColumn("held", F.when(F.col("depth") > 0, last))
+    return swept.filter("turn = 1").select("own.*", F.col("held").alias(name))
+
+
 def budget(df: DataFrame, group: list[str], order: list[Column], text: str, limit: int) -> DataFrame:
     """Cut texts in order at a shared budget of characters: taken (length) and included. The texts stay out of the window's exchange,
     unless the result is asked for them: only their lengths are added up."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as md
+from lodestack.functions import hashing
 from lodestack.operators.memory import in_sinks
 
 #: The roles of a message, the most messages of a conversation and characters of a text, and the longest identity.
@@ -195,3 +196,16 @@ def rendered(messages: DataFrame) -> DataFrame:
     block = F.concat(F.lit("\n## "), "id", F.lit(" · "), "role", F.lit("\n\n"), time, "text", F.lit("\n"))
     per = messages.groupBy("provider", "external_id").agg(F.array_sort(F.collect_list(F.struct("pos", block.alias("block")))).alias("blocks"))
     return per.select("provider", "external_id", F.concat(F.lit("# Conversation "), "external_id", F.lit("\n"), F.array_join(F.transform("blocks", lambda b: b["block"]), "")).alias("markdown"))
+
+
+def previews(messages: DataFrame, folder: str) -> DataFrame:
+    """provider, external_id, source_id, hash, target, markdown: what an import of the conversations would write, and where in the folder."""
+    scheme, _, rest = folder.partition("://")
+    if not scheme or not rest.endswith("/") or {".", ".."} & set(rest.split("/")):
+        raise ValueError("the folder is a handle that ends in / and has no part . or ..")
+    identity = hashing.import_identity(F.col("provider"), F.col("external_id"))
+    rows = rendered(messages).withColumn("identity", identity)
+    return rows.select(
+        "provider", "external_id", F.concat(F.lit("conversation:"), "identity").alias("source_id"), F.concat(F.lit("sha256:"), F.sha2("markdown", 256)).alias("hash"),
+        F.concat(F.lit(f"{folder}conversation-"), "identity", F.lit(".md")).alias("target"), "markdown",
+    )

@@ -257,6 +257,14 @@ def import_render(spark, sf):
     return records.rendered(messages(spark, sf))
 
 
+@query(f"""WITH {CONVERSATION}, r AS (SELECT provider, external_id, '# Conversation ' || external_id || chr(10) || string_agg(chr(10) || '## ' || id || ' · ' || role || chr(10) || chr(10) || CASE WHEN told IS NULL THEN '' ELSE 'Time: ' || told || chr(10) || chr(10) END || text || chr(10), '' ORDER BY pos) AS markdown FROM m GROUP BY provider, external_id),
+i AS (SELECT *, sha256('["' || provider || '","' || external_id || '"]') AS identity FROM r)
+SELECT provider, external_id, 'conversation:' || identity AS source_id, 'sha256:' || sha256(markdown) AS hash, 'store://main/chats/conversation-' || identity || '.md' AS target FROM i""")
+def import_preview_full(spark, sf):
+    """What an import would write: identity, content hash and target path."""
+    return records.previews(messages(spark, sf), "store://main/chats/").drop("markdown")
+
+
 @query("""WITH s AS (SELECT DISTINCT conv_id FROM conversations), x AS (SELECT conv_id, CASE WHEN conv_id % 9 = 0 THEN '_memory/' || conv_id ELSE 'imports/' || conv_id END AS path, conv_id % 2 = 0 AS there, conv_id % 4 = 0 AS same, conv_id % 5 = 0 AS other, conv_id % 3 = 0 AS wrong FROM s)
 SELECT path, CASE WHEN conv_id % 9 = 0 THEN 'refused: non_agent_write_inside_sink' WHEN NOT there AND wrong THEN 'refused: not_found' WHEN NOT there THEN 'written' WHEN other THEN 'refused: import_identity_mismatch' WHEN same THEN 'reused' WHEN wrong THEN 'refused: hash_mismatch' ELSE 'replaced' END AS action FROM x""")
 def import_commit(spark, sf):

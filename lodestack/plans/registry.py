@@ -249,6 +249,15 @@ def import_preview(spark, sf):
     return rows.select("conv_id", hashing.import_identity(F.lit("driver"), F.col("conv_id").cast("string")).alias("identity"), "messages")
 
 
+@query("""WITH b AS (SELECT l_orderkey AS k, l_linenumber AS name, 10 * l_linenumber AS low, CASE WHEN l_linenumber % 2 = 1 THEN 10 * l_linenumber + 5 ELSE 200 - l_linenumber END AS high FROM lineitem), p AS (SELECT DISTINCT l_orderkey AS k, (l_partkey % 190) AS point FROM lineitem)
+SELECT k, point, (SELECT arg_min(name, {w: high - low, n: name}) FROM b WHERE b.k = p.k AND low <= point AND point <= high) AS name FROM p""")
+def section_stab(spark, sf):
+    """The innermost of nested bands, by a sweep: lines of even number go far, those of odd number stay short."""
+    lines, n = table(spark, sf, "lineitem"), F.col("l_linenumber")
+    bands = lines.select(F.col("l_orderkey").alias("k"), n.alias("name"), (10 * n).alias("low"), F.when(n % 2 == 1, 10 * n + 5).otherwise(200 - n).alias("high"))
+    return assembly.innermost(lines.select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 190).alias("point")).distinct(), bands, "k", "point", "low", "high", "name")
+
+
 @query()
 def chunk_bounds(spark, sf):
     docs = table(ship(spark), sf, "documents").select("doc_id", "text")
