@@ -12,20 +12,32 @@ from pyspark.sql import functions as F
 
 
 def canonical_json(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys on every level and without spaces."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def note_hash(content: str, properties: dict | None) -> str:
-    return hashlib.sha256((content + canonical_json(properties or {})).encode()).hexdigest()
+    return digest(content + canonical_json(properties or {}))
 
 
 def chunk_fragment(text: str) -> str:
     """First seven hex digits over the text with LF ends, trimmed at the right, in NFC."""
-    return hashlib.sha256(unicodedata.normalize("NFC", text.replace("\r\n", "\n").rstrip()).encode()).hexdigest()[:7]
+    return digest(unicodedata.normalize("NFC", text.replace("\r\n", "\n").rstrip()))[:7]
+
+
+def chunk_ids(document: Column, text: Column) -> Column:
+    """Ids of chunks that follow their content: the document's handle and the text's fragment; null for a null text."""
+    fragments = F.pandas_udf(lambda texts: texts.map(chunk_fragment, na_action="ignore"), "string")
+    return F.concat(document, F.lit("#chunk-"), fragments(text))
 
 
 def section_anchor(heading: str, body: str) -> str:
-    return hashlib.sha256("\n".join(unicodedata.normalize("NFC", x) for x in (heading, body)).encode()).hexdigest()
+    """Over the heading and the section's own text (up to the next heading, without its last line end), both in NFC."""
+    return digest("\n".join(unicodedata.normalize("NFC", x) for x in (heading, body.removesuffix("\n"))))
 
 
 def import_identity(provider: Column, external_id: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as md
-from lodestack.sources.markdown import canonical
+from lodestack.functions.hashing import canonical_json
 
 EDIT = "struct<props: string, diff: array<struct<key: string, op: string, before: string, after: string>>>"
 PATCH = "struct<body: string, error: string>"
@@ -23,7 +23,7 @@ def edit(props: dict, merge: dict[str, Any]) -> tuple[dict, list[tuple[str, str,
     {"$unset": ...} takes a key out, {"$push": v} appends to a list (or starts one), {"$pull": v} takes equal items out, an object
     is laid over an object, anything else is the new value. Values are equal as JSON, so 1 is not true.
     """
-    same = lambda a, b: a is not _GONE and b is not _GONE and canonical(a) == canonical(b)
+    same = lambda a, b: a is not _GONE and b is not _GONE and canonical_json(a) == canonical_json(b)
     now, diff = dict(props), []
     for key, wanted in merge.items():
         before = now.get(key, _GONE)
@@ -48,7 +48,7 @@ def edit(props: dict, merge: dict[str, Any]) -> tuple[dict, list[tuple[str, str,
 
 def edited(props: str, merge: dict[str, Any]) -> Column:
     """EDIT of a JSON column: what can't be read counts as no properties. Values in the diff are JSON, null where there is none."""
-    told = lambda v: None if v is _GONE else canonical(v)
+    told = lambda v: None if v is _GONE else canonical_json(v)
 
     def one(text: str | None) -> dict:
         try:
@@ -56,7 +56,7 @@ def edited(props: str, merge: dict[str, Any]) -> Column:
         except ValueError:
             held = {}
         now, diff = edit(held if isinstance(held, dict) else {}, merge)
-        return {"props": canonical(now), "diff": [{"key": k, "op": op, "before": told(a), "after": told(b)} for k, op, a, b in diff]}
+        return {"props": canonical_json(now), "diff": [{"key": k, "op": op, "before": told(a), "after": told(b)} for k, op, a, b in diff]}
 
     return F.pandas_udf(lambda s: pd.DataFrame([one(t) for t in s], columns=["props", "diff"]), EDIT)(props)
 

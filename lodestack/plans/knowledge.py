@@ -570,3 +570,12 @@ def vector_norms(spark, sf):
 
     v = F.col("embedding")
     return table(spark, sf, "embeddings").select("vec_id", F.round(vectors.norm(v), 6).alias("norm"), F.round(F.element_at(vectors.unit(v), 1), 6).alias("first"), F.round(vectors.sigmoid(F.element_at(v, 1).cast("double")), 6).alias("squashed"))
+
+
+@query("""SELECT doc_id, 'store://doc/' || doc_id || '#chunk-' || left(sha256(nfc_normalize(rtrim(replace(text, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(13)))), 7) AS chunk FROM documents""")
+def chunk_ids(spark, sf):
+    """Ids of chunks that stay with their content, whatever place it has."""
+    from lodestack.functions import hashing
+
+    docs = table(ship(spark), sf, "documents")
+    return docs.select("doc_id", hashing.chunk_ids(F.concat(F.lit("store://doc/"), "doc_id"), F.col("text")).alias("chunk"))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 import re
-import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.functions import hashing
 from lodestack.functions import text as md
 from lodestack.operators.predicates import matches_any_glob
 
@@ -27,7 +25,7 @@ NOTE = (
 
 def scan(spark: SparkSession, root: str, exclude: Sequence[str] = EXCLUDED) -> DataFrame:
     """path (below root), mtime and text of each Markdown file, but those that a glob excludes. Spark's file readers pass over
-    files without a byte, so an empty note has no row."""
+    files without a byte; `vault.notes` reads these too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     base = F.lit(re.sub(r"^\w+:(//[^/]*)?", "", root).rstrip("/") + "/")
     path = F.substr(F.col("path"), F.instr("path", base) + F.length(base))
@@ -35,11 +33,6 @@ def scan(spark: SparkSession, root: str, exclude: Sequence[str] = EXCLUDED) -> D
     return rows.filter(~matches_any_glob(F.col("path"), exclude))
 
 
-def canonical(value) -> str:
-    """JSON with sorted keys on every level and without spaces."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
-
-
 def front_matter(text: str) -> tuple[dict, str]:
     """Properties and body; what isn't a mapping, or can't be read, counts as no properties."""
     found = FRONT.match(text)
@@ -65,8 +58,9 @@ def sections(body: str) -> list[dict]:
     out = []
     for level, path, start, end, inner in rows:
         if level or body[start:end].strip():
-            named = unicodedata.normalize("NFC", path[-1] if path else "") + "\n" + unicodedata.normalize("NFC", body[min(inner, end) : end])
-            out.append({"ord": len(out), "level": level, "path": path, "start": start, "end": end, "anchor": hashlib.sha256(named.encode()).hexdigest()})
+            own = next((a for a, _, _ in heads if a > start or (not level and a >= start)), len(body))
+            anchor = hashing.section_anchor(path[-1] if path else "", body[min(inner, own) : own])
+            out.append({"ord": len(out), "level": level, "path": path, "start": start, "end": end, "anchor": anchor})
     return out
 
 
@@ -74,13 +68,12 @@ def note(path: str, text: str) -> dict:
     properties, body = front_matter(text)
     title = next((t for _, level, t in md.headings(body) if level == 1 and t), None) or path.rpartition("/")[2].removesuffix(".md")
     links = md.wikilinks(body)
-    for m in md.WIKILINK.finditer(canonical({k: v for k, v in properties.items() if k not in ("alias", "aliases")})):
+    for m in md.WIKILINK.finditer(hashing.canonical_json({k: v for k, v in properties.items() if k not in ("alias", "aliases")})):
         if m[1].strip() and m[1].strip() not in {x["target"] for x in links}:
             links.append({"target": m[1].strip(), "anchor": m[2], "alias": m[3], "line": 0})
-    digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     return {
-        "title": title, "properties": canonical(properties), "body": body, "n_words": len(body.split()), "hash": digest(body + canonical(properties)),
-        "body_hash": digest(body), "links": links, "sections": sections(body),
+        "title": title, "properties": hashing.canonical_json(properties), "body": body, "n_words": len(body.split()), "hash": hashing.note_hash(body, properties),
+        "body_hash": hashing.digest(body), "links": links, "sections": sections(body),
     }
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import os
 import time
 
@@ -7,6 +8,13 @@ from pyspark.sql import functions as F
 from lodestack.sources import markdown, vault
 
 
+def test_anchors_hash_a_section_s_own_text():
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    body = "before\n\n# One\nown\n\n## Two\n```\n# code\n```\n# Cafe\u0301\n"
+    assert [(s["level"], s["anchor"]) for s in markdown.sections(body)] == [(0, sha("\nbefore\n")), (1, sha("One\nown\n")), (2, sha("Two\n```\n# code\n```")), (1, sha("Caf\u00e9\n"))]
+    assert [s["anchor"] for s in markdown.sections("# A\nx\n## B\ny")] == [sha("A\nx"), sha("B\ny")] and [s["anchor"] for s in markdown.sections("# A")] == [sha("A\n")]
+
+
 def write(root, path, text, at=None):
     file = root / path
     file.parent.mkdir(parents=True, exist_ok=True)
