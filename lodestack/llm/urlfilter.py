@@ -6,7 +6,9 @@ listed keys that level 1 passes; and so on, until nothing passes wrongly. For ev
 universe, all pages) the first level that rejects it then decides exactly. The filters are arrays of 64-bit words that reach
 the expressions as scalar subqueries; their size is known from the number of listed keys and checked.
 
-All expressions are built in; pages are read in one narrow scan a cascade, and judged without a shuffle.
+All expressions are built in; pages are read in one narrow scan a cascade, and judged without a shuffle. A list whose filters would exceed
+`max_bits` (some millions of rules) is no longer sent to the tasks: the distinct hosts and paths meet it by a join on their keys, with
+the same result.
 
 Cases: a null url, or one without `://`, has an empty host and path and fits no rule; an empty rule list lists nothing; a
 rule given twice counts once, and block wins if it is given with both verdicts; the longest rule wins, of equally long
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import cut_lineage
@@ -48,6 +50,10 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.transform(F.array_sort(ranked), lambda k: k["key"])
 
 
+class TooLarge(ValueError):
+    """A filter or a cascade beyond its bounds."""
+
+
 class Bloom:
     """One filter: `hashes` bits a key in `bits` bits, as an array of words behind a scalar subquery."""
 
@@ -55,7 +61,7 @@ class Bloom:
         self.n = keys.count()
         self.bits = max(64, -(-self.n * bits_per_key // 64) * 64)
         if self.bits > max_bits:
-            raise ValueError(f"{self.n} keys need {self.bits} bits, more than max_bits={max_bits}")
+            raise TooLarge(f"{self.n} keys need {self.bits} bits, more than max_bits={max_bits}")
         self.level, self.hashes = level, hashes
         spots = keys.select(F.explode(F.array(*self._spots(F.col("key")))).alias("spot"))
         words = spots.groupBy(F.expr("spot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits"))
@@ -103,7 +109,7 @@ class Cascade:
                 no = left = with_words(no, [bloom]).filter(bloom.passes(F.col("key"))).select("key")
             if left.isEmpty():
                 return
-        raise ValueError(f"keys still pass wrongly after {max_levels} levels")
+        raise TooLarge(f"keys still pass wrongly after {max_levels} levels")
 
     def holds(self, key: Column) -> Column:
         """A key that level i is the first to reject is listed if i is odd; one that all levels pass, if their number is odd."""
@@ -113,29 +119,45 @@ class Cascade:
         return out
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, url_column: str = "url", default: str = "allow", **cascade) -> DataFrame:
+def listed_rules(spark: SparkSession, rules: DataFrame | list[tuple[str, str, str]]) -> DataFrame:
+    """key, sizes (of its path), verdict of rules given as a list or as rows (host, path, verdict); rules with a null are none."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    rows = rules.filter("host is not null and path is not null and verdict in ('allow', 'block')")
+    split = rows.select(F.concat("host", "path").alias("key"), F.length("path").alias("size"), "verdict")
+    return split.groupBy("key").agg(F.collect_set("size").alias("sizes"), F.max("verdict").alias("verdict"))  # block wins
+
+
+def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]], *, url_column: str = "url", default: str = "allow", **cascade) -> DataFrame:
     """All rows with host, path, rule (the longest listed key that fits, or null) and verdict (its own, else `default`).
 
-    `rules` are (host, path, allow or block). Listed keys and blocked keys have a cascade each, both over all keys of
-    all pages. A page on which no rule fits is no member of the list, and gets the default.
+    `rules` are (host, path, allow or block), as a list or as a DataFrame of any size. Listed keys and blocked keys have a cascade each,
+    both over all keys of all pages. A page on which no rule fits is no member of the list, and gets the default.
     """
     spark = pages.sparkSession
     url = F.col(url_column)
     out = pages.drop(*(c for c in ("host", "path", "rule", "verdict") if c != url_column))
     out = out.withColumn("host", url_host(url)).withColumn("path", url_path(url))
-    if not rules:
+    listed = cut_lineage(listed_rules(spark, rules))
+    lengths = sorted((r[0] for r in listed.select(F.explode("sizes")).distinct().collect()), reverse=True)  # as many as paths have lengths
+    if not lengths:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    lengths = sorted({len(path) for _, path, _ in rules}, reverse=True)
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
     universe = out.select("host", "path").select(F.explode(keys).alias("key"))
-    verdicts: dict[str, str] = {}
-    for host, path, verdict in rules:
-        verdicts[host + path] = "block" if verdicts.get(host + path) == "block" else verdict
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("verdict")) for k, v in sorted(verdicts.items())])
-    listed = cut_lineage(spark.range(1).select(F.inline(entries)))
-    member = Cascade(listed, universe, **cascade)
-    blocked = Cascade(listed.filter("verdict = 'block'"), universe.unionByName(listed.select("key")), **cascade)
+    try:
+        member = Cascade(listed, universe, **cascade)
+        blocked = Cascade(listed.filter("verdict = 'block'"), universe.unionByName(listed.select("key")), **cascade)
+    except TooLarge:
+        return joined(out, keys, listed, default)
     levels = member.levels + blocked.levels
     out = with_words(out, levels).withColumn("rule", F.get(F.filter(keys, member.holds), F.lit(0)))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocked.holds(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("verdict", verdict).drop(*(b.column for b in levels))
+
+
+def joined(out: DataFrame, keys: Column, listed: DataFrame, default: str) -> DataFrame:
+    """The same by a join: each distinct host and path is judged once, by the first of its keys that is listed."""
+    pairs = out.select("host", "path").distinct().select("host", "path", F.posexplode(keys).alias("place", "key"))
+    best = pairs.join(listed.select("key", "verdict"), "key").groupBy("host", "path").agg(F.min(F.struct("place", F.col("key").alias("rule"), "verdict")).alias("best"))
+    found = out.join(best, ["host", "path"], "left")
+    return found.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).select(*out.columns, "rule", "verdict")

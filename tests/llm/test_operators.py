@@ -253,6 +253,12 @@ def test_url_cases(spark):
     }
     assert urlfilter.judge(pages, []).filter("rule is null and verdict = 'allow'").count() == 8
     assert urlfilter.judge(pages.limit(0), queries.RULES).count() == 0
+    # Rules as rows, with repeated, contradicting and broken ones, by filters and by the join that stands in for filters that would be too large.
+    table = spark.createDataFrame([*queries.RULES, *queries.RULES, ("com", "/fr/", "block"), (None, "/", "block"), ("org", None, "block"), ("org", "/", "other")], "host string, path string, verdict string")
+    mine = lambda **o: {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, table, **o).collect()}
+    want = {k: (*v[:3], "block" if v[2] == "com/fr/" else v[3]) for k, v in got.items()}
+    assert mine() == want == mine(max_bits=8) == mine(max_levels=0)
+    assert urlfilter.judge(pages, table, max_bits=8).columns == urlfilter.judge(pages, table).columns
 
 
 def test_cascade_is_exact(spark):
