@@ -177,7 +177,7 @@ class Index:
             rows.withColumn("slot", F.lit(0)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/segments/{segment}/forward")
         return slots
 
-    def _add(self, base: View, docs: DataFrame, gone: DataFrame | None, source: str | None = None, batch: int | None = None) -> None:
+    def _add(self, base: View, docs: DataFrame, gone: DataFrame | None, source: str | None = None, batch: int | None = None, noted: dict[str, Any] | None = None) -> None:
         """A segment of parsed documents, which replaces the keys of `gone`, after those of `base`."""
         segment, size = uuid.uuid4().hex, docs.count()
         forward = docs.select("key", "vault", F.size("ws").alias("len"), F.array_distinct("ws").alias("terms"))
@@ -195,7 +195,7 @@ class Index:
             terms = count(forward, 1).unionByName(count(held, -1)).groupBy("term", "vault").agg(F.sum("df").alias("df")).filter("df <> 0")
         self._write(segment, "stats", stats.coalesce(1))
         self._write_sorted(segment, postings_of(docs), terms)
-        content = dict(base.content, segments=[*base.segments, {"id": segment, "docs": size, "slots": slots}])
+        content = dict(base.content, segments=[*base.segments, {"id": segment, "docs": size, "slots": slots}], **(noted or {}))
         self._commit(base, content, [segment], source, batch)
 
     def _commit(self, base: View, content: dict[str, Any], fresh: list[str], source: str | None = None, batch: int | None = None) -> None:
@@ -211,17 +211,17 @@ class Index:
     def _drop(self, segment: str) -> None:
         self.manifest.fs.delete(self.manifest._path(f"{self.path}/segments/{segment}"), True)
 
-    def replace(self, docs: DataFrame, removed: DataFrame, key: str, text: str, vault: str | None = None, *, source: str | None = None, batch: int | None = None, base: View | None = None) -> bool:
+    def replace(self, docs: DataFrame, removed: DataFrame, key: str, text: str, vault: str | None = None, *, source: str | None = None, batch: int | None = None, base: View | None = None, noted: dict[str, Any] | None = None) -> bool:
         """A new segment: `docs` instead of the rows of their keys, and none for the keys of `removed` (column key).
 
         With `source`, the same batch (or an earlier one) of that stream is taken once: a repeated one changes nothing and gives False.
-        Raises `Conflict` if another writer came between; nothing of the change is then seen.
+        Raises `Conflict` if another writer came between; nothing of the change is then seen. What is `noted` goes into the manifest with it.
         """
         base = base or self.view()
         if source is not None and base.content["batches"].get(source, -1) >= batch:
             return False
         gone = docs.select(F.col(key).alias("key")).unionByName(removed.select("key")).distinct()
-        self._add(base, parsed(docs, key, text, vault), gone, source, batch)
+        self._add(base, parsed(docs, key, text, vault), gone, source, batch, noted)
         return True
 
     def merge(self, fan: int = FAN) -> bool:
