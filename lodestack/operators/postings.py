@@ -17,15 +17,19 @@ and changes by compare-and-rename: a reader sees whole segments, of two writers
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators.manifest import Conflict, Manifest
-from lodestack.operators.retrieval import K1, B, words
+from lodestack.operators.retrieval import K1, B
+from lodestack.runtime import ship
 
 __all__ = ["Conflict", "Index", "View", "build"]
 
@@ -33,16 +37,89 @@ __all__ = ["Conflict", "Index", "View", "build"]
 SPREAD, SLOT_DOCS, FAN = 64, 100_000, 8
 
 
-def postings_of(docs: DataFrame) -> DataFrame:
-    """term, vault, key, len, tf, positions of each word of each document (vault, key, ws); a null text has none."""
-    each = docs.select("vault", "key", F.size("ws").alias("len"), F.posexplode("ws").alias("at", "term"))
-    return each.groupBy("term", "vault", "key", "len").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+#: Fixed value: bytes of text that a task takes apart at a time, or one text if that is longer.
+SLICE = 1 << 21
+
+
+def spotted(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each lower-case text (none null), as `retrieval.words` tells them: how many, the distinct ones of all texts in order, and
+    for every place in turn the word's number, the text's, and which word of the text it is."""
+    raw = texts.cast(pa.large_string())
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    # A word starts at a letter or digit behind another sign, and at the head of a text; bytes of other alphabets divide.
+    inside = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = bounds[:-1][bounds[:-1] < len(data)]
+    first[heads] = inside[heads]
+    starts = np.flatnonzero(first)
+    letters = data[inside]
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    owner = np.searchsorted(bounds, starts, side="right") - 1
+    sizes = np.bincount(owner, minlength=len(raw))
+    place = (np.arange(len(starts)) - (np.cumsum(sizes) - sizes)[owner]).astype(np.int32)
+    return sizes.astype(np.int32), coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)], owner, place
+
+
+def _forward(part: pa.RecordBatch) -> pa.RecordBatch:
+    """vault, key, len, terms of (vault, key, text)."""
+    sizes, terms, which, owner, _ = spotted(part.column(2))
+    pairs = np.unique(owner * max(1, len(terms)) + which)
+    row, term = np.divmod(pairs, max(1, len(terms)))
+    ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(sizes)))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), terms.take(pa.array(term)))], names=["vault", "key", "len", "terms"])
+
+
+def _postings(part: pa.RecordBatch) -> pa.RecordBatch:
+    """term, vault, key, len, tf, positions of (vault, key, text), sorted by term: runs that a later sort only has to merge."""
+    sizes, terms, which, owner, place = spotted(part.column(2))
+    pairs = which * max(1, len(sizes)) + owner
+    order = np.argsort(pairs, kind="stable")
+    ordered = pairs[order]
+    group = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    term, row = np.divmod(ordered[group], max(1, len(sizes)))
+    ends = np.append(group, len(order)).astype(np.int32)
+    at = pa.array(row)
+    columns = [terms.take(pa.array(term)), part.column(0).take(at), part.column(1).take(at), pa.array(sizes[row]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order]))]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "vault", "key", "len", "tf", "positions"])
+
+
+def _by_slices(run: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (vault, key, text): parts of SLICE bytes at a time, whatever a batch has."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+                yield run(batch.slice(at, to - at))
+                at = to
+
+    return each
+
+
+def prepared(docs: DataFrame, key: str, text: str, vault: str | None) -> DataFrame:
+    """vault, key, text (lower-case; a null text has no words), dealt out by key, since a table may be one file of one row group."""
+    name = F.col(vault).cast("string") if vault else F.lit("")
+    ship(docs.sparkSession)
+    return docs.select(name.alias("vault"), F.col(key).alias("key"), F.coalesce(F.lower(text), F.lit("")).alias("text")).repartition("key")
 
 
-def parsed(docs: DataFrame, key: str, text: str, vault: str | None) -> DataFrame:
-    name = F.col(vault).cast("string") if vault else F.lit("")
-    # A generator between, so that a text is parted once and not again for each use.
-    return docs.select(name.alias("vault"), F.col(key).alias("key"), F.explode(F.array(F.coalesce(words(F.col(text)), F.array().cast("array<string>")))).alias("ws"))
+def forward_of(docs: DataFrame) -> DataFrame:
+    """vault, key, len, terms of each prepared document."""
+    return docs.mapInArrow(_by_slices(_forward), f"vault string, key {docs.schema['key'].dataType.simpleString()}, len int, terms array<string>")
+
+
+def postings_of(docs: DataFrame) -> DataFrame:
+    """term, vault, key, len, tf, positions of each word of each prepared document: whole in the batch, so nothing is gathered by a shuffle."""
+    return docs.mapInArrow(_by_slices(_postings), f"term string, vault string, key {docs.schema['key'].dataType.simpleString()}, len int, tf int, positions array<int>")
 
 
 def slot(slots: int) -> Column:
@@ -164,11 +241,15 @@ class Index:
         """postings and terms by ranges of terms, and what each of their files spans; terms are counted from the postings if not given."""
         dealt = postings.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).repartitionByRange("term", "part")
         written = self._write(segment, "postings", dealt.sortWithinPartitions("term", "vault", "key").drop("part"))
+        # Counted for each file at once: the rows are sorted, so what is left is about the dictionary.
+        counted = lambda rows: rows.groupBy(F.col("_metadata.file_name").alias("file"), "term", "vault").agg(F.count("*").alias("df"))
+        held = self._write(segment, "held", counted(written))
         if terms is None:
-            terms = written.groupBy("term", "vault").agg(F.count("*").alias("df"))
+            terms = held.groupBy("term", "vault").agg(F.sum("df").alias("df"))
         known = self._write(segment, "terms", terms.repartitionByRange("term").sortWithinPartitions("term", "vault"))
-        spans = [rows.groupBy(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high")).withColumn("of", F.lit(of)) for of, rows in (("postings", written), ("terms", known))]
+        spans = [rows.groupBy("file").agg(F.min("term").alias("low"), F.max("term").alias("high")).withColumn("of", F.lit(of)) for of, rows in (("postings", held), ("terms", counted(known)))]
         self._write(segment, "ranges", spans[0].unionByName(spans[1]).coalesce(1))
+        self._drop(segment, "held")
 
     def _write_forward(self, segment: str, rows: DataFrame, docs: int) -> int:
         slots = max(1, -(-docs // SLOT_DOCS))
@@ -178,10 +259,9 @@ class Index:
         return slots
 
     def _add(self, base: View, docs: DataFrame, gone: DataFrame | None, source: str | None = None, batch: int | None = None, noted: dict[str, Any] | None = None) -> None:
-        """A segment of parsed documents, which replaces the keys of `gone`, after those of `base`."""
+        """A segment of prepared documents, which replaces the keys of `gone`, after those of `base`."""
         segment, size = uuid.uuid4().hex, docs.count()
-        forward = docs.select("key", "vault", F.size("ws").alias("len"), F.array_distinct("ws").alias("terms"))
-        slots = self._write_forward(segment, forward, size)
+        slots = self._write_forward(segment, forward_of(docs).select("key", "vault", "len", "terms"), size)
         forward = self.spark.read.parquet(f"{self.path}/segments/{segment}/forward")
         stats = forward.groupBy("vault").agg(F.count("*").alias("n"), F.sum("len").alias("words"))
         terms = None
@@ -208,8 +288,9 @@ class Index:
                 self._drop(segment)
             raise
 
-    def _drop(self, segment: str) -> None:
-        self.manifest.fs.delete(self.manifest._path(f"{self.path}/segments/{segment}"), True)
+    def _drop(self, segment: str, name: str = "") -> None:
+        """A segment, or one table of it."""
+        self.manifest.fs.delete(self.manifest._path(f"{self.path}/segments/{segment}/{name}".rstrip("/")), True)
 
     def replace(self, docs: DataFrame, removed: DataFrame, key: str, text: str, vault: str | None = None, *, source: str | None = None, batch: int | None = None, base: View | None = None, noted: dict[str, Any] | None = None) -> bool:
         """A new segment: `docs` instead of the rows of their keys, and none for the keys of `removed` (column key).
@@ -221,7 +302,7 @@ class Index:
         if source is not None and base.content["batches"].get(source, -1) >= batch:
             return False
         gone = docs.select(F.col(key).alias("key")).unionByName(removed.select("key")).distinct()
-        self._add(base, parsed(docs, key, text, vault), gone, source, batch, noted)
+        self._add(base, prepared(docs, key, text, vault), gone, source, batch, noted)
         return True
 
     def merge(self, fan: int = FAN) -> bool:
@@ -272,5 +353,5 @@ def build(docs: DataFrame, path: str, key: str, text: str, vault: str | None = N
     base = index.view()
     if base.version:
         raise Conflict(f"{path} has an index")
-    index._add(base, parsed(docs, key, text, vault), None)
+    index._add(base, prepared(docs, key, text, vault), None)
     return index

@@ -140,3 +140,24 @@ def test_empty_index(spark, tmp_path):
     assert [r["key"] for r in fulltext.indexed(index, "red-fox").collect()] == [1]
     index.replace(spark.createDataFrame([], "id long, text string"), spark.createDataFrame([(1,), (2,)], "key long"), "id", "text")
     assert fulltext.indexed(index, "red").count() == 0 and index.view().stats().count() == 0 and index.view().dictionary().count() == 0
+
+
+def test_postings_are_made_whole_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "Red redéfox, the RED", "a"), (2, None, "a"), (3, "-", "b"), (4, "Key fox\n2.0", None)], DOC)
+    rows = postings.postings_of(postings.prepared(docs, "id", "text", "vault"))
+    got = {(r["term"], r["vault"], r["key"], r["len"], r["tf"], *r["positions"]) for r in rows.collect()}
+    assert got == {("2", None, 4, 4, 1, 2), ("0", None, 4, 4, 1, 3), ("fox", None, 4, 4, 1, 1), ("key", None, 4, 4, 1, 0), ("fox", "a", 1, 5, 1, 2), ("red", "a", 1, 5, 3, 0, 1, 4), ("the", "a", 1, 5, 1, 3)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Repartition") == 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 21])
+def test_slices_of_any_size_give_the_same_postings(spark, monkeypatch, size):
+    pa = pytest.importorskip("pyarrow")
+    monkeypatch.setattr(postings, "SLICE", size)
+    texts = ["", "red fox", "", "a a b", "fox"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["v"] * 5), pa.array(range(5)), pa.array(["cut", *texts]).slice(1)], names=["vault", "key", "text"])
+    made = [r for part in postings._by_slices(postings._postings)(iter([batch])) for r in part.to_pylist()]
+    assert sorted((r["key"], r["term"], r["len"], *r["positions"]) for r in made) == [(1, "fox", 2, 1), (1, "red", 2, 0), (3, "a", 3, 0, 1), (3, "b", 3, 2), (4, "fox", 1, 0)]
+    told = [(r["key"], r["len"], r["terms"]) for part in postings._by_slices(postings._forward)(iter([batch])) for r in part.to_pylist()]
+    assert told == [(0, 0, []), (1, 2, ["fox", "red"]), (2, 0, []), (3, 3, ["a", "b"]), (4, 1, ["fox"])]
