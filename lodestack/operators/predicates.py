@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -42,38 +43,47 @@ def is_value(value: Column, want: Any) -> Column:
     return (F.schema_of_variant(value) == "STRING") & (F.try_variant_get(value, "$", "string") == str(want))
 
 
+def once(value: Column, test: Callable[[Column], Column]) -> Column:
+    """The test of a value that is worked out once, however often the test names it; false where it is null."""
+    return F.exists(F.array(value), lambda v: F.coalesce(test(v), F.lit(False)))
+
+
+def _condition(want: Any) -> Callable[[Column], Column]:
+    """The test of a property, a variant, by one condition."""
+    if want is None:
+        return lambda v: v.isNull() | F.is_variant_null(v)
+    if not isinstance(want, dict):
+        return lambda v: is_value(v, want)
+    (op, arg), = want.items()
+    if op == "$in":
+        return lambda v: reduce(lambda out, a: out | F.coalesce(is_value(v, a), F.lit(False)), arg or (), F.lit(False))
+    if op == "$exists":
+        there = lambda v: v.isNotNull() & ~F.is_variant_null(v)
+        return there if arg else lambda v: ~there(v)
+    if op == "$contains":
+        none = F.array().cast("array<variant>")
+        return lambda v: F.exists(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none), lambda x: F.coalesce(is_value(x, arg), F.lit(False)))
+    raise ValueError(f"unknown operator {op}")
+
+
 def match_props(props: str, where: dict[str, Any]) -> Column:
-    """All conditions hold: a value (equality), None (missing or null), or one of $in, $exists and $contains."""
-    out = F.lit(True)
-    for field, want in where.items():
-        value = typed(props, field)
-        if want is None:
-            test = value.isNull()
-        elif isinstance(want, dict):
-            (op, arg), = want.items()
-            if op == "$in":
-                test = F.lit(False)
-                for a in arg or ():
-                    test = test | F.coalesce(is_value(value, a), F.lit(False))
-            elif op == "$exists":
-                test = value.isNotNull() if arg else value.isNull()
-            elif op == "$contains":
-                items = F.try_variant_get(value, "$", "array<variant>")
-                test = F.exists(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.coalesce(is_value(x, arg), F.lit(False)))
-            else:
-                raise ValueError(f"unknown operator {op}")
-        else:
-            test = is_value(value, want)
-        out = out & F.coalesce(test, F.lit(False))
-    return out
+    """All conditions hold: a value (equality), None (missing or null), or one of $in, $exists and $contains. The properties are parsed once a row."""
+    tests = [(json_path(field), _condition(want)) for field, want in where.items()]
+    if not tests:
+        return F.lit(True)
+    held = lambda doc: reduce(lambda out, t: out & once(F.try_variant_get(doc, t[0], "variant"), t[1]), tests, F.lit(True))
+    return once(F.try_parse_json(props), held)
 
 
 def matches_text(props: str, field: str, want: str) -> Column:
     """The property, as text, is the wanted text, or an array that holds it; a missing or null one never matches."""
-    value = typed(props, field)
-    items = F.try_variant_get(value, "$", "array<string>")
-    one = F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)")
-    return F.coalesce(F.when(one, F.array_contains(items, want)).otherwise(F.try_variant_get(value, "$", "string") == want), F.lit(False))
+
+    def test(value: Column) -> Column:
+        items = F.try_variant_get(value, "$", "array<string>")
+        one = F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)")
+        return F.when(one, F.array_contains(items, want)).otherwise(F.try_variant_get(value, "$", "string") == want)
+
+    return once(F.try_variant_get(F.try_parse_json(props), json_path(field), "variant"), test)
 
 
 def strictly(props: str, want: dict[str, Any]) -> Column:

@@ -81,3 +81,19 @@ def test_expand_excludes_seeds(spark):
     rows = graph.expand(edges, spark.createDataFrame([(1,)], "seed long"), 2).orderBy("node").collect()
     assert [(r["node"], r["hop"]) for r in rows] == [(2, 1), (3, 2), (4, 1)]
     assert predicates.CONFIDENCE["direct"] == 3 and F is not None
+
+
+def test_properties_are_parsed_once_a_row(spark):
+    import json
+
+    rows = [(i, json.dumps(p) if isinstance(p, dict) else p) for i, p in enumerate([{"a": 1}, {"a": "1"}, {"a": None}, {}, None, "{", {"a": [1, None]}, {"a": {"b": True}}, {"a": 3.0, "b": 1}])]
+    df = spark.createDataFrame(rows, "i int, p string")
+    ids = lambda test: [r[0] for r in df.filter(test).orderBy("i").collect()]
+    told = lambda **where: ids(predicates.match_props("p", where))
+    assert told(a={"$in": [1, 3, "1"]}) == [0, 1, 8] and told(a={"$in": []}) == [] and told(a=None) == [2, 3, 4, 5]
+    assert told(a={"$exists": True}) == [0, 1, 6, 7, 8] and told(a={"$exists": False}) == [2, 3, 4, 5] and told(a={"$contains": 1}) == [6]
+    assert told(a=3, b=1) == [8] and told() == list(range(9)) and ids(predicates.match_props("p", {"a.b": True})) == [7]
+    assert ids(predicates.matches_text("p", "a", "1")) == [0, 1, 6]
+    for test in (predicates.match_props("p", {"a": {"$in": [1, 3, 4, 11]}, "b": 1}), predicates.matches_text("p", "a", "1")):
+        plan = df.filter(test)._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+        assert plan.count("parsejson") == 1
