@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,8 +33,17 @@ def chunk_fragment(text: str) -> str:
 
 def chunk_ids(document: Column, text: Column) -> Column:
     """Ids of chunks that follow their content: the document's handle and the text's fragment; null for a null text."""
-    fragments = F.pandas_udf(lambda texts: texts.map(chunk_fragment, na_action="ignore"), "string")
-    return F.concat(document, F.lit("#chunk-"), fragments(text))
+    return F.concat(document, F.lit("#chunk-"), F.arrow_udf(one_by_one(lambda t: None if t is None else chunk_fragment(t)), "string")(text))
+
+
+def one_by_one(run: Callable[[str | None], str | None], rows: int = 64) -> Callable[[pa.Array], pa.Array]:
+    """For arrow_udf: the function over a column of texts, of which only `rows` at a time are Python objects."""
+
+    def each(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([run(t) for t in texts.slice(at, rows).to_pylist()], pa.string()) for at in range(0, len(texts), rows)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return each
 
 
 def section_anchor(heading: str, body: str) -> str:

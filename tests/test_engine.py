@@ -97,3 +97,22 @@ def test_properties_are_parsed_once_a_row(spark):
     for test in (predicates.match_props("p", {"a": {"$in": [1, 3, 4, 11]}, "b": 1}), predicates.matches_text("p", "a", "1")):
         plan = df.filter(test)._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
         assert plan.count("parsejson") == 1
+
+
+def test_texts_become_python_objects_a_few_at_a_time():
+    pa = pytest.importorskip("pyarrow")
+    from lodestack.functions import hashing
+
+    texts, sizes = pa.array(["x" * (i % 7) if i % 5 else None for i in range(150)]).slice(3), []
+
+    class Told:
+        def __len__(self):
+            return len(texts)
+
+        def slice(self, at, n):
+            sizes.append(n)
+            return texts.slice(at, n)
+
+    out = hashing.one_by_one(lambda t: t and t.upper())(Told())
+    assert out.to_pylist() == [t and t.upper() for t in texts.to_pylist()] and sizes == [64, 64, 64]
+    assert hashing.one_by_one(str)(texts.slice(0, 0)).type == pa.string()
