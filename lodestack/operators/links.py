@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions import hashing
 from lodestack.functions import text as md
 
 #: The shortest name that counts as a mention, and the marks that no hyperlink ends with.
@@ -22,17 +22,14 @@ BARE = r"(?<![(\[a-zA-Z0-9])https?://[^\s)\]]+"
 def prose(column: str) -> Column:
     """The text without what holds no mention: code, headings, links in brackets. Lines keep their places."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        def keep(text: str | None) -> str:
-            lines = [""] * ((text or "").count("\n") + 1)
-            for number, _, line in md.lines_outside_code(text or ""):
-                if not md.heading_of(line):
-                    lines[number] = md.re.sub(r"`[^`]*`|!?\[\[[^\]\n]*\]\]", " ", line)
-            return "\n".join(lines)
+    def keep(text: str | None) -> str:
+        lines = [""] * ((text or "").count("\n") + 1)
+        for number, _, line in md.lines_outside_code(text or ""):
+            if not md.heading_of(line):
+                lines[number] = md.re.sub(r"`[^`]*`|!?\[\[[^\]\n]*\]\]", " ", line)
+        return "\n".join(lines)
 
-        return texts.map(keep)
-
-    return F.pandas_udf(run, "string")(column)
+    return F.arrow_udf(hashing.one_by_one(keep), "string")(column)
 
 
 def mentions(notes: DataFrame, names: DataFrame, key: str, text: str, block: int = 100_000) -> DataFrame:
