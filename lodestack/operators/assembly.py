@@ -22,14 +22,20 @@ def innermost(points: DataFrame, bands: DataFrame, key: str, point: str, low: st
     """
     kind = bands.schema[name].dataType
     none = F.lit(None)
-    rows = points.select(F.col(key).alias("k"), F.col(point).alias("at"), F.lit(1).alias("turn"), none.cast("long").alias("less"), none.cast(kind).alias("name"), F.lit(0).alias("step"), F.struct(*points.columns).alias("own"))
-    side = lambda at, turn, less, step: bands.select(F.col(key).alias("k"), F.col(at).alias("at"), F.lit(turn).alias("turn"), less.cast("long").alias("less"), F.col(name).alias("name"), F.lit(step).alias("step"), none.cast(rows.schema["own"].dataType).alias("own"))
-    every = rows.unionByName(side(low, 0, -F.col(high), 1)).unionByName(side(high, 2, none, -1))
+    # Rows are sorted twice in a task, so they are narrow: what points have besides is carried once, and the step is told by the turn.
+    rest = [c for c in points.columns if c not in (key, point)]
+    own = [F.struct(*rest).alias("own")] if rest else []
+    rows = points.select(F.col(key).alias("k"), F.col(point).alias("at"), F.lit(1).alias("turn"), none.cast("long").alias("less"), none.cast(kind).alias("name"), *own)
+    empty = [none.cast(rows.schema["own"].dataType).alias("own")] if rest else []
+    side = lambda at, turn, less: bands.select(F.col(key).alias("k"), F.col(at).alias("at"), F.lit(turn).alias("turn"), less.cast("long").alias("less"), F.col(name).alias("name"), *empty)
+    every = rows.unionByName(side(low, 0, -F.col(high))).unionByName(side(high, 2, none))
     order = ["at", "turn", "less", F.desc("name")]
-    opened = F.sum("step").over(Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    opened = F.sum(1 - F.col("turn")).over(Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = F.last(F.when(F.col("turn") == 0, F.col("name")), ignorenulls=True).over(Window.partitionBy("k", "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    swept = every.withColumn("depth", opened).filter("turn < 2").withColumn("held", F.when(F.col("depth") > 0, last))
-    return swept.filter("turn = 1").select("own.*", F.col("held").alias(name))
+    swept = every.withColumn("depth", opened).filter("turn < 2").withColumn("held", F.when(F.col("depth") > 0, last)).filter("turn = 1")
+    given = {key: F.col("k"), point: F.col("at")}
+    columns = [given[c].cast(points.schema[c].dataType).alias(c) if c in given else F.col(f"own.`{c}`").alias(c) for c in points.columns]
+    return swept.select(*columns, F.col("held").alias(name))
 
 
 def budget(df: DataFrame, group: list[str], order: list[Column], text: str, limit: int) -> DataFrame:

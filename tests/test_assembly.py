@@ -47,3 +47,13 @@ def test_previews_of_imports(spark):
     for wrong in ("store://v/chats", "chats/", "store://v/../x/"):
         with pytest.raises(ValueError):
             records.previews(rows, wrong)
+
+
+def test_a_sweep_carries_no_column_twice(spark):
+    bands = spark.createDataFrame([(1, 0, 9, 1), (1, 2, 4, 2)], "k long, low long, high long, name int")
+    points = spark.createDataFrame([(1, 3, "a"), (1, 9, "b"), (1, 10, "c"), (2, 3, "d"), (1, None, "e")], "k int, p int, note string")
+    found = assembly.innermost(points, bands, "k", "p", "low", "high", "name")
+    assert found.schema.simpleString() == "struct<k:int,p:int,note:string,name:int>"
+    assert {r["note"]: r["name"] for r in found.collect()} == {"a": 2, "b": 1, "c": None, "d": None, "e": None}
+    bare = assembly.innermost(points.drop("note"), bands, "k", "p", "low", "high", "name")
+    assert "own" not in bare._jdf.queryExecution().optimizedPlan().toString()
