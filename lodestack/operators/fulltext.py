@@ -183,7 +183,7 @@ def indexed(index: Index | View, query: str, k: int | None = 10, keep: DataFrame
     compiled = compile_query(query)
     prefixes = sorted({leaf.words[0] for leaf in compiled.leaves if leaf.kind == "prefix"})
     terms = sorted({word for leaf in compiled.leaves if leaf.kind != "prefix" for word in leaf.words})
-    rows = view.live(terms, prefixes)
+    rows = view.live(terms, prefixes, positions=any(leaf.kind in ("phrase", "near") for leaf in compiled.leaves))
     found = rows.groupBy("vault", "key", "len").agg(*[leaf.counted().alias(f"tf{i}") for i, leaf in enumerate(compiled.leaves)] or [F.count("*").alias("none")])
     scored = sorted(compiled.scored)
     stats = view.stats()

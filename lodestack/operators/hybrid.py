@@ -135,7 +135,8 @@ def search(
     # At most n rows a vault: they go to the chunks, whose texts then stay where they are, unless vaults are too many for that.
     fused = stored(fused, "fused")
     few = F.broadcast(fused) if fused.count() <= MOST_SENT else fused
-    hits = shown.drop("vector").join(few.withColumnRenamed("rrf", "score"), ["vault", "chunk"])
+    own = shown.drop("vector").join(few.select("chunk"), "chunk", "left_semi")  # goes below the joins that `chunks` may come from
+    hits = own.join(few.withColumnRenamed("rrf", "score"), ["vault", "chunk"])
     if recency or authority:
         age = (now.cast("double") - F.col("mtime").cast("double")) / 86400
         sure = F.get_json_object("props", "$.authoritative") == "true"

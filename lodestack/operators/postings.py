@@ -2,10 +2,12 @@
 
 A segment has these tables, all Parquet:
 
-- `postings` (term, vault, key, len, tf, positions), dealt out by ranges of (term, hash of the key) and sorted, so that a frequent
-  word fills several files and a rare one shares its own; how many there are follows from the bytes;
+- `postings` (term, vault, n, keys, lens, tfs, positions): a row is a block, a word's postings in some n documents of a vault, their
+  positions one after the other. Blocks are dealt out by ranges of (term, hash of the key) and sorted, so that a frequent word
+  fills several files and a rare one shares its own; how many there are follows from the bytes. Where ranges part is told by a sample
+  of the postings, which decides on sizes of files only;
 - `terms` (term, vault, df), the dictionary, sorted by term: differences, which add up over the segments;
-- `forward` (key, vault, len, terms), in folders by a hash of the key: what a document's words were when it was indexed;
+- `forward` (key, vault, len, terms, joined by spaces), in folders by a hash of the key: what a document's words were when it was indexed;
 - `stats` (vault, n, words), differences as well; `gone` (key): whose rows in earlier segments no longer count;
 - `ranges` (of, file, low, high): the terms that each file of `postings` and `terms` spans. A search opens only files that its words
   or prefixes fall into, and within these only row groups whose statistics hold them.
@@ -17,6 +19,7 @@ and changes by compare-and-rename: a reader sees whole segments, of two writers
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
@@ -39,6 +42,10 @@ SPREAD, SLOT_DOCS, FAN = 64, 100_000, 8
 
 #: Fixed value: bytes of text that a task takes apart at a time, or one text if that is longer.
 SLICE = 1 << 21
+#: Bytes of text whose postings fill a file, and the documents and postings of the sample that tells where files part.
+FILE_TEXT, SAMPLE_DOCS, SAMPLE = 1 << 25, 2_000, 20_000
+#: Fixed value: slices whose postings are packed into blocks together.
+PACK = 4
 
 
 def spotted(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,29 +83,95 @@ def _forward(part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), terms.take(pa.array(term)))], names=["vault", "key", "len", "terms"])
 
 
-def _postings(part: pa.RecordBatch) -> pa.RecordBatch:
-    """term, vault, key, len, tf, positions of (vault, key, text), sorted by term: runs that a later sort only has to merge."""
+def _joined(part: pa.RecordBatch) -> pa.RecordBatch:
+    """`_forward` with the terms as one text."""
+    return pa.RecordBatch.from_arrays([*part.columns[:3], pc.binary_join(part.column(3), " ")], names=part.schema.names)
+
+
+def _cuts(terms: pa.Array, term: np.ndarray, salt: np.ndarray, bounds: Sequence[tuple[str, int]]) -> np.ndarray:
+    """For postings in the order of their terms, of which `term` is the number: how many of the sorted bounds aren't above (term, salt)."""
+    words = sorted({t for t, _ in bounds})
+    ends = np.array([bisect_right(terms, w, key=lambda t: t.as_py()) for w in words], np.int64)
+    upto = np.append(0, np.cumsum([sum(t == w for t, _ in bounds) for w in words], dtype=np.int64))
+    cut = upto[np.searchsorted(ends, term, side="right")]
+    for at, w in enumerate(words):
+        low = bisect_left(terms, w, key=lambda t: t.as_py())
+        if low < ends[at]:  # a bound inside a word's postings
+            own = slice(*np.searchsorted(term, [low, low + 1]))
+            cut[own] = upto[at] + np.searchsorted([x for t, x in bounds if t == w], salt[own], side="right")
+    return cut.astype(np.int32)
+
+
+def _blocks(part: pa.RecordBatch, bounds: Sequence[tuple[str, int]] = ()) -> pa.RecordBatch:
+    """term, vault, n, keys, lens, tfs, positions, cut of (vault, key, text, salt): a row for each word, vault and range, sorted by term.
+
+    A posting's range depends on its word and key alone, not on what else is in the batch.
+    """
+    salt = part.column(3).to_numpy() if part.num_columns > 3 else np.zeros(part.num_rows, np.int64)
+    vault = pc.fill_null(part.column(0).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    docs = np.lexsort((salt, vault))  # so ranges don't alternate among a word's documents
+    salt, vault, part = salt[docs], vault[docs], part.take(pa.array(docs))
     sizes, terms, which, owner, place = spotted(part.column(2))
     pairs = which * max(1, len(sizes)) + owner
     order = np.argsort(pairs, kind="stable")
     ordered = pairs[order]
     group = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
     term, row = np.divmod(ordered[group], max(1, len(sizes)))
-    ends = np.append(group, len(order)).astype(np.int32)
-    at = pa.array(row)
-    columns = [terms.take(pa.array(term)), part.column(0).take(at), part.column(1).take(at), pa.array(sizes[row]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order]))]
+    cut = _cuts(terms, term, salt[row], bounds)
+    fresh = (np.diff(term) != 0) | (np.diff(vault[row]) != 0) | (np.diff(cut) != 0)
+    heads = np.flatnonzero(np.append(True, fresh)[: len(term)])
+    return pa.RecordBatch.from_arrays(
+        [terms.take(pa.array(term[heads])), part.column(0).take(pa.array(row[heads])), *_lists(heads, part.column(1).take(pa.array(row)), sizes[row], np.diff(np.append(group, len(order))), place[order]), pa.array(cut[heads])],
+        names=["term", "vault", "n", "keys", "lens", "tfs", "positions", "cut"],
+    )
+
+
+def _lists(heads: np.ndarray, keys: pa.Array, lens: np.ndarray, tfs: np.ndarray, places: np.ndarray) -> list[pa.Array]:
+    """n, keys, lens, tfs, positions of the blocks that start at the heads."""
+    ends = np.append(heads, len(keys)).astype(np.int32)
+    inner = np.append(0, np.cumsum(tfs))[ends].astype(np.int32)
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
+    return [pa.array(np.diff(ends)), lists(ends, keys), lists(ends, lens), lists(ends, tfs), lists(inner, places)]
+
+
+def _unpacked(part: pa.RecordBatch) -> pa.RecordBatch:
+    """term, vault, key, len, tf, positions of blocks."""
+    column = dict(zip(part.schema.names, part.columns, strict=True))
+    at, tfs = pa.array(np.repeat(np.arange(part.num_rows), column["n"].to_numpy())), column["tfs"].flatten()
+    ends = np.append(0, np.cumsum(tfs.to_numpy())).astype(np.int32)
+    columns = [column["term"].take(at), column["vault"].take(at), column["keys"].flatten(), column["lens"].flatten(), tfs, pa.ListArray.from_arrays(pa.array(ends), column["positions"].flatten())]
     return pa.RecordBatch.from_arrays(columns, names=["term", "vault", "key", "len", "tf", "positions"])
 
 
-def _by_slices(run: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (vault, key, text): parts of SLICE bytes at a time, whatever a batch has."""
+def _packed(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Blocks of postings that are sorted by term and vault."""
+    column = dict(zip(part.schema.names, part.columns, strict=True))
+    codes = [pc.fill_null(column[c].dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for c in ("term", "vault")]
+    heads = np.flatnonzero(np.append(True, (np.diff(codes[0]) != 0) | (np.diff(codes[1]) != 0))[: part.num_rows])
+    at = pa.array(heads)
+    lists = _lists(heads, column["key"], column["len"].to_numpy(), column["tf"].to_numpy(), column["positions"].flatten().to_numpy())
+    return pa.RecordBatch.from_arrays([column["term"].take(at), column["vault"].take(at), *lists], names=["term", "vault", "n", "keys", "lens", "tfs", "positions"])
+
+
+def _postings(part: pa.RecordBatch) -> pa.RecordBatch:
+    """term, vault, key, len, tf, positions of (vault, key, text), sorted by term."""
+    return _unpacked(_blocks(part))
+
+
+def _each(run: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: batch by batch."""
+    return lambda batches: (run(batch) for batch in batches)
+
+
+def _by_slices(run: Callable[[pa.RecordBatch], pa.RecordBatch], slices: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (vault, key, text): parts of so many slices at a time, whatever a batch has."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE * slices, side="right")))
                 yield run(batch.slice(at, to - at))
                 at = to
 
@@ -113,15 +186,49 @@ def prepared(docs: DataFrame, key: str, text: str, vault: str | None) -> DataFra
 
 
 def forward_of(docs: DataFrame) -> DataFrame:
-    """vault, key, len, terms of each prepared document."""
-    return docs.mapInArrow(_by_slices(_forward), f"vault string, key {docs.schema['key'].dataType.simpleString()}, len int, terms array<string>")
+    """vault, key, len, terms (joined) of each prepared document."""
+    return docs.mapInArrow(_by_slices(lambda part: _joined(_forward(part))), f"vault string, key {docs.schema['key'].dataType.simpleString()}, len int, terms string")
+
+
+def split_terms(joined: Column | str) -> Column:
+    return F.filter(F.split(joined, " "), lambda t: t != "")
+
+
+def blocks_of(docs: DataFrame, bounds: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """term, vault, n, keys, lens, tfs, positions and the range (`cut`) of the words of prepared documents, packed in the batch: nothing is gathered by a shuffle."""
+    kind = f"term string, vault string, n int, keys array<{docs.schema['key'].dataType.simpleString()}>, lens array<int>, tfs array<int>, positions array<int>, cut int"
+    return docs.select("vault", "key", "text", salt().alias("salt")).mapInArrow(_by_slices(lambda part: _blocks(part, bounds), PACK), kind)
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
-    """term, vault, key, len, tf, positions of each word of each prepared document: whole in the batch, so nothing is gathered by a shuffle."""
+    """term, vault, key, len, tf, positions of each word of each prepared document."""
     return docs.mapInArrow(_by_slices(_postings), f"term string, vault string, key {docs.schema['key'].dataType.simpleString()}, len int, tf int, positions array<int>")
 
 
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """term, vault, key, len, tf, positions of blocks."""
+    rows = blocks.select("term", "vault", "n", "keys", "lens", "tfs", "positions")
+    return rows.mapInArrow(_each(_unpacked), f"term string, vault string, key {rows.schema['keys'].dataType.elementType.simpleString()}, len int, tf int, positions array<int>")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Blocks of postings that lie sorted by term and vault in their partitions."""
+    kind = f"term string, vault string, n int, keys array<{rows.schema['key'].dataType.simpleString()}>, lens array<int>, tfs array<int>, positions array<int>"
+    return rows.select("term", "vault", "key", "len", "tf", "positions").mapInArrow(_each(_packed), kind)
+
+
+def bounds_of(docs: DataFrame, size: int, files: int) -> list[tuple[str, int]]:
+    """Where about equal ranges of (term, salt) part, by a sample of at most SAMPLE postings of about SAMPLE_DOCS documents."""
+    some = docs if size <= SAMPLE_DOCS else docs.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < (SAMPLE_DOCS << 20) // size)
+    rows = postings_of(some).select("term", salt().alias("salt"), F.xxhash64("term", "key").alias("draw"))
+    drawn = sorted((r["term"], r["salt"]) for r in rows.orderBy("draw").limit(SAMPLE).select("term", "salt").collect())
+    return sorted({drawn[len(drawn) * i // files] for i in range(1, files)}) if drawn else []
+
+
+def salt() -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")
+
+
 def slot(slots: int) -> Column:
     return F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int")
 
@@ -152,14 +259,17 @@ class View:
             found.setdefault(row["segment"], []).append(f"{self.path}/segments/{self.segments[row['segment']]['id']}/{of}/{row['file']}")
         return found
 
-    def _of(self, of: str, terms: Sequence[str] | None, prefixes: Sequence[str]) -> DataFrame:
+    def _of(self, of: str, terms: Sequence[str] | None, prefixes: Sequence[str], each: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """A table's rows of the words and prefixes, or all, with the segment's place; `each` is made of a segment's rows."""
         if terms is None:
-            return self.read(of)
-        test = F.col("term").isin(*terms) if terms else F.lit(False)
-        for p in prefixes:
-            test = test | F.col("term").startswith(p)
-        parts = [self.spark.read.parquet(*sorted(files)).withColumn("segment", F.lit(at)) for at, files in sorted(self._files(of, terms, prefixes).items())]
-        return reduce(DataFrame.unionByName, parts).filter(test) if parts else self.read(of).filter(F.lit(False))
+            parts = [(at, self._table(at, of)) for at in range(len(self.segments))]
+        else:
+            test = F.col("term").isin(*terms) if terms else F.lit(False)
+            for p in prefixes:
+                test = test | F.col("term").startswith(p)
+            found = sorted(self._files(of, terms, prefixes).items())
+            parts = [(at, self.spark.read.parquet(*sorted(files)).filter(test)) for at, files in found] or [(0, self._table(0, of).filter(F.lit(False)))]
+        return reduce(DataFrame.unionByName, [each(rows).withColumn("segment", F.lit(at)) for at, rows in parts])
 
     def _counting(self, rows: DataFrame, first: int = 0) -> DataFrame:
         """Rows (key, segment) that no later segment replaced."""
@@ -169,9 +279,10 @@ class View:
         gone = reduce(DataFrame.unionByName, later).groupBy("gone_key").agg(F.max("gone_at").alias("gone_at"))
         return rows.join(gone, (F.col("key") == F.col("gone_key")) & (F.col("segment") < F.col("gone_at")), "left_anti")
 
-    def live(self, terms: Sequence[str] | None = None, prefixes: Sequence[str] = ()) -> DataFrame:
-        """The postings that count: of all words, or of the given ones and those with the given prefixes."""
-        return self._counting(self._of("postings", terms, prefixes)).drop("segment")
+    def live(self, terms: Sequence[str] | None = None, prefixes: Sequence[str] = (), *, positions: bool = True) -> DataFrame:
+        """The postings that count, with or without positions: of all words, or of the given ones and those with the given prefixes."""
+        flat = lambda rows: rows.select("term", "vault", F.inline(F.arrays_zip("keys", "lens", "tfs")).alias("key", "len", "tf"))
+        return self._counting(self._of("postings", terms, prefixes, unpacked if positions else flat)).drop("segment")
 
     def dictionary(self, terms: Sequence[str] | None = None, prefixes: Sequence[str] = ()) -> DataFrame:
         """term, vault, df of the words that stand in a document."""
@@ -189,7 +300,7 @@ class View:
             wanted = [r[0] for r in keys.select(slot(slots).alias("s")).distinct().collect()] if slots > 1 else [0]  # one for each folder at most
             parts.append(self._table(at, "forward").filter(F.col("slot").isin(*wanted) if wanted else F.lit(False)).withColumn("segment", F.lit(at)))
         rows = reduce(DataFrame.unionByName, parts).join(keys, "key", "left_semi")
-        return self._counting(rows).select("key", "vault", "len", "terms")
+        return self._counting(rows).select("key", "vault", "len", split_terms("terms").alias("terms"))
 
     def bm25(self, query: Sequence[str], k: int | None, *, every: bool = False, keep: DataFrame | None = None) -> DataFrame:
         """vault, key, score of the documents with one of the words (`every`: all of them), each vault by its own statistics.
@@ -197,7 +308,7 @@ class View:
         `keep` (column key) filters what is returned, not the statistics. With `k` the best k of all, ties to the smaller key.
         """
         terms = sorted(set(query))
-        rows = self.live(terms).drop("positions")
+        rows = self.live(terms, positions=False)
         if keep is not None:
             rows = rows.join(keep.select("key"), "key", "left_semi")
         one = rows.join(F.broadcast(self.dictionary(terms)), ["term", "vault"]).join(F.broadcast(self.stats()), "vault")  # a row for each word and vault, for each vault
@@ -237,30 +348,31 @@ class Index:
         rows.write.parquet(path)
         return self.spark.read.parquet(path)
 
-    def _write_sorted(self, segment: str, postings: DataFrame, terms: DataFrame | None) -> None:
-        """postings and terms by ranges of terms, and what each of their files spans; terms are counted from the postings if not given."""
-        dealt = postings.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).repartitionByRange("term", "part")
-        written = self._write(segment, "postings", dealt.sortWithinPartitions("term", "vault", "key").drop("part"))
+    def _write_sorted(self, segment: str, blocks: DataFrame, terms: DataFrame | None) -> None:
+        """postings, which lie by ranges of terms and sorted, terms, and what each of their files spans; terms are counted from the postings if not given."""
+        written = self._write(segment, "postings", blocks)
         # Counted for each file at once: the rows are sorted, so what is left is about the dictionary.
-        counted = lambda rows: rows.groupBy(F.col("_metadata.file_name").alias("file"), "term", "vault").agg(F.count("*").alias("df"))
-        held = self._write(segment, "held", counted(written))
+        counted = lambda rows, n: rows.groupBy(F.col("_metadata.file_name").alias("file"), "term", "vault").agg(F.sum(n).alias("df"))
+        held = self._write(segment, "held", counted(written, F.col("n")))
         if terms is None:
             terms = held.groupBy("term", "vault").agg(F.sum("df").alias("df"))
         known = self._write(segment, "terms", terms.repartitionByRange("term").sortWithinPartitions("term", "vault"))
-        spans = [rows.groupBy("file").agg(F.min("term").alias("low"), F.max("term").alias("high")).withColumn("of", F.lit(of)) for of, rows in (("postings", held), ("terms", counted(known)))]
+        spans = [rows.groupBy("file").agg(F.min("term").alias("low"), F.max("term").alias("high")).withColumn("of", F.lit(of)) for of, rows in (("postings", held), ("terms", counted(known, F.lit(1))))]
         self._write(segment, "ranges", spans[0].unionByName(spans[1]).coalesce(1))
         self._drop(segment, "held")
 
     def _write_forward(self, segment: str, rows: DataFrame, docs: int) -> int:
         slots = max(1, -(-docs // SLOT_DOCS))
-        rows.withColumn("slot", slot(slots)).repartition("slot").sortWithinPartitions("slot", "key").write.partitionBy("slot").parquet(f"{self.path}/segments/{segment}/forward")
+        rows.withColumn("slot", slot(slots)).repartition("slot", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SPREAD))).sortWithinPartitions("slot", "key").write.partitionBy("slot").parquet(f"{self.path}/segments/{segment}/forward")
         if not docs:  # an empty table by folders has no schema to read
             rows.withColumn("slot", F.lit(0)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/segments/{segment}/forward")
         return slots
 
     def _add(self, base: View, docs: DataFrame, gone: DataFrame | None, source: str | None = None, batch: int | None = None, noted: dict[str, Any] | None = None) -> None:
         """A segment of prepared documents, which replaces the keys of `gone`, after those of `base`."""
-        segment, size = uuid.uuid4().hex, docs.count()
+        segment = uuid.uuid4().hex
+        docs = self._write(segment, "texts", docs)  # read several times
+        size, text = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         slots = self._write_forward(segment, forward_of(docs).select("key", "vault", "len", "terms"), size)
         forward = self.spark.read.parquet(f"{self.path}/segments/{segment}/forward")
         stats = forward.groupBy("vault").agg(F.count("*").alias("n"), F.sum("len").alias("words"))
@@ -272,9 +384,11 @@ class Index:
             fewer = held.groupBy("vault").agg((-F.count("*")).alias("n"), (-F.sum("len")).alias("words"))
             stats = stats.unionByName(fewer).groupBy("vault").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
             count = lambda rows, sign: rows.select("vault", F.explode("terms").alias("term")).groupBy("term", "vault").agg((sign * F.count("*")).alias("df"))
-            terms = count(forward, 1).unionByName(count(held, -1)).groupBy("term", "vault").agg(F.sum("df").alias("df")).filter("df <> 0")
+            terms = count(forward.withColumn("terms", split_terms("terms")), 1).unionByName(count(held, -1)).groupBy("term", "vault").agg(F.sum("df").alias("df")).filter("df <> 0")
         self._write(segment, "stats", stats.coalesce(1))
-        self._write_sorted(segment, postings_of(docs), terms)
+        bounds = bounds_of(docs, size, max(self.spark.sparkContext.defaultParallelism, -(-text // FILE_TEXT)))
+        self._write_sorted(segment, blocks_of(docs, bounds).repartitionById(len(bounds) + 1, F.col("cut")).sortWithinPartitions("term", "vault").drop("cut"), terms)
+        self._drop(segment, "texts")
         content = dict(base.content, segments=[*base.segments, {"id": segment, "docs": size, "slots": slots}], **(noted or {}))
         self._commit(base, content, [segment], source, batch)
 
@@ -329,7 +443,8 @@ class Index:
         rows = among._counting(among.read("forward")).select("key", "vault", "len", "terms")
         docs = rows.count()
         slots = self._write_forward(segment, rows, docs)
-        self._write_sorted(segment, among.live(), sums("terms", ["term", "vault"], "df").filter("df <> 0"))
+        dealt = among.live().withColumn("part", salt()).repartitionByRange("term", "part").sortWithinPartitions("term", "vault", "key")
+        self._write_sorted(segment, packed(dealt), sums("terms", ["term", "vault"], "df").filter("df <> 0"))
         content = dict(base.content, segments=[*base.segments[:first], {"id": segment, "docs": docs, "slots": slots}])
         self._commit(base, content, [segment])
         return True

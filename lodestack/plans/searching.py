@@ -36,7 +36,8 @@ def index_of(spark: SparkSession, sf: str, kind: str = "plain") -> postings.Inde
         if kind == "plain":
             _BUILT[key] = postings.build(table(spark, sf, "documents"), scratch(spark, "index"), "doc_id", "text")
         else:
-            _BUILT[key] = postings.build(chunks(spark, sf).select("chunk", "text", "vault"), scratch(spark, "index"), "chunk", "text", "vault")
+            named = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), "text", F.coalesce("lang", F.lit("none")).alias("vault"))  # as `chunks`, without the vectors
+            _BUILT[key] = postings.build(named, scratch(spark, "index"), "chunk", "text", "vault")
     return _BUILT[key]
 
 

@@ -161,3 +161,29 @@ def test_slices_of_any_size_give_the_same_postings(spark, monkeypatch, size):
     assert sorted((r["key"], r["term"], r["len"], *r["positions"]) for r in made) == [(1, "fox", 2, 1), (1, "red", 2, 0), (3, "a", 3, 0, 1), (3, "b", 3, 2), (4, "fox", 1, 0)]
     told = [(r["key"], r["len"], r["terms"]) for part in postings._by_slices(postings._forward)(iter([batch])) for r in part.to_pylist()]
     assert told == [(0, 0, []), (1, 2, ["fox", "red"]), (2, 0, []), (3, 3, ["a", "b"]), (4, 1, ["fox"])]
+
+
+def test_postings_are_packed_into_blocks_by_word_and_range(spark, tmp_path):
+    pa = pytest.importorskip("pyarrow")
+    docs = [(k, v, f"common w{k % 3}" + " common" * (k % 2), k * 7 % 4) for k, v in enumerate([None, "a", "b"] * 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d[1] for d in docs]), pa.array([d[0] for d in docs]), pa.array([d[2] for d in docs]), pa.array([d[3] for d in docs])], names=["vault", "key", "text", "salt"])
+    told = lambda part: sorted((r["term"], r["vault"] or "", r["key"], r["len"], r["tf"], r["positions"]) for r in part.to_pylist())
+    plain = postings._postings(batch.select(["vault", "key", "text"]))
+    bounds = [("common", 1), ("common", 3), ("w1", 0), ("w1x", 2)]
+    blocks = postings._blocks(batch, bounds)
+    assert told(postings._unpacked(blocks)) == told(plain) and blocks.num_rows < plain.num_rows // 4
+    salts = {d[0]: d[3] for d in docs}
+    for r in blocks.to_pylist():  # a posting's range depends on its word and document alone
+        assert {sum(b <= (r["term"], salts[k]) for b in bounds) for k in r["keys"]} == {r["cut"]}
+    again = postings._packed(plain.take(pa.compute.sort_indices(plain, [("term", "ascending"), ("vault", "ascending")])))
+    assert told(postings._unpacked(again)) == told(plain)
+    # A stored frequent word has far fewer rows than documents, and the words of the documents lie in several files of one folder.
+    rows = spark.createDataFrame([(i, f"common w{i}") for i in range(2000)], "id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = postings.build(rows, str(tmp_path / "i"), "id", "text")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    view = index.view()
+    assert view._of("postings", ["common"], []).count() < 100 and view.live(["common"], positions=False).count() == 2000
+    assert len(view.read("forward").inputFiles()) > 1 and not any(s.getPath().getName() == "texts" for s in index.manifest.fs.listStatus(index.manifest._path(f"{index.path}/segments/{view.segments[0]['id']}")))
