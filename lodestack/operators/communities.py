@@ -1,7 +1,7 @@
 """Communities of an undirected graph by modularity: Louvain's levels, each of rounds of simultaneous moves, as joins and aggregations.
 
-A round weighs each node's links to the clusters of its neighbours by one aggregation over (node, cluster), joins the clusters' total
-degrees, and takes each node's best move. Half of the nodes at most, by a hash of node and round, move in one round, fewer where many want
+A round joins the clusters' total degrees to the nodes, sends each node's cluster with its total along the links, weighs them by one
+aggregation over (node, cluster), and takes each node's best move; links know the degree of their node, so nothing else is joined to them. Half of the nodes at most, by a hash of node and round, move in one round, fewer where many want
 to join one cluster, and of two single nodes the smaller waits for the larger, so neighbours don't swap places for ever. A level ends when hardly
 a node gains by moving, or after `most_rounds`; then a join contracts clusters to nodes. Once a level moves nothing, the clusters are settled on
 the nodes themselves by further rounds, since what was contracted early may lie better elsewhere (`modularity` counts nodes that still gain).
@@ -34,19 +34,29 @@ def degrees(links: DataFrame) -> DataFrame:
     return k.join(k.groupBy("g").agg(F.sum("k").alias("m2")), "g")
 
 
-def weighed(links: DataFrame, place: DataFrame) -> DataFrame:
-    """For each node (g, node, k, m2, c) its cluster, what staying is worth, and the best move: stay, best (value, to, and whether it waits for the other to come)."""
-    totals = place.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
-    own = place.join(totals, ["g", "c"]).select("g", "node", "k", "m2", F.col("c").alias("own"), F.col("tot").alias("own_tot"), F.col("size").alias("own_size"))
-    linked = links.filter("a <> b").join(place.select("g", F.col("node").alias("b"), "c"), ["g", "b"]).select("g", F.col("a").alias("node"), "c", "w")
+def ready(links: DataFrame, place: DataFrame) -> DataFrame:
+    """The links between different nodes, with the degree and the sum of degrees (k, m2) of the node a: the same in all rounds of a level."""
+    return links.filter("a <> b").join(place.select("g", F.col("node").alias("a"), "k", "m2"), ["g", "a"])
+
+
+def totalled(place: DataFrame) -> DataFrame:
+    """The places with their clusters' total degrees and sizes (tot, size)."""
+    return place.join(place.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.count("*").alias("size")), ["g", "c"])
+
+
+def weighed(links: DataFrame, known: DataFrame) -> DataFrame:
+    """For each node (g, node, k, m2, own) of the totalled places, whose links are ready, what staying is worth, and the best move: stay, best (value, minus the cluster, and whether it waits for the other to come)."""
+    linked = links.join(known.select("g", F.col("node").alias("b"), "c", "tot", "size"), ["g", "b"]).select("g", F.col("a").alias("node"), "c", "w", "k", "m2", "tot", "size", F.lit(False).alias("here"))
     # A row of weight 0 for a node's own cluster, so that nodes without links keep a row.
-    near = linked.unionByName(place.select("g", "node", "c", F.lit(0.0).alias("w"))).groupBy("g", "node", "c").agg(F.sum("w").alias("w"))
-    each = near.join(own, ["g", "node"]).join(totals, ["g", "c"])
-    here = F.col("c") == F.col("own")
-    value = F.col("w") - F.col("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)) / F.col("m2")
-    waits = (F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("c") > F.col("own"))
+    rows = linked.unionByName(known.select("g", "node", "c", F.lit(0.0).alias("w"), "k", "m2", "tot", "size", F.lit(True).alias("here")))
+    each = rows.groupBy("g", "node", "c").agg(F.sum("w").alias("w"), *[F.max(name).alias(name) for name in ("k", "m2", "tot", "size", "here")])
+    value = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("here"), F.col("k")).otherwise(0.0)) / F.col("m2")
     steps = F.round(value / STEP).cast("long")
-    return each.groupBy("g", "node", "k", "m2", "own").agg(F.max(F.when(here, steps)).alias("stay"), F.max(F.when(~here, F.struct(steps.alias("value"), (-F.col("c")).alias("minus"), waits.alias("waits")))).alias("best"))
+    own = F.when(F.col("here"), F.struct(F.col("c").alias("own"), "size", steps.alias("stay")))
+    other = F.when(~F.col("here"), F.struct(steps.alias("value"), (-F.col("c")).alias("minus"), "size"))
+    per = each.groupBy("g", "node").agg(F.max("k").alias("k"), F.max("m2").alias("m2"), F.max(own).alias("o"), F.max(other).alias("x"))
+    waits = (F.col("o.size") == 1) & (F.col("x.size") == 1) & (-F.col("x.minus") > F.col("o.own"))
+    return per.select("g", "node", "k", "m2", "o.own", "o.stay", F.when(F.col("x").isNotNull(), F.struct("x.value", "x.minus", waits.alias("waits"))).alias("best"))
 
 
 def decided(each: DataFrame, turn: int) -> DataFrame:
@@ -66,8 +76,10 @@ def decided(each: DataFrame, turn: int) -> DataFrame:
 def rounds(links: DataFrame, place: DataFrame, first: int, most: int, rest: float) -> tuple[DataFrame, int]:
     """Rounds until at most the share `rest` of the nodes wants to move; the places and how many rounds it took."""
     wants = F.coalesce(F.col("best.value") > F.col("stay") + 1, F.lit(False))
+    links = stored(ready(links, place), "louvain")
     for turn in range(most):
-        each = stored(weighed(links, place).withColumn("wants", wants), "louvain")
+        known = stored(totalled(place), "louvain")
+        each = stored(weighed(links, known).withColumn("wants", wants), "louvain")
         n, wanting = each.agg(F.count("*"), F.count_if("wants")).first()
         if wanting <= rest * n:
             return each.select("g", "node", "k", "m2", F.col("own").alias("c")), turn
@@ -103,13 +115,13 @@ def louvain(edges: DataFrame, group: str | None = None, *, most_levels: int = 12
 
 def modularity(edges: DataFrame, clusters: DataFrame, group: str | None = None) -> DataFrame:
     """g, nodes, edges, clusters, modularity, gainers of a partition (node, cluster): gainers are the nodes that would gain by moving alone."""
-    links = both_ways(edges, group)
+    links = stored(both_ways(edges, group), "louvain")
     g = F.col(group) if group else F.lit(0)
-    place = degrees(links).join(clusters.select(g.alias("g"), "node", F.col("cluster").alias("c")), ["g", "node"])
+    place = stored(degrees(links).join(clusters.select(g.alias("g"), "node", F.col("cluster").alias("c")), ["g", "node"]), "louvain")
     end = lambda side: place.select("g", F.col("node").alias(side), F.col("c").alias(f"{side}_c"))
     inner = links.join(end("a"), ["g", "a"]).join(end("b"), ["g", "b"]).filter("a_c = b_c").groupBy("g", F.col("a_c").alias("c")).agg(F.sum("w").alias("w"))
     per = place.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.max("m2").alias("m2"), F.count("*").alias("size")).join(inner, ["g", "c"], "left")
     part: Column = F.coalesce("w", F.lit(0.0)) / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), 2)
     sums = per.groupBy("g").agg(F.sum("size").alias("nodes"), (F.max("m2") / 2).cast("long").alias("edges"), F.count("*").alias("clusters"), F.round(F.sum(part), 6).alias("modularity"))
-    gain = weighed(links, place).groupBy("g").agg(F.count_if(F.col("best.value") > F.col("stay") + 1).alias("gainers"))
+    gain = weighed(ready(links, place), totalled(place)).groupBy("g").agg(F.count_if(F.col("best.value") > F.col("stay") + 1).alias("gainers"))
     return sums.join(gain, "g")

@@ -90,3 +90,15 @@ def test_clusters_from_a_query_or_from_seeds(spark):
             edges.seeds_of(asked="x", search=search, **wrong)
     with pytest.raises(ValueError, match="nodes"):
         edges.cluster(links, spark.createDataFrame([(1,)], "seed long"), limit=2)
+
+
+def test_a_round_joins_links_once(spark):
+    rows = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 3, 1), ("g", 3, 4)], LINK)
+    links = communities.both_ways(rows, "g").localCheckpoint()
+    place = communities.degrees(links).withColumn("c", F.when(F.col("node") < 3, 1).otherwise(F.col("node"))).localCheckpoint()
+    known, linked = communities.totalled(place).localCheckpoint(), communities.ready(links, place).localCheckpoint()
+    each = communities.weighed(linked, known)
+    got = {r["node"]: (r["own"], round(r["stay"] * communities.STEP, 6), round(r["best"]["value"] * communities.STEP, 6), -r["best"]["minus"], r["best"]["waits"]) for r in each.collect()}
+    # m2 = 8, degrees 2, 2, 3, 1; clusters {1, 2}, {3}, {4}
+    assert got == {1: (1, 0.5, 0.25, 3, False), 2: (1, 0.5, 0.25, 3, False), 3: (3, 0.0, 0.625, 4, True), 4: (4, 0.0, 0.625, 3, False)}
+    assert each._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
