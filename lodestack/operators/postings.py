@@ -2,12 +2,13 @@
 
 A segment has these tables, all Parquet:
 
-- `postings` (term, vault, n, keys, lens, tfs, positions): a row is a block, a word's postings in some n documents of a vault, their
-  positions one after the other. Blocks are dealt out by ranges of (term, hash of the key) and sorted, so that a frequent word
+- `postings` (term, vault, n, places, keys, lens, tfs, positions): a row is a block, a word's postings in some n documents of a vault,
+  their positions (so many as places) one after the other; lens, tfs and positions are numbers of 1, 2 or 4 bytes each. Blocks are dealt out by ranges of (term, hash of the key) and sorted, so that a frequent word
   fills several files and a rare one shares its own; how many there are follows from the bytes. Where ranges part is told by a sample
   of the postings, which decides on sizes of files only;
 - `terms` (term, vault, df), the dictionary, sorted by term: differences, which add up over the segments;
-- `forward` (key, vault, len, terms, joined by spaces), in folders by a hash of the key: what a document's words were when it was indexed;
+- `forward` (key, vault, text), in folders by a hash of the key: what a document was when it was indexed. Texts are
+  dealt out and written once; all else of the segment is made of this table;
 - `stats` (vault, n, words), differences as well; `gone` (key): whose rows in earlier segments no longer count;
 - `ranges` (of, file, low, high): the terms that each file of `postings` and `terms` spans. A search opens only files that its words
   or prefixes fall into, and within these only row groups whose statistics hold them.
@@ -46,31 +47,49 @@ SLICE = 1 << 21
 FILE_TEXT, SAMPLE_DOCS, SAMPLE = 1 << 25, 2_000, 20_000
 #: Fixed value: slices whose postings are packed into blocks together.
 PACK = 4
+#: Fixed value: parts that a segment's documents are read in.
+WAVES = 8
+#: Lower-case letters and digits by byte, 0 for what divides words; and the other signs whose lower case has an ASCII letter.
+LETTERS = np.array([ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 0 for b in range(256)], np.uint8)
+FOREIGN = {"\u212a": "k", "\u0130": "i\u0307"}
+#: The kinds of numbers in a block's lists, and what a block has beside its term and vault.
+KINDS = [np.dtype(k) for k in ("<u1", "<u2", "<i4")]
+LISTS = ("n", "places", "keys", "lens", "tfs", "positions")
+
+
+def _in_order(numbers: np.ndarray) -> np.ndarray:
+    """Places of small whole numbers in ascending order, equal ones as they stand: a sort of plain numbers is quicker than a stable argsort."""
+    return np.sort((numbers.astype(np.int64) << 32) | np.arange(len(numbers))) & 0xFFFFFFFF
 
 
 def spotted(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each lower-case text (none null), as `retrieval.words` tells them: how many, the distinct ones of all texts in order, and
+    """Words of each text (none null), as `retrieval.words` tells them: how many, the distinct ones of all texts in order, and
     for every place in turn the word's number, the text's, and which word of the text it is."""
+    for sign, low in FOREIGN.items():
+        if pc.any(pc.match_substring(texts, sign)).as_py():
+            texts = pc.replace_substring(texts, sign, low)
     raw = texts.cast(pa.large_string())
     bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    data = LETTERS[np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]]
     bounds = bounds - bounds[0]
     # A word starts at a letter or digit behind another sign, and at the head of a text; bytes of other alphabets divide.
-    inside = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
-    first = inside.copy()
+    inside = data != 0
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
     heads = bounds[:-1][bounds[:-1] < len(data)]
     first[heads] = inside[heads]
+    heads = heads[heads > 0]
+    last[heads - 1] = inside[heads - 1]
     starts = np.flatnonzero(first)
-    letters = data[inside]
-    offsets = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
-    coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    offsets = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    owner = np.searchsorted(bounds, starts, side="right") - 1
-    sizes = np.bincount(owner, minlength=len(raw))
-    place = (np.arange(len(starts)) - (np.cumsum(sizes) - sizes)[owner]).astype(np.int32)
+    sizes = np.diff(np.searchsorted(starts, bounds))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = (np.arange(len(starts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
     return sizes.astype(np.int32), coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)], owner, place
 
 
@@ -83,11 +102,6 @@ def _forward(part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), terms.take(pa.array(term)))], names=["vault", "key", "len", "terms"])
 
 
-def _joined(part: pa.RecordBatch) -> pa.RecordBatch:
-    """`_forward` with the terms as one text."""
-    return pa.RecordBatch.from_arrays([*part.columns[:3], pc.binary_join(part.column(3), " ")], names=part.schema.names)
-
-
 def _cuts(terms: pa.Array, term: np.ndarray, salt: np.ndarray, bounds: Sequence[tuple[str, int]]) -> np.ndarray:
     """For postings in the order of their terms, of which `term` is the number: how many of the sorted bounds aren't above (term, salt)."""
     words = sorted({t for t, _ in bounds})
@@ -103,7 +117,7 @@ def _cuts(terms: pa.Array, term: np.ndarray, salt: np.ndarray, bounds: Sequence[
 
 
 def _blocks(part: pa.RecordBatch, bounds: Sequence[tuple[str, int]] = ()) -> pa.RecordBatch:
-    """term, vault, n, keys, lens, tfs, positions, cut of (vault, key, text, salt): a row for each word, vault and range, sorted by term.
+    """term, vault, n, places, keys, lens, tfs, positions, cut of (vault, key, text, salt): a row for each word, vault and range, sorted by term.
 
     A posting's range depends on its word and key alone, not on what else is in the batch.
     """
@@ -113,7 +127,7 @@ def _blocks(part: pa.RecordBatch, bounds: Sequence[tuple[str, int]] = ()) -> pa.
     salt, vault, part = salt[docs], vault[docs], part.take(pa.array(docs))
     sizes, terms, which, owner, place = spotted(part.column(2))
     pairs = which * max(1, len(sizes)) + owner
-    order = np.argsort(pairs, kind="stable")
+    order = _in_order(which)  # texts are in turn already
     ordered = pairs[order]
     group = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
     term, row = np.divmod(ordered[group], max(1, len(sizes)))
@@ -122,25 +136,45 @@ def _blocks(part: pa.RecordBatch, bounds: Sequence[tuple[str, int]] = ()) -> pa.
     heads = np.flatnonzero(np.append(True, fresh)[: len(term)])
     return pa.RecordBatch.from_arrays(
         [terms.take(pa.array(term[heads])), part.column(0).take(pa.array(row[heads])), *_lists(heads, part.column(1).take(pa.array(row)), sizes[row], np.diff(np.append(group, len(order))), place[order]), pa.array(cut[heads])],
-        names=["term", "vault", "n", "keys", "lens", "tfs", "positions", "cut"],
+        names=["term", "vault", *LISTS, "cut"],
     )
 
 
 def _lists(heads: np.ndarray, keys: pa.Array, lens: np.ndarray, tfs: np.ndarray, places: np.ndarray) -> list[pa.Array]:
-    """n, keys, lens, tfs, positions of the blocks that start at the heads."""
-    ends = np.append(heads, len(keys)).astype(np.int32)
-    inner = np.append(0, np.cumsum(tfs))[ends].astype(np.int32)
-    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
-    return [pa.array(np.diff(ends)), lists(ends, keys), lists(ends, lens), lists(ends, tfs), lists(inner, places)]
+    """n, places, keys, lens, tfs, positions of the blocks that start at the heads."""
+    ends = np.append(heads, len(keys))
+    inner = np.append(0, np.cumsum(tfs))[ends]
+    return [pa.array(np.diff(ends).astype(np.int32)), pa.array(np.diff(inner).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), keys), _narrow(ends, lens), _narrow(ends, tfs), _narrow(inner, places)]
+
+
+def _narrow(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary for each list that ends there: its numbers (none below 0) in the narrowest kind that holds all; `_wide` tells the kind by the bytes."""
+    kind = next(k for k in KINDS if k.itemsize == 4 or values.max(initial=0) >> 8 * k.itemsize == 0)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(values.astype(kind))])
+
+
+def _wide(lists: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """The numbers of lists of so many each, one after the other."""
+    raw = lists.cast(pa.large_binary())
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    out = np.empty(counts.sum(), np.int32)
+    for kind in KINDS:
+        own = np.diff(bounds) == counts * kind.itemsize
+        out[np.repeat(own, counts)] = data[np.repeat(own, np.diff(bounds))].view(kind)
+    return out
 
 
 def _unpacked(part: pa.RecordBatch) -> pa.RecordBatch:
-    """term, vault, key, len, tf, positions of blocks."""
+    """term, vault, key, len, tf, and positions if they are there, of blocks."""
     column = dict(zip(part.schema.names, part.columns, strict=True))
-    at, tfs = pa.array(np.repeat(np.arange(part.num_rows), column["n"].to_numpy())), column["tfs"].flatten()
-    ends = np.append(0, np.cumsum(tfs.to_numpy())).astype(np.int32)
-    columns = [column["term"].take(at), column["vault"].take(at), column["keys"].flatten(), column["lens"].flatten(), tfs, pa.ListArray.from_arrays(pa.array(ends), column["positions"].flatten())]
-    return pa.RecordBatch.from_arrays(columns, names=["term", "vault", "key", "len", "tf", "positions"])
+    n = column["n"].to_numpy()
+    at, tfs = pa.array(np.repeat(np.arange(part.num_rows), n)), _wide(column["tfs"], n)
+    columns = [column["term"].take(at), column["vault"].take(at), column["keys"].flatten(), pa.array(_wide(column["lens"], n)), pa.array(tfs)]
+    if "positions" in column:
+        ends = np.append(0, np.cumsum(tfs)).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(_wide(column["positions"], column["places"].to_numpy()))))
+    return pa.RecordBatch.from_arrays(columns, names=["term", "vault", "key", "len", "tf", "positions"][: len(columns)])
 
 
 def _packed(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -150,7 +184,7 @@ def _packed(part: pa.RecordBatch) -> pa.RecordBatch:
     heads = np.flatnonzero(np.append(True, (np.diff(codes[0]) != 0) | (np.diff(codes[1]) != 0))[: part.num_rows])
     at = pa.array(heads)
     lists = _lists(heads, column["key"], column["len"].to_numpy(), column["tf"].to_numpy(), column["positions"].flatten().to_numpy())
-    return pa.RecordBatch.from_arrays([column["term"].take(at), column["vault"].take(at), *lists], names=["term", "vault", "n", "keys", "lens", "tfs", "positions"])
+    return pa.RecordBatch.from_arrays([column["term"].take(at), column["vault"].take(at), *lists], names=["term", "vault", *LISTS])
 
 
 def _postings(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -178,43 +212,49 @@ def _by_slices(run: Callable[[pa.RecordBatch], pa.RecordBatch], slices: int = 1)
     return each
 
 
-def prepared(docs: DataFrame, key: str, text: str, vault: str | None) -> DataFrame:
-    """vault, key, text (lower-case; a null text has no words), dealt out by key, since a table may be one file of one row group."""
+def told(docs: DataFrame, key: str, text: str, vault: str | None) -> DataFrame:
+    """vault, key, text (a null text has no words)."""
     name = F.col(vault).cast("string") if vault else F.lit("")
     ship(docs.sparkSession)
-    return docs.select(name.alias("vault"), F.col(key).alias("key"), F.coalesce(F.lower(text), F.lit("")).alias("text")).repartition("key")
+    return docs.select(name.alias("vault"), F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def prepared(docs: DataFrame, key: str, text: str, vault: str | None) -> DataFrame:
+    """`told`, dealt out by key, since a table may be one file of one row group."""
+    return told(docs, key, text, vault).repartition("key")
 
 
 def forward_of(docs: DataFrame) -> DataFrame:
-    """vault, key, len, terms (joined) of each prepared document."""
-    return docs.mapInArrow(_by_slices(lambda part: _joined(_forward(part))), f"vault string, key {docs.schema['key'].dataType.simpleString()}, len int, terms string")
+    """vault, key, len, terms of each prepared document."""
+    return docs.select("vault", "key", "text").mapInArrow(_by_slices(_forward), f"vault string, key {docs.schema['key'].dataType.simpleString()}, len int, terms array<string>")
 
 
-def split_terms(joined: Column | str) -> Column:
-    return F.filter(F.split(joined, " "), lambda t: t != "")
+def block_kind(key: str) -> str:
+    """The schema of blocks by the key's type."""
+    return f"term string, vault string, n int, places int, keys array<{key}>, lens binary, tfs binary, positions binary"
 
 
 def blocks_of(docs: DataFrame, bounds: Sequence[tuple[str, int]] = ()) -> DataFrame:
-    """term, vault, n, keys, lens, tfs, positions and the range (`cut`) of the words of prepared documents, packed in the batch: nothing is gathered by a shuffle."""
-    kind = f"term string, vault string, n int, keys array<{docs.schema['key'].dataType.simpleString()}>, lens array<int>, tfs array<int>, positions array<int>, cut int"
+    """Blocks and the range (`cut`) of the words of prepared documents, packed in the batch: nothing is gathered by a shuffle."""
+    kind = f"{block_kind(docs.schema['key'].dataType.simpleString())}, cut int"
     return docs.select("vault", "key", "text", salt().alias("salt")).mapInArrow(_by_slices(lambda part: _blocks(part, bounds), PACK), kind)
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
     """term, vault, key, len, tf, positions of each word of each prepared document."""
-    return docs.mapInArrow(_by_slices(_postings), f"term string, vault string, key {docs.schema['key'].dataType.simpleString()}, len int, tf int, positions array<int>")
+    return docs.select("vault", "key", "text").mapInArrow(_by_slices(_postings), f"term string, vault string, key {docs.schema['key'].dataType.simpleString()}, len int, tf int, positions array<int>")
 
 
-def unpacked(blocks: DataFrame) -> DataFrame:
-    """term, vault, key, len, tf, positions of blocks."""
-    rows = blocks.select("term", "vault", "n", "keys", "lens", "tfs", "positions")
-    return rows.mapInArrow(_each(_unpacked), f"term string, vault string, key {rows.schema['keys'].dataType.elementType.simpleString()}, len int, tf int, positions array<int>")
+def unpacked(blocks: DataFrame, positions: bool = True) -> DataFrame:
+    """term, vault, key, len, tf and, if wanted, positions of blocks."""
+    rows = blocks.select("term", "vault", "n", "keys", "lens", "tfs", *(["places", "positions"] if positions else []))
+    kind = f"term string, vault string, key {rows.schema['keys'].dataType.elementType.simpleString()}, len int, tf int"
+    return rows.mapInArrow(_each(_unpacked), f"{kind}, positions array<int>" if positions else kind)
 
 
 def packed(rows: DataFrame) -> DataFrame:
     """Blocks of postings that lie sorted by term and vault in their partitions."""
-    kind = f"term string, vault string, n int, keys array<{rows.schema['key'].dataType.simpleString()}>, lens array<int>, tfs array<int>, positions array<int>"
-    return rows.select("term", "vault", "key", "len", "tf", "positions").mapInArrow(_each(_packed), kind)
+    return rows.select("term", "vault", "key", "len", "tf", "positions").mapInArrow(_each(_packed), block_kind(rows.schema["key"].dataType.simpleString()))
 
 
 def bounds_of(docs: DataFrame, size: int, files: int) -> list[tuple[str, int]]:
@@ -281,8 +321,7 @@ class View:
 
     def live(self, terms: Sequence[str] | None = None, prefixes: Sequence[str] = (), *, positions: bool = True) -> DataFrame:
         """The postings that count, with or without positions: of all words, or of the given ones and those with the given prefixes."""
-        flat = lambda rows: rows.select("term", "vault", F.inline(F.arrays_zip("keys", "lens", "tfs")).alias("key", "len", "tf"))
-        return self._counting(self._of("postings", terms, prefixes, unpacked if positions else flat)).drop("segment")
+        return self._counting(self._of("postings", terms, prefixes, lambda rows: unpacked(rows, positions))).drop("segment")
 
     def dictionary(self, terms: Sequence[str] | None = None, prefixes: Sequence[str] = ()) -> DataFrame:
         """term, vault, df of the words that stand in a document."""
@@ -300,7 +339,7 @@ class View:
             wanted = [r[0] for r in keys.select(slot(slots).alias("s")).distinct().collect()] if slots > 1 else [0]  # one for each folder at most
             parts.append(self._table(at, "forward").filter(F.col("slot").isin(*wanted) if wanted else F.lit(False)).withColumn("segment", F.lit(at)))
         rows = reduce(DataFrame.unionByName, parts).join(keys, "key", "left_semi")
-        return self._counting(rows).select("key", "vault", "len", split_terms("terms").alias("terms"))
+        return forward_of(self._counting(rows)).select("key", "vault", "len", "terms")
 
     def bm25(self, query: Sequence[str], k: int | None, *, every: bool = False, keep: DataFrame | None = None) -> DataFrame:
         """vault, key, score of the documents with one of the words (`every`: all of them), each vault by its own statistics.
@@ -348,47 +387,56 @@ class Index:
         rows.write.parquet(path)
         return self.spark.read.parquet(path)
 
-    def _write_sorted(self, segment: str, blocks: DataFrame, terms: DataFrame | None) -> None:
-        """postings, which lie by ranges of terms and sorted, terms, and what each of their files spans; terms are counted from the postings if not given."""
+    def _write_sorted(self, segment: str, blocks: DataFrame, terms: DataFrame | None, fewer: DataFrame | None = None) -> DataFrame:
+        """postings, which lie by ranges of terms and sorted, terms, and what each of their files spans; terms not given are counted from the
+        postings, less those of `fewer` (df below 0). Gives vault, words of the postings, from the table `held`, which the caller drops."""
         written = self._write(segment, "postings", blocks)
         # Counted for each file at once: the rows are sorted, so what is left is about the dictionary.
-        counted = lambda rows, n: rows.groupBy(F.col("_metadata.file_name").alias("file"), "term", "vault").agg(F.sum(n).alias("df"))
-        held = self._write(segment, "held", counted(written, F.col("n")))
+        held = self._write(segment, "held", written.groupBy(F.col("_metadata.file_name").alias("file"), "term", "vault").agg(F.sum("n").alias("df"), F.sum("places").alias("words")))
         if terms is None:
-            terms = held.groupBy("term", "vault").agg(F.sum("df").alias("df"))
+            counts = held.select("term", "vault", "df")
+            terms = (counts if fewer is None else counts.unionByName(fewer)).groupBy("term", "vault").agg(F.sum("df").alias("df")).filter("df <> 0")
         known = self._write(segment, "terms", terms.repartitionByRange("term").sortWithinPartitions("term", "vault"))
-        spans = [rows.groupBy("file").agg(F.min("term").alias("low"), F.max("term").alias("high")).withColumn("of", F.lit(of)) for of, rows in (("postings", held), ("terms", counted(known, F.lit(1))))]
+        spans = [rows.groupBy(name.alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high")).withColumn("of", F.lit(of)) for of, rows, name in (("postings", held, F.col("file")), ("terms", known, F.col("_metadata.file_name")))]
         self._write(segment, "ranges", spans[0].unionByName(spans[1]).coalesce(1))
-        self._drop(segment, "held")
+        return held.groupBy("vault").agg(F.sum("words").alias("words"))
 
     def _write_forward(self, segment: str, rows: DataFrame, docs: int) -> int:
+        """forward, in folders for about so many documents; how many folders."""
         slots = max(1, -(-docs // SLOT_DOCS))
         rows.withColumn("slot", slot(slots)).repartition("slot", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SPREAD))).sortWithinPartitions("slot", "key").write.partitionBy("slot").parquet(f"{self.path}/segments/{segment}/forward")
         if not docs:  # an empty table by folders has no schema to read
             rows.withColumn("slot", F.lit(0)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/segments/{segment}/forward")
         return slots
 
+    def _dealt(self, segment: str) -> DataFrame:
+        """The table forward, read in up to WAVES parts, which gives each core some tasks: one more task than cores would double the time."""
+        path = f"{self.path}/segments/{segment}/forward"
+        folders = sorted(s.getPath().getName() for s in self.manifest.fs.listStatus(self.manifest._path(path)) if s.isDirectory())
+        read = self.spark.read.option("basePath", path)
+        parts = [read.parquet(*[f"{path}/{f}" for f in folders[at::WAVES]]) for at in range(min(WAVES, len(folders)))]
+        return reduce(DataFrame.unionByName, parts) if parts else read.parquet(path)
+
     def _add(self, base: View, docs: DataFrame, gone: DataFrame | None, source: str | None = None, batch: int | None = None, noted: dict[str, Any] | None = None) -> None:
-        """A segment of prepared documents, which replaces the keys of `gone`, after those of `base`."""
+        """A segment of documents as `told`, which replaces the keys of `gone`, after those of `base`."""
         segment = uuid.uuid4().hex
-        docs = self._write(segment, "texts", docs)  # read several times
+        slots = self._write_forward(segment, docs.select("key", "vault", "text"), docs.count())
+        docs = self._dealt(segment)
         size, text = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        slots = self._write_forward(segment, forward_of(docs).select("key", "vault", "len", "terms"), size)
-        forward = self.spark.read.parquet(f"{self.path}/segments/{segment}/forward")
-        stats = forward.groupBy("vault").agg(F.count("*").alias("n"), F.sum("len").alias("words"))
-        terms = None
+        changes, fewer = [docs.groupBy("vault").agg(F.count("*").alias("n"), F.lit(0).alias("words"))], None
         if gone is None:
             self._write(segment, "gone", docs.select("key").limit(0))
         else:
-            held = base.held(self._write(segment, "gone", gone))
-            fewer = held.groupBy("vault").agg((-F.count("*")).alias("n"), (-F.sum("len")).alias("words"))
-            stats = stats.unionByName(fewer).groupBy("vault").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-            count = lambda rows, sign: rows.select("vault", F.explode("terms").alias("term")).groupBy("term", "vault").agg((sign * F.count("*")).alias("df"))
-            terms = count(forward.withColumn("terms", split_terms("terms")), 1).unionByName(count(held, -1)).groupBy("term", "vault").agg(F.sum("df").alias("df")).filter("df <> 0")
-        self._write(segment, "stats", stats.coalesce(1))
+            held = self._write(segment, "replaced", base.held(self._write(segment, "gone", gone)))
+            changes.append(held.groupBy("vault").agg((-F.count("*")).alias("n"), (-F.sum("len")).alias("words")))
+            fewer = held.select("vault", F.explode("terms").alias("term")).groupBy("term", "vault").agg((-F.count("*")).alias("df"))
         bounds = bounds_of(docs, size, max(self.spark.sparkContext.defaultParallelism, -(-text // FILE_TEXT)))
-        self._write_sorted(segment, blocks_of(docs, bounds).repartitionById(len(bounds) + 1, F.col("cut")).sortWithinPartitions("term", "vault").drop("cut"), terms)
-        self._drop(segment, "texts")
+        words = self._write_sorted(segment, blocks_of(docs, bounds).repartitionById(len(bounds) + 1, F.col("cut")).sortWithinPartitions("term", "vault").drop("cut"), None, fewer)
+        changes.append(words.select("vault", F.lit(0).alias("n"), "words"))
+        stats = reduce(DataFrame.unionByName, changes).groupBy("vault").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+        self._write(segment, "stats", stats.coalesce(1))
+        for name in ("held", "replaced"):
+            self._drop(segment, name)
         content = dict(base.content, segments=[*base.segments, {"id": segment, "docs": size, "slots": slots}], **(noted or {}))
         self._commit(base, content, [segment], source, batch)
 
@@ -416,7 +464,7 @@ class Index:
         if source is not None and base.content["batches"].get(source, -1) >= batch:
             return False
         gone = docs.select(F.col(key).alias("key")).unionByName(removed.select("key")).distinct()
-        self._add(base, prepared(docs, key, text, vault), gone, source, batch, noted)
+        self._add(base, told(docs, key, text, vault), gone, source, batch, noted)
         return True
 
     def merge(self, fan: int = FAN) -> bool:
@@ -440,11 +488,12 @@ class Index:
         self._write(segment, "gone", keys if first else keys.limit(0))
         sums = lambda name, by, *what: among.read(name).groupBy(*by).agg(*[F.sum(c).alias(c) for c in what])
         self._write(segment, "stats", sums("stats", ["vault"], "n", "words").coalesce(1))
-        rows = among._counting(among.read("forward")).select("key", "vault", "len", "terms")
+        rows = among._counting(among.read("forward")).select("key", "vault", "text")
         docs = rows.count()
         slots = self._write_forward(segment, rows, docs)
         dealt = among.live().withColumn("part", salt()).repartitionByRange("term", "part").sortWithinPartitions("term", "vault", "key")
         self._write_sorted(segment, packed(dealt), sums("terms", ["term", "vault"], "df").filter("df <> 0"))
+        self._drop(segment, "held")
         content = dict(base.content, segments=[*base.segments[:first], {"id": segment, "docs": docs, "slots": slots}])
         self._commit(base, content, [segment])
         return True
@@ -468,5 +517,5 @@ def build(docs: DataFrame, path: str, key: str, text: str, vault: str | None = N
     base = index.view()
     if base.version:
         raise Conflict(f"{path} has an index")
-    index._add(base, prepared(docs, key, text, vault), None)
+    index._add(base, told(docs, key, text, vault), None)
     return index

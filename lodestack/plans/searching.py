@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import edges, fulltext, generations, hybrid, postings
 from lodestack.operators.hybrid import Condition
 from lodestack.plans.registry import EDGES, WORDS, bm25_sql, foreign_edges, query
-from lodestack.runtime import scratch, ship, state_of, table
+from lodestack.runtime import scratch, ship, state_of, stored, table
 from lodestack.streaming import timers
 
 ASKED = ["the", "and"]
@@ -168,7 +168,7 @@ SELECT 'store://' || vault || '/' || note || '.md' AS doc_id, 'store://' || vaul
  TIMESTAMP '2024-01-01' - to_days(age::INT) AS mtime, score, left(text, 200) AS snippet, NULL::VARCHAR AS status, NULL::VARCHAR AS superseded_by, CASE WHEN chunk % 4 < 2 THEN 'first' ELSE 'second' END AS heading FROM k""")
 def hybrid_hydrated(spark, sf):
     """Hits with their note, the heading of their section, and the packet that they are cited by."""
-    hits = found(spark, sf)
+    hits = stored(found(spark, sf), "hits")  # ten rows, read three times
     rows = chunks(spark, sf)
     notes = rows.select("vault", "note").distinct().select("vault", "note", F.concat("note", F.lit(".md")).alias("path"), F.concat(F.lit("Note "), "note").alias("title"), F.lit(None).cast("string").alias("superseded_by"))
     whole = notes.select("note").distinct()
