@@ -3,9 +3,10 @@
 A segment has these tables, all Parquet:
 
 - `postings` (term, vault, n, places, keys, lens, tfs, positions): a row is a block, a word's postings in some n documents of a vault,
-  their positions (so many as places) one after the other; lens, tfs and positions are numbers of 1, 2 or 4 bytes each. Blocks are dealt out by ranges of (term, hash of the key) and sorted, so that a frequent word
-  fills several files and a rare one shares its own; how many there are follows from the bytes. Where ranges part is told by a sample
-  of the postings, which decides on sizes of files only;
+  their positions (so many as places) one after the other; lens, tfs and positions are numbers of 1, 2 or 4 bytes each, keys of kind
+  bigint what they are above the least of the block, others an array. Blocks are dealt out by ranges of (term, hash of the key), so that a frequent word
+  fills several files and a rare one shares its own, and a range's are joined and sorted; how many files there are follows from the bytes.
+  Where ranges part is told by a sample of the postings, which decides on sizes of files only;
 - `terms` (term, vault, df), the dictionary, sorted by term: differences, which add up over the segments;
 - `forward` (key, vault, text), in folders by a hash of the key: what a document was when it was indexed. Texts are
   dealt out and written once; all else of the segment is made of this table;
@@ -30,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from lodestack.operators.manifest import Conflict, Manifest
 from lodestack.operators.retrieval import K1, B
@@ -45,8 +47,12 @@ SPREAD, SLOT_DOCS, FAN = 64, 100_000, 8
 SLICE = 1 << 21
 #: Bytes of text whose postings fill a file, and the documents and postings of the sample that tells where files part.
 FILE_TEXT, SAMPLE_DOCS, SAMPLE = 1 << 25, 2_000, 20_000
-#: Fixed value: slices whose postings are packed into blocks together.
-PACK = 4
+#: Slices whose postings are packed into blocks together, and postings at which a joined block ends.
+PACK, BLOCK = 4, 1 << 13
+#: Fixed value: rows of blocks that a task gives at a time.
+ROWS = 10_000
+#: How tables are written: the build is bound by what it writes and reads again.
+SMALL = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: Fixed value: parts that a segment's documents are read in.
 WAVES = 8
 #: Lower-case letters and digits by byte, 0 for what divides words; and the other signs whose lower case has an ASCII letter.
@@ -165,12 +171,101 @@ def _wide(lists: pa.Array, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(part: pa.RecordBatch, bounds: Sequence[tuple[str, int]] = ()) -> pa.RecordBatch:
+    """cut, blocks of (vault, key, text, salt): a row for each range, its blocks as one Arrow stream, which takes far less room than a row for each."""
+    blocks = _blocks(part, bounds)
+    cut = blocks.column(blocks.num_columns - 1).to_numpy()
+    blocks = blocks.select(["term", "vault", *LISTS])
+    if (np.diff(cut) < 0).any():  # a word's ranges recur in each vault
+        order = np.argsort(cut, kind="stable")
+        cut, blocks = cut[order], blocks.take(pa.array(order))
+    heads = np.flatnonzero(np.append(True, np.diff(cut) != 0)[: len(cut)])
+    streams = []
+    for at, to in zip(heads, np.append(heads[1:], len(cut)), strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, blocks.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(blocks.slice(at, to - at))
+        streams.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(cut[heads], pa.int32()), pa.array(streams, pa.binary())], names=["cut", "blocks"])
+
+
+def _gathered(counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where the items of lists of so many each lie, if the lists come in another order."""
+    starts, sizes = (np.cumsum(counts, dtype=np.int64) - counts)[order], counts[order].astype(np.int64)
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over the runs of one range: its blocks by term and vault, those of one word and vault joined up to about BLOCK postings."""
+    runs = [block for batch in batches for run in batch.column(batch.schema.get_field_index("blocks")) for block in pa.ipc.open_stream(run.as_buffer())]
+    if not runs:
+        return
+    whole = pa.Table.from_batches(runs).combine_chunks()
+    column = {name: whole.column(name).combine_chunks() for name in whole.column_names}
+    coded = column["term"].dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(coded.dictionary))
+    vaults = column["vault"].dictionary_encode()
+    word = rank[coded.indices.to_numpy()] * (len(vaults.dictionary) + 1) + pc.fill_null(vaults.indices, -1).to_numpy() + 1
+    order = np.argsort(word, kind="stable")
+    word, n, places = word[order], column["n"].to_numpy(), column["places"].to_numpy()
+    at, spot = _gathered(n, order), _gathered(places, order)
+    before = np.cumsum(n[order], dtype=np.int64) - n[order]
+    first = np.append(True, np.diff(word) != 0)[: len(word)]
+    piece = (before - before[np.flatnonzero(first)][np.cumsum(first) - 1]) // BLOCK
+    heads = np.flatnonzero(first | np.append(True, np.diff(piece) != 0)[: len(word)])
+    lists = _lists(before[heads], column["keys"].flatten().take(pa.array(at)), _wide(column["lens"], n)[at], _wide(column["tfs"], n)[at], _wide(column["positions"], places)[spot])
+    own = pa.array(order[heads])
+    blocks = pa.RecordBatch.from_arrays([column["term"].take(own), column["vault"].take(own), *lists], names=["term", "vault", *LISTS])
+    for row in range(0, blocks.num_rows, ROWS):
+        yield _stored(blocks.slice(row, ROWS))
+
+
+def _stored(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Blocks as they are written: of keys of kind bigint the least, and of each in turn what it is above that, in 1, 2, 4 or 8 bytes."""
+    place = part.schema.get_field_index("keys")
+    if not pa.types.is_list(part.column(place).type) or not pa.types.is_int64(part.column(place).type.value_type):
+        return part
+    n, keys = part.column(part.schema.get_field_index("n")).to_numpy().astype(np.int64), part.column(place).flatten().to_numpy()
+    heads = np.cumsum(n) - n
+    least = np.minimum.reduceat(keys, heads) if len(n) else keys
+    above = (keys - np.repeat(least, n)).view(np.uint64)
+    most = np.maximum.reduceat(above, heads) if len(n) else above
+    width = np.select([most < 1 << 8, most < 1 << 16, most < 1 << 32], [1, 2, 4], 8)
+    ends = np.append(0, np.cumsum(8 + n * width))
+    data, head = np.empty(ends[-1], np.uint8), ends[:-1, None] + np.arange(8)
+    data[head] = least.view(np.uint8).reshape(-1, 8)
+    wide = np.repeat(width, np.diff(ends))
+    wide[head] = 0
+    for size in (1, 2, 4, 8):
+        data[wide == size] = above[np.repeat(width == size, n)].astype(f"<u{size}").view(np.uint8)
+    packed_keys = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+    return part.set_column(place, "keys", packed_keys)
+
+
+def _keys(lists: pa.Array, n: np.ndarray) -> pa.Array:
+    """The keys of blocks of n each, one after the other, be they stored or arrays."""
+    if pa.types.is_list(lists.type):
+        return lists.flatten()
+    raw = lists.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends, n = ends - ends[0], n.astype(np.int64)
+    width, head = (np.diff(ends) - 8) // np.maximum(n, 1), ends[:-1, None] + np.arange(8)
+    out = np.repeat(np.ascontiguousarray(data[head]).view(np.int64).reshape(-1), n)
+    wide = np.repeat(width, np.diff(ends))
+    wide[head] = 0
+    for size in (1, 2, 4, 8):
+        out[np.repeat(width == size, n)] += data[wide == size].view(f"<u{size}").astype(np.uint64).view(np.int64)
+    return pa.array(out)
+
+
 def _unpacked(part: pa.RecordBatch) -> pa.RecordBatch:
     """term, vault, key, len, tf, and positions if they are there, of blocks."""
     column = dict(zip(part.schema.names, part.columns, strict=True))
     n = column["n"].to_numpy()
     at, tfs = pa.array(np.repeat(np.arange(part.num_rows), n)), _wide(column["tfs"], n)
-    columns = [column["term"].take(at), column["vault"].take(at), column["keys"].flatten(), pa.array(_wide(column["lens"], n)), pa.array(tfs)]
+    columns = [column["term"].take(at), column["vault"].take(at), _keys(column["keys"], n), pa.array(_wide(column["lens"], n)), pa.array(tfs)]
     if "positions" in column:
         ends = np.append(0, np.cumsum(tfs)).astype(np.int32)
         columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(_wide(column["positions"], column["places"].to_numpy()))))
@@ -230,14 +325,15 @@ def forward_of(docs: DataFrame) -> DataFrame:
 
 
 def block_kind(key: str) -> str:
-    """The schema of blocks by the key's type."""
-    return f"term string, vault string, n int, places int, keys array<{key}>, lens binary, tfs binary, positions binary"
+    """The schema of stored blocks by the key's type."""
+    return f"term string, vault string, n int, places int, keys {'binary' if key == 'bigint' else f'array<{key}>'}, lens binary, tfs binary, positions binary"
 
 
 def blocks_of(docs: DataFrame, bounds: Sequence[tuple[str, int]] = ()) -> DataFrame:
-    """Blocks and the range (`cut`) of the words of prepared documents, packed in the batch: nothing is gathered by a shuffle."""
-    kind = f"{block_kind(docs.schema['key'].dataType.simpleString())}, cut int"
-    return docs.select("vault", "key", "text", salt().alias("salt")).mapInArrow(_by_slices(lambda part: _blocks(part, bounds), PACK), kind)
+    """Blocks of the words of documents, a partition for each range, by term and vault. They are packed in the batch, shuffled as one
+    row for a batch and range, and joined in the range's task, which holds the postings of about FILE_TEXT of text."""
+    runs = docs.select("vault", "key", "text", salt().alias("salt")).mapInArrow(_by_slices(lambda part: _runs(part, bounds), PACK), "cut int, blocks binary")
+    return runs.repartitionById(len(bounds) + 1, F.col("cut")).mapInArrow(_joined, block_kind(docs.schema["key"].dataType.simpleString()))
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
@@ -248,13 +344,14 @@ def postings_of(docs: DataFrame) -> DataFrame:
 def unpacked(blocks: DataFrame, positions: bool = True) -> DataFrame:
     """term, vault, key, len, tf and, if wanted, positions of blocks."""
     rows = blocks.select("term", "vault", "n", "keys", "lens", "tfs", *(["places", "positions"] if positions else []))
-    kind = f"term string, vault string, key {rows.schema['keys'].dataType.elementType.simpleString()}, len int, tf int"
+    keys = rows.schema["keys"].dataType
+    kind = f"term string, vault string, key {keys.elementType.simpleString() if isinstance(keys, ArrayType) else 'bigint'}, len int, tf int"
     return rows.mapInArrow(_each(_unpacked), f"{kind}, positions array<int>" if positions else kind)
 
 
 def packed(rows: DataFrame) -> DataFrame:
     """Blocks of postings that lie sorted by term and vault in their partitions."""
-    return rows.select("term", "vault", "key", "len", "tf", "positions").mapInArrow(_each(_packed), block_kind(rows.schema["key"].dataType.simpleString()))
+    return rows.select("term", "vault", "key", "len", "tf", "positions").mapInArrow(_each(lambda part: _stored(_packed(part))), block_kind(rows.schema["key"].dataType.simpleString()))
 
 
 def bounds_of(docs: DataFrame, size: int, files: int) -> list[tuple[str, int]]:
@@ -384,7 +481,7 @@ class Index:
 
     def _write(self, segment: str, name: str, rows: DataFrame) -> DataFrame:
         path = f"{self.path}/segments/{segment}/{name}"
-        rows.write.parquet(path)
+        rows.write.options(**SMALL).parquet(path)
         return self.spark.read.parquet(path)
 
     def _write_sorted(self, segment: str, blocks: DataFrame, terms: DataFrame | None, fewer: DataFrame | None = None) -> DataFrame:
@@ -404,7 +501,7 @@ class Index:
     def _write_forward(self, segment: str, rows: DataFrame, docs: int) -> int:
         """forward, in folders for about so many documents; how many folders."""
         slots = max(1, -(-docs // SLOT_DOCS))
-        rows.withColumn("slot", slot(slots)).repartition("slot", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SPREAD))).sortWithinPartitions("slot", "key").write.partitionBy("slot").parquet(f"{self.path}/segments/{segment}/forward")
+        rows.withColumn("slot", slot(slots)).repartition("slot", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SPREAD))).sortWithinPartitions("slot", "key").write.options(**SMALL).partitionBy("slot").parquet(f"{self.path}/segments/{segment}/forward")
         if not docs:  # an empty table by folders has no schema to read
             rows.withColumn("slot", F.lit(0)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/segments/{segment}/forward")
         return slots
@@ -417,12 +514,24 @@ class Index:
         parts = [read.parquet(*[f"{path}/{f}" for f in folders[at::WAVES]]) for at in range(min(WAVES, len(folders)))]
         return reduce(DataFrame.unionByName, parts) if parts else read.parquet(path)
 
+    def _drawn(self, segment: str, docs: int) -> DataFrame:
+        """Some whole files of forward with at least about SAMPLE_DOCS documents, spread over the folders: which file a document is in
+        follows from a hash of its key, so they are a sample that leaves the other texts unread."""
+        path = f"{self.path}/segments/{segment}/forward"
+        folders = sorted((s.getPath() for s in self.manifest.fs.listStatus(self.manifest._path(path)) if s.isDirectory()), key=str) or [self.manifest._path(path)]
+        files = sorted(str(s.getPath()) for folder in folders for s in self.manifest.fs.listStatus(folder) if s.getPath().getName().endswith(".parquet"))
+        few = min(len(files), -(-4 * SAMPLE_DOCS * len(files) // max(docs, 1)))
+        return self.spark.read.option("basePath", path).parquet(*[files[len(files) * at // few] for at in range(few)])
+
     def _add(self, base: View, docs: DataFrame, gone: DataFrame | None, source: str | None = None, batch: int | None = None, noted: dict[str, Any] | None = None) -> None:
         """A segment of documents as `told`, which replaces the keys of `gone`, after those of `base`."""
         segment = uuid.uuid4().hex
         slots = self._write_forward(segment, docs.select("key", "vault", "text"), docs.count())
         docs = self._dealt(segment)
-        size, text = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        size = docs.count()
+        drawn = self._drawn(segment, size)
+        some, text = drawn.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        text = text * size // max(some, 1)
         changes, fewer = [docs.groupBy("vault").agg(F.count("*").alias("n"), F.lit(0).alias("words"))], None
         if gone is None:
             self._write(segment, "gone", docs.select("key").limit(0))
@@ -430,8 +539,8 @@ class Index:
             held = self._write(segment, "replaced", base.held(self._write(segment, "gone", gone)))
             changes.append(held.groupBy("vault").agg((-F.count("*")).alias("n"), (-F.sum("len")).alias("words")))
             fewer = held.select("vault", F.explode("terms").alias("term")).groupBy("term", "vault").agg((-F.count("*")).alias("df"))
-        bounds = bounds_of(docs, size, max(self.spark.sparkContext.defaultParallelism, -(-text // FILE_TEXT)))
-        words = self._write_sorted(segment, blocks_of(docs, bounds).repartitionById(len(bounds) + 1, F.col("cut")).sortWithinPartitions("term", "vault").drop("cut"), None, fewer)
+        bounds = bounds_of(drawn, some, max(self.spark.sparkContext.defaultParallelism, -(-text // FILE_TEXT)))
+        words = self._write_sorted(segment, blocks_of(docs, bounds), None, fewer)
         changes.append(words.select("vault", F.lit(0).alias("n"), "words"))
         stats = reduce(DataFrame.unionByName, changes).groupBy("vault").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
         self._write(segment, "stats", stats.coalesce(1))

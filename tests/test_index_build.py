@@ -46,3 +46,56 @@ def test_texts_are_stored_once_and_read_in_parts(spark, tmp_path, monkeypatch):
     assert {(r["key"], r["vault"], r["len"]) for r in view.held(docs.select(F.col("id").alias("key"))).collect()} == scan
     assert {r["vault"]: (r["n"], r["words"]) for r in view.read("stats").collect()} == {v: (100, sum(n for _, own, n in scan if own == v)) for v in ("v0", "v1")}
     assert fulltext.indexed(index, "NEAR(far end, 1)", None).collect()[0]["key"] == 3
+
+
+def test_blocks_of_a_word_are_joined_in_its_range():
+    told = lambda part: sorted((r["term"], r["vault"] or "", r["key"], r["len"], r["tf"], r["positions"]) for r in part.to_pylist())
+    texts = [f"common w{k % 3}" + " common" * (300 if k == 7 else k % 2) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "a", "b"] * 20), pa.array(range(60)), pa.array(texts), pa.array([k * 7 % 4 for k in range(60)])], names=["vault", "key", "text", "salt"])
+    bounds = [("common", 1), ("common", 3), ("w1", 0)]
+    runs = [postings._runs(batch.slice(at, 7), bounds) for at in range(0, 60, 7)]
+    assert all(len(set(r.column("cut").to_pylist())) == r.num_rows for r in runs)
+    made = []
+    for cut in range(4):
+        own = [r.filter(pa.compute.equal(r.column("cut"), cut)) for r in runs]
+        (joined,) = postings._joined(iter(own))
+        names = [(r["term"], r["vault"]) for r in joined.to_pylist()]
+        assert len(names) == len(set(names)) and [t for t, _ in names] == sorted(t for t, _ in names)
+        made += told(postings._unpacked(joined))
+    assert sorted(made) == told(postings._postings(batch.select(["vault", "key", "text"]))) and list(postings._joined(iter([]))) == []
+
+
+def test_keys_are_stored_above_the_least():
+    lists = [[5], [-1, 254], [1 << 40, (1 << 40) + 256, 1 << 40], [0, 70_000], [-(1 << 62), (1 << 62) + 3], [-(1 << 63), (1 << 63) - 1], [7, 1 << 33]]
+    part = pa.RecordBatch.from_arrays([pa.array([len(x) for x in lists], pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["n", "keys"])
+    stored = postings._stored(part)
+    assert [len(b) - 8 for b in stored.column(1).to_pylist()] == [1, 2, 6, 8, 16, 16, 16]
+    n = part.column(0).to_numpy()
+    assert postings._keys(stored.column(1), n).to_pylist() == sum(lists, []) == postings._keys(part.column(1), n).to_pylist()
+    assert postings._keys(stored.column(1).slice(3), n[3:]).to_pylist() == sum(lists[3:], [])
+    assert postings._stored(part.slice(0, 0)).num_rows == 0 and postings._keys(stored.column(1).slice(0, 0), n[:0]).to_pylist() == []
+    words = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([["k"]])], names=["n", "keys"])
+    assert postings._stored(words) is words
+
+
+def test_a_joined_block_ends_at_its_size(monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 10)
+    monkeypatch.setattr(postings, "ROWS", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(["v"] * 50), pa.array([f"k{i}" for i in range(50)]), pa.array(["red fox"] * 50)], names=["vault", "key", "text"])
+    parts = list(postings._joined(postings._runs(batch.slice(at, 4)) for at in range(0, 50, 4)))
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert len(parts) > 1 and max(r["n"] for r in rows) < 14 and [sum(r["n"] for r in rows if r["term"] == t) for t in ("fox", "red")] == [50, 50]
+    assert sorted(k for r in rows if r["term"] == "red" for k in r["keys"]) == sorted(f"k{i}" for i in range(50))
+
+
+def test_a_file_has_a_word_once_and_the_sample_reads_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SLOT_DOCS", 100)
+    index = postings.build(spark.createDataFrame([(i, f"common w{i % 50} a{i}") for i in range(1000)], "id long, text string"), str(tmp_path / "i"), "id", "text")
+    view = index.view()
+    rows = view.read("postings").groupBy("term", "vault", F.col("_metadata.file_name").alias("file")).count()
+    assert rows.filter("count > 1").count() == 0 and view.live().count() == 3000 and view.live(["w7"]).count() == 20
+    monkeypatch.setattr(postings, "SAMPLE_DOCS", 20)
+    segment, whole = view.segments[0]["id"], view.read("forward")
+    drawn = index._drawn(segment, 1000)
+    assert set(drawn.columns) >= {"vault", "key", "text"} and 20 <= drawn.count() < 500 and len(drawn.inputFiles()) < len(whole.inputFiles())
+    assert postings.bounds_of(drawn, drawn.count(), 4) == sorted(postings.bounds_of(drawn, drawn.count(), 4))
