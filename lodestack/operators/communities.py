@@ -12,13 +12,14 @@ the shared folder; only counts of nodes reach the driver.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.runtime import stored
-
-#: A move must gain more than this; gains are compared in steps of it, so that no order of additions decides.
-STEP = 1e-9
+from lodestack.operators import moves
+from lodestack.operators.moves import STEP
+from lodestack.runtime import ship, stored
 
 
 def both_ways(edges: DataFrame, group: str | None) -> DataFrame:
@@ -59,69 +60,120 @@ def weighed(links: DataFrame, known: DataFrame) -> DataFrame:
     return per.select("g", "node", "k", "m2", "o.own", "o.stay", F.when(F.col("x").isNotNull(), F.struct("x.value", "x.minus", waits.alias("waits"))).alias("best"))
 
 
-def decided(each: DataFrame, turn: int) -> DataFrame:
-    """g, node, k, m2, c: the places after the moves of one round.
-
-    A cluster that many want to join would grow beyond what each of them gains by. So a node moves with the chance that its own room
-    (the degrees that the cluster may still take before the gain is gone) has in the degrees of all that want to come, one half at most.
-    """
-    wish = each.withColumn("to", -F.col("best.minus")).withColumn("goes", F.col("wants") & ~F.col("best.waits"))
-    load = wish.filter("goes").groupBy("g", "to").agg(F.sum("k").alias("load"))
-    room = (F.col("best.value") - F.col("stay")) * STEP * F.col("m2") / F.col("k") + F.col("k")
-    chance = F.least(F.lit(0.5), room / F.col("load"))
-    drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) < chance * (1 << 20)
-    return wish.join(load, ["g", "to"], "left").select("g", "node", "k", "m2", F.when(F.col("goes") & drawn, F.col("to")).otherwise(F.col("own")).alias("c"))
-
-
-def rounds(links: DataFrame, place: DataFrame, first: int, most: int, rest: float) -> tuple[DataFrame, int]:
-    """Rounds until at most the share `rest` of the nodes wants to move; the places and how many rounds it took."""
-    wants = F.coalesce(F.col("best.value") > F.col("stay") + 1, F.lit(False))
-    links = stored(ready(links, place), "louvain")
-    for turn in range(most):
-        known = stored(totalled(place), "louvain")
-        each = stored(weighed(links, known).withColumn("wants", wants), "louvain")
-        n, wanting = each.agg(F.count("*"), F.count_if("wants")).first()
-        if wanting <= rest * n:
-            return each.select("g", "node", "k", "m2", F.col("own").alias("c")), turn
-        place = decided(each, first + turn)
-    return stored(place, "louvain"), most
-
-
-def louvain(edges: DataFrame, group: str | None = None, *, most_levels: int = 12, most_rounds: int = 12, settling: int = 12, rest: float = 0.05) -> DataFrame:
+class Blocks:
+    """The links of a level (g, a, b, w) in blocks, and the rounds over them."""
+
+    def __init__(self, links: DataFrame) -> None:
+        g = links.schema["g"].dataType.simpleString()
+        self.parts = max(1, -(-links.count() // moves.LINKS))
+        dealt = links.repartitionByRange(self.parts, "g", "a") if self.parts > 1 else links.repartition(1)
+        built = stored(dealt.sortWithinPartitions("g", "a").mapInArrow(moves.built, f"{moves.ROWS}, gs array<{g}>, need array<binary>"), "louvain")
+        self.names = stored(built.drop("need").mapInArrow(moves.nodes, f"i long, g {g}, node long, k double, part int"), "louvain")
+        home, place = F.shiftright("i", 32).cast("int"), F.col("i").bitwiseAND(0xFFFFFFFF).cast("int")
+        parts = self.names.groupBy(home.alias("dest"), "part", "g").agg(F.sum("k").alias("k"))
+        m2 = parts.join(parts.groupBy("g").agg(F.sum("k").alias("x")), "g").select("dest", F.lit("m2").alias("kind"), F.col("part").alias("at"), "x")
+        near = built.select("dest", "gs", "need").mapInArrow(moves.needed, f"to int, slot int, g {g}, node long")
+        ways = near.join(self.names, ["g", "node"]).select(home.alias("dest"), F.lit("way").alias("kind"), place.alias("at"), "to", "slot")
+        rows = built.drop("need").unionByName(m2, allowMissingColumns=True).unionByName(ways, allowMissingColumns=True)
+        self.fixed = stored(self.deal(rows).mapInArrow(moves.packed, f"{moves.ROWS}, gs array<{g}>"), "louvain")
+        self.blocks, self.routes = (self.fixed.filter(F.col("kind") == kind) for kind in ("block", "route"))
+        self.g = g
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(self.parts, "dest")
+
+    def step(self, rows: DataFrame, *steps, dealt: bool = True) -> DataFrame:
+        return (self.deal(rows) if dealt else rows).mapInArrow(moves.stepping(*steps), moves.ROWS)
+
+    def singles(self) -> DataFrame:
+        """The states in which each node is its own cluster."""
+        return self.step(self.blocks.drop("gs"), moves.singles, dealt=False)
+
+    def placed(self, of: DataFrame) -> DataFrame:
+        """The states in which the nodes i are in the clusters c (both by id), and others are their own cluster."""
+        at = of.select(F.shiftright("i", 32).cast("int").alias("dest"), F.lit("at").alias("kind"), "i", "c")
+        return self.deal(self.blocks.drop("gs").unionByName(at, allowMissingColumns=True)).mapInArrow(moves.placed, moves.ROWS)
+
+    def named(self, clusters: DataFrame) -> DataFrame:
+        """The ids i, c of nodes (g, node) and their clusters, which nodes c name."""
+        rows = clusters.join(self.names.select("g", "node", "i"), ["g", "node"]).select("g", "i", F.col("c").alias("name"))
+        return rows.join(self.names.select("g", F.col("node").alias("name"), F.col("i").alias("c")), ["g", "name"]).select("i", "c")
+
+    def totalled(self, state: DataFrame, *before, named: bool = False) -> DataFrame:
+        """The states with their clusters' totals, after the steps before, and what they tell their neighbours."""
+        asked = self.step(state, *before, moves.summed, dealt=bool(before))
+        told = partial(moves.told, named=True) if named else moves.told
+        return self.step(self.step(asked, moves.totalled).unionByName(self.routes.drop("gs")), told)
+
+    def rounds(self, state: DataFrame, first: int, most: int, rest: float) -> tuple[DataFrame, int]:
+        """Rounds until at most the share `rest` of the nodes wants to move; the states and how many rounds it took."""
+        if self.parts == 1:
+            state = stored(self.step(state.unionByName(self.fixed.drop("gs")), moves.alone(first, most, rest)), "louvain")
+            return state, state.agg(F.max("turn")).first()[0] or 0
+        before = ()
+        for turn in range(most):
+            told = self.totalled(state, *before).unionByName(self.blocks.drop("gs"))
+            rows = stored(self.step(told, moves.weighed(first + turn)), "louvain")
+            states = rows.filter("kind = 'state'")
+            n, wanting = states.agg(F.sum("n"), F.sum("wanting")).first()
+            if wanting <= rest * n:
+                return states, turn
+            state, before = self.step(rows, moves.loaded), (moves.moved,)
+        return stored(self.step(state, *before, dealt=bool(before)), "louvain"), most
+
+    def joined(self, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links between clusters (g, a, b, w), and the clusters (g, c, up) of the nodes c, by their first nodes."""
+        told = self.totalled(state, named=True).unionByName(self.blocks, allowMissingColumns=True)
+        rows = stored(self.deal(told).mapInArrow(moves.joined, f"g {self.g}, a long, b long, w double"), "louvain")
+        return rows.filter("w is not null").groupBy("g", "a", "b").agg(F.sum("w").alias("w")), rows.filter("w is null").select("g", F.col("a").alias("c"), F.col("b").alias("up"))
+
+    def judged(self, state: DataFrame) -> DataFrame:
+        """For each graph of each block what its nodes have in the states' clusters: g, k, inside, apart, share, gainers (see `moves.judged`)."""
+        told = self.totalled(state).unionByName(self.blocks, allowMissingColumns=True)
+        return self.deal(told).mapInArrow(moves.judged, f"g {self.g}, k double, inside double, apart double, share double, gainers long")
+
+
+def leveled(edges: DataFrame, group: str | None = None) -> Blocks:
+    """The simple undirected graph of edges (src, dst) in blocks, for `louvain` and `modularity` of the same edges."""
+    ship(edges.sparkSession)
+    return Blocks(stored(both_ways(edges, group).filter("g is not null").select("g", F.col("a").cast("long"), F.col("b").cast("long"), "w"), "louvain"))
+
+
+def louvain(edges: DataFrame, group: str | None = None, *, most_levels: int = 12, most_rounds: int = 12, settling: int = 12, rest: float = 0.05, level: Blocks | None = None) -> DataFrame:
     """node, cluster (and the group) of the simple undirected graph of edges (src, dst), a graph for each group.
 
     Nodes are whole numbers, a cluster is named by its smallest one. Loops and nulls are left out; nodes without an edge have no row. The result depends on the
     graph alone, not on its partitions.
     """
-    graph = stored(both_ways(edges, group), "louvain")
-    whole = stored(degrees(graph), "louvain")
-    links, member, turn = graph, whole.select("g", "node", F.col("node").alias("c")), 0
-    for level in range(most_levels):
-        base = whole if not level else degrees(links)
-        place, used = rounds(links, base.withColumn("c", F.col("node")), turn, most_rounds, rest)
+    kind = both_ways(edges, group).schema["a"].dataType
+    whole = level = level or leveled(edges, group)
+    member, turn = None, 0
+    for _ in range(most_levels):
+        state, used = level.rounds(level.singles(), turn, most_rounds, rest)
         turn += used
-        clusters, nodes = place.select("g", "c").distinct().count(), place.count()
+        links, to = level.joined(state)
+        nodes, clusters = to.agg(F.count("*"), F.countDistinct("g", "up")).first()
         if clusters == nodes:
             break
-        to = place.select("g", F.col("node").alias("c"), F.col("c").alias("up"))
-        member = stored(member.join(to, ["g", "c"]).select("g", "node", F.col("up").alias("c")), "louvain")
-        end = lambda side: place.select("g", F.col("node").alias(side), F.col("c").alias(f"{side}_c"))  # noqa: B023, E731
-        links = stored(links.join(end("a"), ["g", "a"]).join(end("b"), ["g", "b"]).groupBy("g", F.col("a_c").alias("a"), F.col("b_c").alias("b")).agg(F.sum("w").alias("w")), "louvain")
-    place, _ = rounds(graph, whole.join(member, ["g", "node"]), turn, settling, 0.0)
-    name = place.groupBy("g", "c").agg(F.min("node").alias("cluster"))
-    out = place.join(name, ["g", "c"])
-    return out.select(F.col("g").alias(group), "node", "cluster") if group else out.select("node", "cluster")
-
-
-def modularity(edges: DataFrame, clusters: DataFrame, group: str | None = None) -> DataFrame:
-    """g, nodes, edges, clusters, modularity, gainers of a partition (node, cluster): gainers are the nodes that would gain by moving alone."""
-    links = stored(both_ways(edges, group), "louvain")
+        member = to.select("g", F.col("c").alias("node"), F.col("up").alias("c")) if member is None else stored(member.join(to, ["g", "c"]).select("g", "node", F.col("up").alias("c")), "louvain")
+        level = Blocks(stored(links, "louvain"))
+    state, _ = whole.rounds(whole.placed(whole.named(member)) if member is not None else whole.singles(), turn, settling, 0.0)
+    at = stored(state.mapInArrow(moves.places, "i long, c long").join(whole.names, "i"), "louvain")
+    out = at.join(at.groupBy("c").agg(F.min("node").alias("cluster")), "c").select("g", F.col("node").cast(kind), F.col("cluster").cast(kind))
+    return out.withColumnRenamed("g", group) if group else out.drop("g")
+
+
+def modularity(edges: DataFrame, clusters: DataFrame, group: str | None = None, *, level: Blocks | None = None) -> DataFrame:
+    """g, nodes, edges, clusters, modularity, gainers of a partition (node, cluster): gainers are the nodes that would gain by moving alone.
+
+    `nodes` counts those that the partition places; nodes of the graph that it leaves out count as clusters of their own in the rest.
+    """
+    level = level or leveled(edges, group)
     g = F.col(group) if group else F.lit(0)
-    place = stored(degrees(links).join(clusters.select(g.alias("g"), "node", F.col("cluster").alias("c")), ["g", "node"]), "louvain")
-    end = lambda side: place.select("g", F.col("node").alias(side), F.col("c").alias(f"{side}_c"))
-    inner = links.join(end("a"), ["g", "a"]).join(end("b"), ["g", "b"]).filter("a_c = b_c").groupBy("g", F.col("a_c").alias("c")).agg(F.sum("w").alias("w"))
-    per = place.groupBy("g", "c").agg(F.sum("k").alias("tot"), F.max("m2").alias("m2"), F.count("*").alias("size")).join(inner, ["g", "c"], "left")
-    part: Column = F.coalesce("w", F.lit(0.0)) / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), 2)
-    sums = per.groupBy("g").agg(F.sum("size").alias("nodes"), (F.max("m2") / 2).cast("long").alias("edges"), F.count("*").alias("clusters"), F.round(F.sum(part), 6).alias("modularity"))
-    gain = weighed(ready(links, place), totalled(place)).groupBy("g").agg(F.count_if(F.col("best.value") > F.col("stay") + 1).alias("gainers"))
-    return sums.join(gain, "g")
+    of = stored(clusters.select(g.alias("g"), F.col("node").cast("long"), "cluster").join(level.names, ["g", "node"]).select("g", "i", "cluster"), "louvain")
+    first = of.groupBy("g", "cluster").agg(F.min("i").alias("c"))
+    each = stored(level.judged(level.placed(of.join(first, ["g", "cluster"]).select("i", "c"))), "louvain")
+    sums = each.groupBy("g").agg(
+        (F.sum("k") / 2).cast("long").alias("edges"), F.round(F.sum("share")).cast("long").alias("clusters"), F.round(F.sum("inside") / F.sum("k") - F.sum("apart") / F.pow(F.sum("k"), 2), 6).alias("modularity"), F.sum("gainers").alias("gainers")
+    )
+    return of.groupBy("g").agg(F.count("*").alias("nodes")).join(sums, "g").select("g", "nodes", "edges", "clusters", "modularity", "gainers")

@@ -102,3 +102,44 @@ def test_a_round_joins_links_once(spark):
     # m2 = 8, degrees 2, 2, 3, 1; clusters {1, 2}, {3}, {4}
     assert got == {1: (1, 0.5, 0.25, 3, False), 2: (1, 0.5, 0.25, 3, False), 3: (3, 0.0, 0.625, 4, True), 4: (4, 0.0, 0.625, 3, False)}
     assert each._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_rounds_over_blocks_are_those_of_one(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(g, rng.randrange(-90, 90), rng.randrange(-90, 90)) for g in ("x", "y") for _ in range(900)] + [("hub", 0, k) for k in range(1, 300)] + [(None, 1, 2), ("loop", 5, 5)], LINK)
+    found = sorted(map(tuple, communities.louvain(rows, "g").collect()))
+    judged = communities.modularity(rows, communities.louvain(rows, "g"), "g").collect()
+    monkeypatch.setattr(communities.moves, "LINKS", 700)
+    level = communities.leveled(rows, "g")
+    assert level.parts > 4 and sorted(map(tuple, communities.louvain(rows, "g", level=level).collect())) == found
+    assert sorted(communities.modularity(rows, communities.louvain(rows, "g"), "g", level=level).collect()) == sorted(judged)
+    assert {g for g, *_ in found} == {"x", "y", "hub"} and len(found) == len({(a, b) for a, b, _ in found})
+
+
+def test_a_block_weighs_moves_as_joins_do(spark, monkeypatch):
+    monkeypatch.setattr(communities.moves, "LINKS", 60)
+    rng = random.Random(3)
+    rows = spark.createDataFrame([("g", rng.randrange(40), rng.randrange(40)) for _ in range(150)], LINK)
+    level, links = communities.leveled(rows, "g"), communities.both_ways(rows, "g").localCheckpoint()
+    place = communities.degrees(links).withColumn("c", F.col("node") - F.col("node") % 2).localCheckpoint()
+    place = place.join(place.select(F.col("node").alias("c")), "c", "left_semi").localCheckpoint()
+    told = communities.modularity(rows, place.select("g", "node", F.col("c").alias("cluster")), "g", level=level).first()
+    whole = communities.degrees(links).join(place.select("g", "node", "c"), ["g", "node"], "left").withColumn("c", F.coalesce("c", "node")).localCheckpoint()
+    each = communities.weighed(communities.ready(links, whole), communities.totalled(whole))
+    assert level.parts > 1 and told["gainers"] == each.filter(F.col("best.value") > F.col("stay") + 1).count()
+    assert (told["nodes"], told["edges"], told["clusters"]) == (place.count(), links.count() / 2, whole.select("c").distinct().count())
+    node, turn = spark.range(-5, 6).withColumnRenamed("id", "node"), 7
+    hashes = [r[0] for r in node.select(F.xxhash64("node", F.lit(turn))).collect()]
+    assert sorted(communities.moves.xxhash(communities.moves.np.arange(-5, 6), turn).tolist()) == sorted(hashes)
+
+
+def test_all_rounds_of_a_level_are_few_jobs(spark):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([("g", rng.randrange(60), rng.randrange(60, 120)) for _ in range(500)], LINK).localCheckpoint()
+    spark.sparkContext.setJobGroup("louvain", "jobs of all levels")
+    level = communities.leveled(rows, "g")
+    built = len(spark.sparkContext.statusTracker().getJobIdsForGroup("louvain"))
+    state, used = level.rounds(level.singles(), 0, 12, 0.0)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("louvain")) - built
+    spark.sparkContext.setJobGroup(None, None)
+    assert used > 3 and jobs <= 6 and state.count() == 1
