@@ -282,7 +282,8 @@ def louvain_told(spark, sf):
     """Modularity of a plain partition (each part with its first supplier), and that Louvain's places every node and is better."""
     rows = shipped(spark, sf)
     first = rows.groupBy("grp", F.col("dst").alias("node")).agg(F.min("src").alias("cluster"))
-    stars = communities.modularity(rows, first.unionByName(rows.select("grp", F.col("src").alias("node"), F.col("src").alias("cluster")).distinct()), "grp")
-    found = communities.modularity(rows, communities.louvain(rows, "grp"), "grp").select("g", F.col("nodes").alias("placed"), F.col("modularity").alias("reached"))
+    level = communities.leveled(rows, "grp")
+    stars = communities.modularity(rows, first.unionByName(rows.select("grp", F.col("src").alias("node"), F.col("src").alias("cluster")).distinct()), "grp", level=level)
+    found = communities.modularity(rows, communities.louvain(rows, "grp", level=level), "grp", level=level).select("g", F.col("nodes").alias("placed"), F.col("modularity").alias("reached"))
     both = stars.join(found, "g")
     return both.select(F.col("g").alias("grp"), "edges", "nodes", F.col("modularity").alias("stars"), ((F.col("reached") > F.col("modularity")) & (F.col("placed") == F.col("nodes"))).alias("better"))
