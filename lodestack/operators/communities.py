@@ -1,12 +1,12 @@
-"""Communities of an undirected graph by modularity: Louvain's levels, each of rounds of simultaneous moves, as joins and aggregations.
+"""Communities of an undirected graph by modularity: Louvain's levels, each of rounds of simultaneous moves over links in blocks.
 
-A round joins the clusters' total degrees to the nodes, sends each node's cluster with its total along the links, weighs them by one
-aggregation over (node, cluster), and takes each node's best move; links know the degree of their node, so nothing else is joined to them. Half of the nodes at most, by a hash of node and round, move in one round, fewer where many want
+A round totals the clusters' degrees, tells the nodes' clusters to the blocks that link to them, weighs each node's moves, and takes the best
+(`moves` has the steps; `weighed` tells the same as joins, which tests hold the blocks to). Half of the nodes at most, by a hash of node and round, move in one round, fewer where many want
 to join one cluster, and of two single nodes the smaller waits for the larger, so neighbours don't swap places for ever. A level ends when hardly
-a node gains by moving, or after `most_rounds`; then a join contracts clusters to nodes. Once a level moves nothing, the clusters are settled on
+a node gains by moving, or after `most_rounds`; then links are added up between clusters, which are the next level's nodes. Once a level moves nothing, the clusters are settled on
 the nodes themselves by further rounds, since what was contracted early may lie better elsewhere (`modularity` counts nodes that still gain).
 
-A hub's links are added up in the tasks before they are dealt out. Graphs of many groups are handled side by side. Each round is written in
+A level's links are packed once, by ranges of nodes; a hub's links stay in one block. Graphs of many groups are handled side by side. Each round is written in
 the shared folder; only counts of nodes reach the driver.
 """
 
